@@ -4,13 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, sharding
+from . import decontamination, exact_dedup, packing, quality, secrets, sharding, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public vocabulary file, the same on the driver and the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.suffix_table(token_counts.lengths(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken")))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -23,9 +50,62 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op5_sharding, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_token_counts, op5_sharding, op6_toxicity, op7_packing, op9_quality, op10_exact_dedup)}
+
+
+
+def secrets_sql() -> str:
+    """Brute force: positions by summing lengths, entropy by counting every window afresh."""
+    assign, access, hexes = (
+        r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+        "AKIA[A-Z0-9]+",
+        "[0-9a-f]+",
+    )
+    patterns = [("assign", assign, 2, 12), ("access", access, 0, 18), ("hex", hexes, 0, 16)]
+    patterns += [(k.name, k.pattern, 0, k.window) for k in secrets.CLASSES]
+    each = " union all ".join(
+        f"select doc_id, {no} as no, '{kind}' as kind, {least} as least, regexp_split_to_array(t, '{regex}') as pieces, regexp_extract_all(t, '{regex}', 0) as found, regexp_extract_all(t, '{regex}', {group}) as value from docs"
+        for no, (kind, regex, group, least) in enumerate(patterns)
+    )
+    classes = ", ".join(f"({3 + n}, {k.window}, {k.limit})" for n, k in enumerate(secrets.CLASSES))
+    allow = secrets.ALLOW
+    return f"""
+with docs as (select doc_id, coalesce(text, '') as t from documents),
+every as ({each}),
+placed as (
+    select doc_id, no, kind, least, value[i] as value, found[i] as found,
+        list_sum(list_transform(pieces[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1 : i - 1], lambda x: length(x))), 0) as start
+    from (select *, unnest(range(1, len(found) + 1)) as i from every)),
+base as (select doc_id, no, kind, cast(start as bigint) as start, cast(start + length(found) as bigint) as stop from placed where no < 3 and length(value) >= least),
+classes(no, w, most) as (values {classes}),
+windows as (
+    select doc_id, no, kind, start, w, most, found, unnest(range(0, length(found) - w + 1)) as k
+    from (select distinct * from placed) join classes using (no) where not regexp_matches(found, '{allow}')),
+counted as (
+    select doc_id, no, kind, start, w, most, k, c, count(*) as n
+    from (select *, unnest(string_split(substr(found, k + 1, w), '')) as c from windows) group by all),
+hot as (
+    select doc_id, no, kind, start, w, k from counted group by all having sum(cast(round(n * log2(n) * {secrets.UNIT}) as bigint)) <= min(most)),
+islands as (
+    select *, sum(fresh) over (partition by doc_id, no, start order by k) as island
+    from (select *, case when k <= lag(k) over (partition by doc_id, no, start order by k) + w then 0 else 1 end as fresh from hot)),
+added as (
+    select doc_id, no, kind, cast(start + min(k) as bigint) as start, cast(start + max(k) + w as bigint) as stop from islands group by doc_id, no, kind, w, start, island),
+spans as (
+    select doc_id, string_agg(kind || ':' || start || ':' || stop, ',' order by start, no) as spans
+    from (select * from base union all select * from added) group by doc_id),
+sums as (
+    select doc_id, count(*) filter (no = 0) as n_assign, count(*) filter (no = 1) as n_access, count(*) filter (no = 2) as n_hex,
+        string_agg(kind || ':' || start || ':' || stop, ',' order by start, no) as base
+    from base group by doc_id)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+    sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from docs left join sums using (doc_id) left join spans using (doc_id)
+"""
+
 
 ORACLE_SQL = {
+    "op1_secrets": secrets_sql(),
     "op2_decontamination": r"""
 with word_lists as (
     select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
