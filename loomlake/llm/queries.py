@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, packing, quality, secrets, sharding, token_counts, toxicity
+from . import decontamination, exact_dedup, katz, packing, quality, secrets, sharding, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_token_counts, op5_sharding, op6_toxicity, op7_packing, op9_quality, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_token_counts, op4_katz, op5_sharding, op6_toxicity, op7_packing, op9_quality, op10_exact_dedup)}
 
 
 
