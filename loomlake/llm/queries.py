@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, katz, packing, quality, secrets, sharding, token_counts, toxicity
+from . import decontamination, exact_dedup, katz, near_dedup, packing, quality, secrets, sharding, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,7 +58,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_token_counts, op4_katz, op5_sharding, op6_toxicity, op7_packing, op9_quality, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_token_counts, op4_katz, op5_sharding, op6_toxicity, op7_packing, op8_near_dedup, op9_quality, op10_exact_dedup)}
 
 
 
