@@ -9,13 +9,15 @@ from .json_values import string_at, text_at, type_at
 
 # Fields tried in this order, and layouts besides what Spark reads by itself.
 CREATED_FIELDS = ("createdAt", "$createdAt", "created_at", "timestamp", "indexedAt")
-LAYOUTS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ssXXX", "EEE, dd MMM yyyy HH:mm:ss zzz", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd")
+LAYOUTS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ssXXX", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd")
+MAIL_LAYOUT = "dd MMM yyyy HH:mm:ss z"  # behind the day's name
 STRICT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 
 
 def parsed(text: Column) -> Column:
     """The first layout that reads the text; without a zone it is UTC; null when none does."""
-    return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(x)) for x in LAYOUTS])
+    dated = F.regexp_extract(text, r"^[A-Za-z]{3}, (.*)$", 1)
+    return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(x)) for x in LAYOUTS], F.try_to_timestamp(dated, F.lit(MAIL_LAYOUT)))
 
 
 def normalised_created_at(json: Column | str) -> Column:

@@ -65,11 +65,11 @@ def for_subjects(subjects: DataFrame, labels: DataFrame) -> DataFrame:
 def hydrated(records: DataFrame, labels: DataFrame, column: str = "externalLabels", key: str = "uri") -> DataFrame:
     """`records` with an array of their labels, newest first; key 'did' attaches the author's."""
     subjects = records.select(F.col(key).alias("s"), *([F.col("cid").alias("s_cid")] if key == "uri" else [])).distinct()
-    same = labels["uri"] == subjects["s"]
-    same = same & (labels["cid"].isNull() | (labels["cid"] == F.col("s_cid"))) if key == "uri" else same & labels["cid"].isNull()
-    item = F.struct("cts", "id", "src", "val", "neg", "exp")
+    given = labels.select(F.col("uri").alias("l_uri"), F.col("cid").alias("l_cid"), F.struct("cts", "id", "src", "val", "neg", "exp").alias("item"))
+    scope = F.col("l_cid").isNull()
+    scope = scope | (F.col("l_cid") == F.col("s_cid")) if key == "uri" else scope
     keys = ["s", "s_cid"] if key == "uri" else ["s"]
-    lists = subjects.join(labels.drop("uri"), (labels["uri"] == subjects["s"]) & same).groupBy(*keys).agg(F.reverse(F.array_sort(F.collect_list(item))).alias(column))
+    lists = subjects.join(given, (F.col("l_uri") == F.col("s")) & scope).groupBy(*keys).agg(F.reverse(F.array_sort(F.collect_list("item"))).alias(column))
     match = records[key] == lists["s"]
     if key == "uri":
         match = match & records["cid"].eqNullSafe(lists["s_cid"])
