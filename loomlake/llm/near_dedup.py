@@ -40,13 +40,14 @@ portable(__name__)
 
 BITS = 1024
 WORDS64 = BITS // 64
+SLICE = 200  # documents worked on at a time
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 class Shingler:
     """Distinct shingle hashes of texts; remembers the hashes of up to `remembered` words."""
 
-    def __init__(self, width: int, remembered: int = 600_000):
+    def __init__(self, width: int, remembered: int = 100_000):
         import numpy as np
         import xxhash
 
@@ -123,7 +124,11 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int, id_col: str,
 
         shingle, sign = Shingler(width), Signer(bands, rows)
 
-        def step(batch):
+        def step(whole):
+            for low in range(0, whole.num_rows, SLICE):
+                yield signed(whole.slice(low, SLICE))
+
+        def signed(batch):
             n, node, keys, sketch = [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingle(text)
@@ -137,7 +142,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int, id_col: str,
                     node.append(None)
                     keys.append(())
                     sketch.append(())
-            yield pa.RecordBatch.from_arrays(
+            return pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("doc"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
                 names=["doc_id", "doc", "n_shingles", "node", "keys", "sketch"],
             )
@@ -163,9 +168,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_co
 
         shingle = Shingler(width)
 
-        def step(batch):
-            found = [shingle(t).view("int64") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
+        def step(whole):
+            for low in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(low, SLICE)
+                found = [shingle(t).view("int64") for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
 
         return step
 
@@ -233,7 +240,7 @@ def merged(groups: DataFrame, links: DataFrame, folder: str, name: str) -> DataF
     )
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75, width: int = 5, bands: int = 64, rows: int = 6, rounds: int = 4, errors: float = 4.5) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75, width: int = 5, bands: int = 64, rows: int = 6, rounds: int = 2, errors: float = 4.5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs`. threshold: in hundredths."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
