@@ -78,8 +78,6 @@ def condition(field: str, kind: str, op: str, wanted: object, json: str = "json"
         return compare(value, op, wanted)
     if kind == "datetime" and instants:
         wanted = F.try_to_timestamp(F.lit(wanted))
-    if kind == "string":  # a number isn't text that looks like it
-        return compare(value, op, wanted)
     return compare(field_value(kind, value, instants), op, wanted)
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.json_values import text_at
-from ..functions.times import extracted_created_at, parsed
+from ..functions.times import extracted_created_at, normalised_created_at, parsed
+from ..functions.uris import is_valid_did
 
 # Ranges of the activity chart, hours and minutes of a bucket.
 ACTIVITY_RANGES = {"ONE_HOUR": (1, 5), "THREE_HOURS": (3, 15), "SIX_HOURS": (6, 30), "ONE_DAY": (24, 60), "SEVEN_DAYS": (168, 1440)}
@@ -92,23 +93,19 @@ def rebuilt_activity(records: DataFrame) -> DataFrame:
 
 
 def backfilled_created_at(records: DataFrame) -> DataFrame:
-    from ..functions.times import normalised_created_at
-
     return records.withColumn("record_created_at", F.coalesce("record_created_at", normalised_created_at("json")))
 
 
 def purge_preview(records: DataFrame, actors: DataFrame, did: str) -> DataFrame:
     """One row: is the DID valid, is there such an actor, how many records would go."""
-    from ..functions.uris import is_valid_did
-
     n = records.filter(F.col("did") == did).agg(F.count(F.lit(1)).alias("record_count"))
     known = actors.filter(F.col("did") == did).agg((F.count(F.lit(1)) > 0).alias("actor_exists"))
     return n.crossJoin(F.broadcast(known)).select(F.lit(did).alias("did"), is_valid_did(F.lit(did)).alias("valid"), "actor_exists", "record_count")  # one row each
 
 
-def ingestion_counters(events: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
-    """One row: received, created, updated, deleted and identity events, and errors. Works on streams in complete mode."""
-    n = lambda c: F.count_if(c)
+def ingestion_counters(events: DataFrame) -> DataFrame:
+    """One row: received, created, updated, deleted and identity events. Works on streams in complete mode."""
+    n = F.count_if
     record = F.col("kind") == "record"
     return events.agg(
         F.count(F.lit(1)).alias("received"), n(record & (F.col("action") == "create")).alias("created"), n(record & (F.col("action") == "update")).alias("updated"),

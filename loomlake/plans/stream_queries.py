@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import labels as L
 from ..schemas import ACTORS, EXTERNAL_LABELS, RECORDS
 from ..shared import shared_dir
 from ..streaming import changes as C
 from ..streaming.snapshots import Snapshots
 from .fixtures import spark_view
-from .label_queries import ACTIVE, AS_OF, NTZ, rows_of
+from .label_queries import ACTIVE, NTZ, as_of, rows_of
 from .record_queries import ACTORS as ACTORS_SQL
 from .record_queries import EVENTS
 from .registry import query
-from ..operators import labels as L
 
 
 def as_stream(df, folder: str, parts: int = 3):
@@ -83,7 +83,7 @@ def stream_labels(spark, sf_dir):
     full = rows.withColumns({c: F.lit(None).cast(t) for c, t in missing.items()})
     C.apply_labels(as_stream(full, folder), f"{folder}/state", f"{folder}/checkpoint").awaitTermination()
     state = Snapshots(spark, f"{folder}/state")
-    found = L.active(state.read("newest", EXTERNAL_LABELS, state.version()), AS_OF)
+    found = L.active(state.read("newest", EXTERNAL_LABELS, state.version()), as_of())
     return NTZ(found.select("src", "uri", "cid", "val", "cts"), "cts")
 
 
