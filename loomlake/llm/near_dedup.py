@@ -10,14 +10,14 @@ linked when 100 * intersection >= 75 * union. Steps:
 3. Nodes that share a band key are candidates. With 64 bands of 6, a pair at the threshold is
    missed with probability 4e-6, a pair at 0.8 with 4e-9.
 4. Rounds: each key takes one node as pivot, in an order that changes from round to round, and
-   the others are compared with it, so a key with n nodes costs n comparisons, not n * n. Odd
-   sketches drop pairs whose estimate lies more than 4.5 standard errors below the threshold; the best
+   the others may be compared with it, so a key with n nodes costs n comparisons, not n * n. Of a
+   node's pivots the `tries` that share most of its keys are. Odd sketches drop pairs whose estimate lies more than 4.5 standard errors below the threshold; the best
    pair of each node is confirmed on the full sets, and linked groups are merged.
 5. What is left: pairs that share a key but lie in different groups. All of them are compared by
    sketches inside the join, those that pass are confirmed, and groups are merged. After that no
    candidate pair is untested except inside one group, where it could change nothing.
 
-Groups are merged by minimum labels with pointer jumping. Nothing is collected on the driver but
+Groups are merged by pointer jumping, after the first round along minimum labels of neighbours. Nothing is collected on the driver but
 counts. Tables between steps lie in the shared folder.
 
 Defined cases: null, empty and blank texts have no shingles and are linked with nothing; a text of
@@ -240,7 +240,20 @@ def merged(groups: DataFrame, links: DataFrame, folder: str, name: str) -> DataF
     )
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75, width: int = 5, bands: int = 64, rows: int = 6, rounds: int = 2, errors: float = 4.5) -> DataFrame:
+def rooted(groups: DataFrame, links: DataFrame, folder: str, name: str) -> DataFrame:
+    """`groups` after merging along `links` in which each a points to one b and no path comes back: roots by pointer jumping."""
+    parents, step = links, 0
+    while True:
+        step += 1
+        above = parents.select(F.col("a").alias("b"), F.col("b").alias("top"))
+        new = stored(parents.join(above, "b", "left").select("a", F.coalesce("top", "b").alias("b"), F.col("top").isNotNull().alias("moved")), folder, f"{name}-roots-{step}")
+        if new.filter("moved").isEmpty():
+            break
+        parents = new.drop("moved")
+    return stored(groups.join(new.select(F.col("a").alias("node"), "b"), "node", "left").select("node", F.coalesce("b", "comp").alias("comp")), folder, f"{name}-groups")
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75, width: int = 5, bands: int = 64, rows: int = 6, rounds: int = 3, tries: int = 3, errors: float = 4.5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs`. threshold: in hundredths."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
@@ -267,12 +280,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .filter("low <> high")
             .select("key", "b", "b_comp")
         )
-        pairs = placed.join(pivots, "key").filter("comp <> b_comp").select(F.col("node").alias("a"), "b").distinct()
-        best = links.likely(pairs).groupBy("a").agg(F.min_by("b", "apart").alias("b"))
+        # A node has as many keys as bands; the pivots that it shares most of them with are the likeliest.
+        met = placed.join(pivots, "key").filter("comp <> b_comp").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
+        first = met.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "b"))), 1, tries).alias("b"))
+        pairs = first.select("a", F.explode("b.b").alias("b"))
+        best = links.likely(pairs).groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
         found = stored(links.confirmed(best), folder, f"round-{k}")
         if found.isEmpty():
             break
-        groups = merged(groups, found, folder, f"round-{k}")
+        # In the first round a node points to one that comes before it in the round's order, so links are trees.
+        groups = (merged if k else rooted)(groups, found, folder, f"round-{k}")
 
     # Pairs of different groups under one key: members outside a key's largest group, against all others.
     placed = members.join(groups, "node")
