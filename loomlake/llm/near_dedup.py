@@ -13,8 +13,8 @@ linked when 100 * intersection >= 75 * union. Steps:
    the others may be compared with it, so a key with n nodes costs n comparisons, not n * n. Of a
    node's pivots the `tries` that share most of its keys are. Odd sketches drop pairs whose estimate lies more than 4.5 standard errors below the threshold; the best
    pair of each node is confirmed on the full sets, and linked groups are merged.
-5. What is left: pairs that share a key but lie in different groups. All of them are compared by
-   sketches inside the join, those that pass are confirmed, and groups are merged. After that no
+5. What is left: pairs that share a key but lie in different groups. All of them are compared inside
+   the join, by sketches and then by full sets, and groups are merged. After that no
    candidate pair is untested except inside one group, where it could change nothing.
 
 Groups are merged by pointer jumping, after the first round along minimum labels of neighbours. Nothing is collected on the driver but
@@ -189,15 +189,22 @@ def sized(a: str, b: str, threshold: int) -> Column:
     return 100 * F.least(a, b) >= threshold * F.greatest(a, b)
 
 
+def linked_sets(threshold: int) -> Column:
+    """100 * intersection >= threshold * union, with the union as the sizes less the intersection."""
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    return (100 + threshold) * shared >= threshold * (F.size("a_set") + F.size("b_set"))
+
+
 class Links:
     """Candidate tests and confirmation over the stored tables of one run."""
 
     def __init__(self, nodes: DataFrame, sets: DataFrame, threshold: int, most: int):
         self.nodes, self.sets, self.threshold, self.most = nodes, sets, threshold, most
 
-    def side(self, name: str) -> DataFrame:
-        """The nodes' sizes and sketches under names for one side of a pair."""
-        return self.nodes.select(F.col("node").alias(name), F.col("n_shingles").alias(f"{name}_n"), *[F.col("sketch")[k].alias(f"{name}_s{k}") for k in range(WORDS64)])
+    def side(self, name: str, full: bool = False) -> DataFrame:
+        """The nodes' sizes and sketches (and sets) under names for one side of a pair."""
+        nodes = self.nodes.join(self.sets, "node") if full else self.nodes
+        return nodes.select(F.col("node").alias(name), F.col("n_shingles").alias(f"{name}_n"), *[F.col("sketch")[k].alias(f"{name}_s{k}") for k in range(WORDS64)], *([F.col("shingles").alias(f"{name}_set")] if full else []))
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Pairs a, b (and other columns) whose sketches may reach the threshold, with their distance."""
@@ -209,9 +216,7 @@ class Links:
         sets = self.sets
         first = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set")), "a")
         both = first.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_set")), "b")
-        shared = F.size(F.array_intersect("a_set", "b_set"))
-        union = F.size("a_set") + F.size("b_set") - shared
-        return both.filter(100 * shared >= self.threshold * union).select("a", "b")
+        return both.filter(linked_sets(self.threshold)).select("a", "b")
 
 
 def merged(groups: DataFrame, links: DataFrame, folder: str, name: str) -> DataFrame:
@@ -295,11 +300,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = members.join(groups, "node")
     largest = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
     open_ = stored(placed.join(largest.filter("comps > 1").select("key", "main"), "key"), folder, "open")
-    one = open_.filter("comp <> main").select("key", F.col("node").alias("a"), F.col("comp").alias("a_comp")).join(links.side("a"), "a")
-    other = open_.select("key", F.col("node").alias("b"), F.col("comp").alias("b_comp"), (F.col("comp") == F.col("main")).alias("in_main")).join(links.side("b"), "b")
+    one = open_.filter("comp <> main").select("key", F.col("node").alias("a"), F.col("comp").alias("a_comp")).join(links.side("a", full=True), "a")
+    other = open_.select("key", F.col("node").alias("b"), F.col("comp").alias("b_comp"), (F.col("comp") == F.col("main")).alias("in_main")).join(links.side("b", full=True), "b")
     near = (F.col("in_main") | (F.col("a") < F.col("b"))) & sized("a_n", "b_n", threshold) & (bits_apart("a_s", "b_s") <= links.most)
-    rest = one.join(other, (one["key"] == other["key"]) & (F.col("a_comp") != F.col("b_comp")) & near).select("a", "b").distinct()
-    found = stored(links.confirmed(rest), folder, "rest")
+    apart = (one["key"] == other["key"]) & (F.col("a_comp") != F.col("b_comp"))
+    found = stored(one.join(other, apart & near & linked_sets(threshold)).select("a", "b").distinct(), folder, "rest")
     if not found.isEmpty():
         groups = merged(groups, found, folder, "rest-groups")
 
