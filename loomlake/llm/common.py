@@ -81,8 +81,18 @@ def numbered(df: DataFrame, key: list[str], order: list[str], name: str, chunks:
     )
 
 
+#: Rows of an Arrow batch at most: texts may be long, and a batch is held several times on its way.
+BATCH_ROWS = 1_000
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str | T.StructType) -> DataFrame:
-    """Run `make()` once in each task and its result on each Arrow batch."""
+    """Run `make()` once in each task and its result on each Arrow batch of at most BATCH_ROWS rows.
+
+    The session keeps that setting, which plans read when they run.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
 
     def run(batches):
         step = make()

@@ -37,7 +37,7 @@ FIRST = 1 << 48
 class Encoder:
     """Token ids of texts; remembers the ids of up to `remembered` words."""
 
-    def __init__(self, tokenizer_file: str, remembered: int = 400_000):
+    def __init__(self, tokenizer_file: str, remembered: int = 100_000):
         import numpy as np
         from tokenizers import Tokenizer, pre_tokenizers
 
