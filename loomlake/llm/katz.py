@@ -9,20 +9,21 @@ stands before the first. With c counts of the training texts, N tokens and n_r t
     P(w)     = d1(c(w)) c(w) / N'                 for known words, the rest for unknown ones.
 
 d(r) for r up to 5 are Good-Turing discounts ((r*/r - A) / (1 - A), r* = (r+1) n_(r+1) / n_r,
-A = 6 n_6 / n_1), 1 where the counts of counts give none between 0 and 1. B(h) is the sum of
+A = 6 n_6 / n_1), or r / (r + 1) where the counts of counts give none between 0 and 1. B(h) is the sum of
 (1 - d(r)) r over h's pairs, the mass that discounts left, and S(h) the sum of P over the words
-seen after h, so every context sums to 1 exactly. A context without discounted pairs gets
+seen after h, so every context sums to 1 exactly. A context whose pairs all have counts above 5 gets
 B(h) = 1 and D(h) = c(h) + 1, else D(h) = c(h); likewise N' = N + 1 where no count is discounted.
 
 Tables. Words are 64-bit hashes; the `hot` most frequent words (a fixed number, broadcast) have
 short codes instead, so sorted blocks of pairs shrink. Counting and scoring pairs is one shuffle: a
-block of documents sends its pairs, with the documents they stand in, to parts; a part holds all
-of a rare context, while pairs after a hot word are spread by pair. Each part counts its pairs, stores
-them (`pairs`), and sums log10 c for each document where the pair was seen in training; a pair that
-was not goes on, as (document, h, w), to be looked up one order lower, in the table of single words
-(`words`: count, P, D, B, S), which is where the recursion ends. Pairs of a block that stand in many of
-its documents are counted once for the block and joined with their counts afterwards, so no part
-gets a row for each document of the corpus. Sums over documents are ordinary aggregations.
+block of documents sends its pairs, with the places of the documents they stand in, to parts; a part
+holds all of a rare context, while pairs after a hot word are spread by pair. Each part counts its
+pairs, stores them (`pairs`), and adds up for each document log10 c of pairs that training has, and
+what rare words need (their counts are the sums over their pairs). A pair that training lacks goes
+on, as (document, h, w), to be looked up one order lower, in the table of single words (`words`:
+count, P, D, B, S), which is where the recursion ends. Pairs that many documents of a block hold are
+counted once for the block and joined with their counts afterwards, so no part gets a row for each
+document of the corpus. Sums over documents are ordinary aggregations.
 
 Defined cases: null text counts as empty; an empty text is the end token alone; rows that repeat
 an id and a text each count in training and get the same scores; rows without an id are taken by
@@ -51,7 +52,7 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 class Coder:
     """Codes of words: those of `hot` words, else 64-bit hashes; remembers `remembered` words."""
 
-    def __init__(self, hot: dict[int, int], remembered: int = 600_000):
+    def __init__(self, hot: dict[int, int], remembered: int = 150_000):
         import xxhash
 
         class Known(dict):
@@ -115,23 +116,34 @@ def word_counts(rows: DataFrame) -> DataFrame:
 def pair_blocks(rows: DataFrame, hot, parts: int, common: int) -> DataFrame:
     """Pairs of blocks of documents, as arrays, by part.
 
-    A row has the pairs of one block in one part: h, w, d (place in docs), n. A pair that stands in
-    at least `common` documents of a block has an entry without document (d = -1) whose n counts the
-    training ones, and a row of its own with docs and n (of each document) and an empty d.
+    A block has a number (a hash of its documents) from which its documents are counted. A row has the
+    pairs of one block in one part: h, w, d (place in the block, -1: none), n. A pair that at
+    least `common` documents of a block hold has an entry without document whose n counts the training ones, and a
+    row of its own with places d and n of each document, and no `train`. Another row names the block's documents.
+    w has the codes of hot words in 16 bits, 0 for others, whose codes are in `far`, in the order of their entries.
     """
-    schema = "part int, docs array<long>, train array<boolean>, h array<long>, w array<long>, d array<int>, n array<int>"
+    schema = "part int, block long, docs array<long>, train array<boolean>, h array<long>, w array<short>, far array<long>, d array<short>, n array<int>"
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import xxhash
 
         code = Coder(hot.value)
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-
-        def batch_of(part, columns):
-            """columns: (values, ends of the rows' lists)."""
-            lists = [pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(values, kind)) for (values, ends), kind in zip(columns, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *lists], names=["part", "docs", "train", "h", "w", "d", "n"])
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int16(), pa.int64(), pa.int16(), pa.int32()]
+
+        def batch_of(part, number, columns):
+            """columns: (values, ends of the rows' lists), or None for empty lists; w is split here."""
+            if columns[3] is not None:
+                w, ends = columns[3]
+                rare = (w < 0) | (w >= LIMIT)
+                short = np.where(rare, 0, w).astype(np.uint16).view(np.int16)
+                columns = [*columns[:3], (short, ends), (w[rare], np.append(0, np.cumsum(rare))[ends]), *columns[4:]]
+            else:
+                columns = [*columns[:4], None, *columns[4:]]
+            none = (np.zeros(0, np.int64), np.zeros(len(part), np.int64))
+            lists = [pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(values.astype(kind.to_pandas_dtype()), kind)) for (values, ends), kind in zip((c or none for c in columns), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(np.full(len(part), number, np.int64)), *lists], names=["part", "block", "docs", "train", "h", "w", "far", "d", "n"])
 
         def dealt(h, w, salt=0):
             """Parts: by context, pairs after a hot word by pair."""
@@ -140,6 +152,9 @@ def pair_blocks(rows: DataFrame, hot, parts: int, common: int) -> DataFrame:
             return ((mixed ^ mixed >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)
 
         for block in blocks(batches):
+            docs, train = block.column("doc").to_numpy(), ~np.array(block.column("held_out").to_pylist(), bool)
+            number = int(np.uint64(xxhash.xxh3_64_intdigest(docs.tobytes())).view(np.int64)) >> 1
+            yield batch_of(np.array([number % parts]), number, [(docs, [len(docs)]), None, None, None, None, None])
             seqs = [np.concatenate([[START], code(t), [END]]) for t in block.column("text").to_pylist()]
             h, w = np.concatenate([s[:-1] for s in seqs]), np.concatenate([s[1:] for s in seqs])
             d = np.repeat(np.arange(len(seqs), dtype=np.int32), [len(s) - 1 for s in seqs])
@@ -151,92 +166,134 @@ def pair_blocks(rows: DataFrame, hot, parts: int, common: int) -> DataFrame:
             h, w, d = h[at], w[at], d[at]
             first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
             holders = np.diff(np.append(first, len(h)))
-            docs, train = block.column("doc").to_numpy(), ~np.array(block.column("held_out").to_pylist(), bool)
             wide = np.repeat(holders >= common, holders)
             if wide.any():
                 start = first[holders >= common]
                 ends = np.cumsum(holders[holders >= common])
                 counts = np.add.reduceat((n * train[d])[wide], np.append(0, ends[:-1])).astype(np.int32)
-                one, no = np.arange(1, len(start) + 1), np.zeros(len(start), np.int64)
-                empty = (np.zeros(0, np.int32), no)
-                yield batch_of(
-                    dealt(h[start], w[start], int(docs[0]) & 0x7FFFFFFF),
-                    [(docs[d[wide]], ends), (np.zeros(0, bool), no), (h[start], one), (w[start], one), empty, (n[wide], ends)],
-                )
+                one = np.arange(1, len(start) + 1)
+                yield batch_of(dealt(h[start], w[start], number & 0x7FFFFFFF), number, [None, None, (h[start], one), (w[start], one), (d[wide], ends), (n[wide], ends)])
                 h, w, d, n = (np.append(x[~wide], y) for x, y in ((h, h[start]), (w, w[start]), (d, np.full(len(start), -1, np.int32)), (n, counts)))
             part = dealt(h, w)
             order = np.argsort(part, kind="stable")
             names, begin = np.unique(part[order], return_index=True)
             ends, k = np.append(begin[1:], len(part)), len(names)
-            all_docs = np.arange(1, k + 1) * len(docs)
-            yield batch_of(names, [(np.tile(docs, k), all_docs), (np.tile(train, k), all_docs), *((x[order], ends) for x in (h, w, d, n))])
+            yield batch_of(names, number, [None, (np.tile(train, k), np.arange(1, k + 1) * len(train)), *((x[order], ends) for x in (h, w, d, n))])
 
     return rows.select("doc", "held_out", "text").mapInArrow(run, schema)
 
 
-COUNTED = "kind string, doc long, h long, w long, c long, x double, " + ", ".join(f"m{r} int" for r in range(1, K + 1)) + ", docs array<long>, n array<int>"
+#: block rows: a (number), docs. wide rows: a (number), h, w, docs (keys of places), n. pair rows: h, w, c. new rows: a (document's
+#: key), h, w, c (times). doc rows: a, x (log10 of counts), y (log10 of rare words' counts + 1), c (known rare words), m1 .. m5.
+#: context rows: h, x (sum of P of hot words after h), m1 .. m5 (pairs with these counts).
+COUNTED = "kind string, a long, h long, w long, c long, x double, y double, " + ", ".join(f"m{r} int" for r in range(1, K + 1)) + ", docs array<long>, n array<int>"
+CLASSES = [f"m{r}" for r in range(1, K + 1)]
 
 
-def count_part(table):
-    """Of one part: its pairs with counts, sums for each document, pairs not seen in training; rows of common pairs pass."""
-    import numpy as np
-    import pyarrow as pa
-
-    names = ["kind", "doc", "h", "w", "c", "x", *(f"m{r}" for r in range(1, K + 1)), "docs", "n"]
-    kinds = [pa.string(), *[pa.int64()] * 4, pa.float64(), *[pa.int32()] * K, pa.list_(pa.int64()), pa.list_(pa.int32())]
-
-    def some(kind, size, **columns):
-        arrays = [pa.array([kind] * size, pa.string()) if n == "kind" else pa.array(columns[n], t) if n in columns else pa.nulls(size, t) for n, t in zip(names, kinds, strict=True)]
-        return pa.table(arrays, names=names)
-
-    def flat(name, rows):
-        return rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-
-    import pyarrow.compute as pc
-
-    own = pc.equal(pc.list_value_length(table.column("d")), 0)
-    common, table = table.filter(own), table.filter(pc.invert(own))
-    passed = some("wide", common.num_rows, h=flat("h", common), w=flat("w", common), docs=common.column("docs").combine_chunks(), n=common.column("n").combine_chunks())
-    if not table.num_rows:
-        return passed
-    docs, train, h, w, d, n = (flat(x, table) for x in ("docs", "train", "h", "w", "d", "n"))
-    base = np.cumsum([0, *pc.list_value_length(table.column("docs")).to_pylist()])[:-1]
-    sizes = pc.list_value_length(table.column("h")).to_numpy()
-    whole = d < 0
-    d = d.astype(np.int64) + np.repeat(base, sizes)
-    order = np.lexsort((w, h))
-    h, w, d, n, whole = h[order], w[order], d[order], n[order].astype(np.int64), whole[order]
-    trained = np.where(whole, n, n * train[np.where(whole, 0, d)])
-    first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
-    c = np.add.reduceat(trained, first)
-    had = c > 0
-    each = np.repeat(c, np.diff(np.append(first, len(h))))
-    seen = (each > 0) & ~whole
-    hit, k, times = d[seen], each[seen], n[seen]
-    used, place = np.unique(hit, return_inverse=True)
-    sums = np.bincount(place, weights=times * np.log10(k), minlength=len(used))
-    classes = {f"m{r}": np.bincount(place, weights=times * (k == r), minlength=len(used)).astype(np.int32) for r in range(1, K + 1)}
-    new = (each == 0) & ~whole
-    return pa.concat_tables(
-        [
-            passed,
-            some("pair", int(had.sum()), h=h[first][had], w=w[first][had], c=c[had]),
-            some("doc", len(used), doc=docs[used], x=sums, **classes),
-            some("new", int(new.sum()), doc=docs[d[new]], h=h[new], w=w[new], c=n[new]),
-        ]
-    )
+def counter(p_hot, pieces: int = 4):
+    """A function that counts the pairs of one part. p_hot: broadcast P of hot words by code."""
+
+    def count_part(table):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        kinds = {"kind": pa.string(), "a": pa.int64(), "h": pa.int64(), "w": pa.int64(), "c": pa.int64(), "x": pa.float64(), "y": pa.float64(), **{m: pa.int32() for m in CLASSES}, "docs": pa.list_(pa.int64()), "n": pa.list_(pa.int32())}
+
+        def some(kind, size, **columns):
+            columns["kind"] = pa.array([kind], pa.string()).take(pa.array(np.zeros(size, np.int32)))
+            return pa.table([pa.array(columns[k], t) if k in columns and not isinstance(columns[k], pa.Array) else columns[k] if k in columns else pa.nulls(size, t) for k, t in kinds.items()], names=list(kinds))
+
+        def flat(name, rows):
+            return rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+        def list_of(name, rows):
+            return rows.column(name).combine_chunks()
+
+        def words_of(rows):
+            w = flat("w", rows).view(np.uint16).astype(np.int64)
+            w[w == 0] = flat("far", rows)
+            return w
+
+        has = {k: pc.greater(pc.list_value_length(table.column(k)), 0) for k in ("docs", "train")}
+        blocks_, entries = table.filter(has["docs"]), table.filter(has["train"])
+        wide = table.filter(pc.and_(pc.invert(has["docs"]), pc.invert(has["train"])))
+        out = [some("block", blocks_.num_rows, a=blocks_.column("block").to_numpy(), docs=list_of("docs", blocks_))]
+        if wide.num_rows:
+            keys = np.repeat(wide.column("block").to_numpy(), pc.list_value_length(wide.column("d")).to_numpy()) + flat("d", wide).astype(np.int64)
+            places = pa.ListArray.from_arrays(list_of("d", wide).offsets, pa.array(keys))
+            out.append(some("wide", wide.num_rows, a=wide.column("block").to_numpy(), h=flat("h", wide), w=words_of(wide), docs=places, n=list_of("n", wide)))
+        del table, wide, blocks_
+        if not entries.num_rows:
+            return pa.concat_tables(out)
+        sizes = pc.list_value_length(entries.column("h")).to_numpy()
+        base = np.append(0, np.cumsum(pc.list_value_length(entries.column("train")).to_numpy())[:-1])
+        train = flat("train", entries)
+        d = flat("d", entries).astype(np.int64)
+        n_all, key_all = flat("n", entries), np.repeat(entries.column("block").to_numpy(), sizes) + d
+        trained = np.where(d < 0, n_all, n_all * train[np.where(d < 0, 0, d + np.repeat(base, sizes))]).astype(np.int32)
+        h_all, w_all, whole_all = flat("h", entries), words_of(entries), d < 0
+        del entries, d, train
+        used, place_all = np.unique(key_all[~whole_all], return_inverse=True)
+        spots = np.zeros(len(h_all), np.int32)
+        spots[~whole_all] = place_all
+        x, y, known = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used), np.int64)
+        classes = np.zeros((K, len(used)), np.int64)
+        piece = (h_all.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(pieces)
+        p = p_hot.value
+        for k in range(pieces):  # contexts at a time, for less memory
+            own = np.flatnonzero(piece == k)
+            if not len(own):
+                continue
+            own = own[np.lexsort((w_all[own], h_all[own]))]
+            h, w, n, whole, spot = h_all[own], w_all[own], n_all[own], whole_all[own], spots[own]
+            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
+            c = np.add.reduceat(trained[own].astype(np.int64), first)
+            had = c > 0
+            th, tw, tc = h[first][had], w[first][had], c[had]
+            out.append(some("pair", len(th), h=th, w=tw, c=tc))
+            each = np.repeat(c, np.diff(np.append(first, len(h))))
+            seen = (each > 0) & ~whole
+            x += np.bincount(spot[seen], n[seen] * np.log10(each[seen]), len(used))
+            for r in range(1, K + 1):
+                one = seen & (each == r)
+                classes[r - 1] += np.bincount(spot[one], n[one], len(used)).astype(np.int64)
+            new = (each == 0) & ~whole
+            out.append(some("new", int(new.sum()), a=key_all[own[new]], h=h[new], w=w[new], c=n[new].astype(np.int64)))
+            # Contexts: all of a rare one is here, so its count and whether it has discounted pairs are known.
+            begin = np.flatnonzero(np.r_[True, th[1:] != th[:-1]]) if len(th) else np.zeros(0, np.int64)
+            if len(th):
+                hot = (tw >= 0) & (tw < LIMIT)
+                ps = np.add.reduceat(np.where(hot, p[np.where(hot, tw, 0)], 0.0), begin)
+                by = {m: np.add.reduceat((tc == r).astype(np.int32), begin) for r, m in enumerate(CLASSES, 1)}
+                out.append(some("context", len(begin), h=th[begin], x=ps, **by))
+                rare = (th[begin] < 0) | (th[begin] >= LIMIT)
+                names, count = th[begin][rare], np.add.reduceat(tc, begin)[rare]
+                more = count + (sum(by[m] for m in CLASSES)[rare] == 0)
+                far = (h < 0) | (h >= LIMIT)
+                if len(names):
+                    where = np.minimum(np.searchsorted(names, h), len(names) - 1)
+                    inside = far & ~whole & (names[where] == h)
+                    at, times = where[inside], n[inside]
+                    x -= np.bincount(spot[inside], times * np.log10(more[at]), len(used))
+                    y += np.bincount(spot[inside], times * np.log10(count[at] + 1.0), len(used))
+                    known += np.bincount(spot[inside], times, len(used)).astype(np.int64)
+        out.append(some("doc", len(used), a=used, c=known, x=x, y=y, **{m: classes[r].astype(np.int32) for r, m in enumerate(CLASSES)}))
+        return pa.concat_tables(out)
+
+    return count_part
 
 
 def discounts(n: dict[int, int]) -> list[float]:
     """d(1) .. d(K) of Good and Turing in Katz's form, from the counts of counts."""
     found = []
     for r in range(1, K + 1):
-        d = 1.0
+        d = 0.0
         if n.get(r) and n.get(1):
             a = (K + 1) * n.get(K + 1, 0) / n[1]
             if a != 1:
                 d = ((r + 1) * n.get(r + 1, 0) / n[r] / r - a) / (1 - a)
-        found.append(d if 0 < d < 1 else 1.0)
+        found.append(d if 0 < d < 1 else r / (r + 1))
     return found
 
 
@@ -260,7 +317,7 @@ def tidy(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def score(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", text_col: str = "text", hot: int = 60_000, entries: int = 2_000_000, common: int = 48) -> DataFrame:
+def score(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", text_col: str = "text", hot: int = 60_000, entries: int = 1_000_000, common: int = 48) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of `docs`.
 
     held: which rows to keep from training (default: crc32 of the id modulo 7 is 2).
@@ -284,61 +341,62 @@ def score(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", t
     singles = coded.withColumn("p", p_word)
 
     sent = spark.sparkContext.broadcast(dict(top))
-    parts = max(64, -(-n_tokens // entries))
-    pairs = stored(pair_blocks(rows, sent, parts, common).groupBy("part").applyInArrow(count_part, COUNTED), folder, "pairs")
+    hot_rows = singles.filter(F.col("code").between(0, LIMIT - 1)).collect()  # `hot` words and the two marks
+    size = max([END, *(r["code"] for r in hot_rows)]) + 1
+    p_hot = [0.0] * size
+    for r in hot_rows:
+        p_hot[r["code"]] = r["p"]
+    parts = max(24, -(-n_tokens // entries))
+    counter_ = counter(spark.sparkContext.broadcast(array_of(p_hot)))
+    if FIRST_HOT + hot > 65_535:
+        raise ValueError("codes of hot words have 16 bits")
+    pairs = by_kind(pair_blocks(rows, sent, parts, common).groupBy("part").applyInArrow(counter_, COUNTED), folder, "pairs")
     tidy(spark)
     bigrams = pairs.filter("kind = 'pair'").select("h", "w", "c")
     two = discounts({r["c"]: r["n"] for r in bigrams.filter(F.col("c") <= K + 1).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()})
 
     # The table of single words: count, P, and as contexts log10 of D and of B / (1 - S).
-    left = F.sum((1 - by_count(F.col("c"), two, 1.0)) * F.when(F.col("c") <= K, F.col("c")).otherwise(0))
-    after = looked_up(bigrams, singles.select("code", "p"), "w", "inner").groupBy("h").agg(left.alias("b"), F.sum("p").alias("s"))
-    words = (
-        singles.join(after.withColumnRenamed("h", "code"), "code", "left")
-        .select(
-            "code",
-            "c",
-            F.when(F.col("code") != START, F.log10("p")).alias("log_p"),
-            F.log10(F.col("c") + F.when(F.coalesce("b", F.lit(0.0)) > 0, 0).otherwise(1)).alias("log_d"),
-            (F.log10(F.when(F.col("b") > 0, F.col("b")).otherwise(F.lit(1.0))) - F.log10(1 - F.col("s"))).alias("log_a"),
-        )
+    rare_after = bigrams.filter(~F.col("w").between(0, LIMIT - 1)).select("h", F.col("w").alias("code"))
+    rare_after = rare_after.join(singles.filter(~F.col("code").between(0, LIMIT - 1)).select("code", "p"), "code").groupBy("h").agg(F.sum("p").alias("s"))
+    left = sum((F.col(m) * F.lit(r * (1 - d)) for r, (m, d) in enumerate(zip(CLASSES, two, strict=True), 1)), F.lit(0.0))
+    contexts = pairs.filter("kind = 'context'").select("h", F.col("x").alias("s"), left.alias("b")).unionByName(rare_after, allowMissingColumns=True)
+    after = contexts.groupBy(F.col("h").alias("code")).agg(F.sum("b").alias("b"), F.sum("s").alias("s"))
+    words = singles.join(after, "code", "left").select(
+        "code",
+        "c",
+        F.when(F.col("code") != START, F.log10("p")).alias("log_p"),
+        F.log10(F.col("c") + F.when(F.coalesce("b", F.lit(0.0)) > 0, 0).otherwise(1)).alias("log_d"),
+        (F.log10(F.when(F.col("b") > 0, F.col("b")).otherwise(F.lit(1.0))) - F.log10(1 - F.col("s"))).alias("log_a"),
     )
     words = stored(words, folder, "words")
     tidy(spark)
 
     log_two = by_count(F.col("c"), [math.log10(d) for d in two], 0.0)
-    none, n_rows = F.lit(0.0), F.lit(0).cast("long")
+    none = F.lit(0.0)
     seen = pairs.filter("kind = 'doc'").select(
-        "doc", (F.col("x") + sum((F.col(f"m{r}") * F.lit(math.log10(d)) for r, d in enumerate(two, 1)), none)).alias("score")
+        "a", (F.col("x") + sum((F.col(m) * F.lit(math.log10(d)) for m, d in zip(CLASSES, two, strict=True)), none)).alias("score"), F.col("y").alias("base"), F.col("c").alias("n_known")
     )
     log_unknown = math.log10(unknown) if unknown > 0 else 0.0
-    backed = looked_up(pairs.filter("kind = 'new'").select("doc", "h", "w", F.col("c").alias("n")), words.select("code", "log_a"), "h")
+    backed = looked_up(pairs.filter("kind = 'new'").select("a", "h", "w", F.col("c").alias("n")), words.select("code", "log_a"), "h")
     backed = looked_up(backed, words.select("code", "log_p"), "w")
-    backed = backed.select("doc", (F.col("n") * (F.coalesce("log_a", none) + F.coalesce("log_p", F.lit(log_unknown)))).alias("score"))
+    backed = backed.select("a", (F.col("n") * (F.coalesce("log_a", none) + F.coalesce("log_p", F.lit(log_unknown)))).alias("score"))
     # Pairs that many documents of a block share: a row for each block, joined with its count.
     wide = pairs.filter("kind = 'wide'").select("h", "w", "docs", "n")
     wide = wide.join(wide.select("h", "w").distinct().join(bigrams, ["h", "w"]), ["h", "w"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    wide = looked_up(looked_up(wide, words.select("code", "log_a"), "h"), words.select("code", "log_p"), "w")
+    wide = looked_up(looked_up(wide, words.select("code", "log_a", "log_d", F.col("c").alias("h_c")), "h"), words.select("code", "log_p"), "w")
     log_pair = F.when(F.col("c") > 0, F.log10("c") + log_two).otherwise(F.coalesce("log_a", none) + F.coalesce("log_p", F.lit(log_unknown)))
-    shared_pairs = wide.select(log_pair.alias("x"), F.explode(F.arrays_zip("docs", "n")).alias("e")).select(F.col("e.docs").alias("doc"), (F.col("e.n") * F.col("x")).alias("score"))
+    rare_h = ~F.col("h").between(0, LIMIT - 1) & (F.col("h_c") > 0)
+    shared_pairs = wide.select(
+        (log_pair - F.when(rare_h, F.col("log_d")).otherwise(0.0)).alias("x"), F.when(rare_h, F.log10(F.col("h_c") + 1.0)).otherwise(0.0).alias("y"),
+        rare_h.cast("long").alias("k"), F.explode(F.arrays_zip("docs", "n")).alias("e"),
+    ).select(F.col("e.docs").alias("a"), (F.col("e.n") * F.col("x")).alias("score"), (F.col("e.n") * F.col("y")).alias("base"), (F.col("e.n") * F.coalesce("k", F.lit(0))).alias("n_known"))
+    by_place = seen.unionByName(shared_pairs).unionByName(backed, allowMissingColumns=True).groupBy("a").agg(*[F.sum(c).alias(c) for c in ("score", "base", "n_known")])
+    names = pairs.filter("kind = 'block'").select("a", F.posexplode("docs").alias("k", "doc")).select((F.col("a") + F.col("k")).alias("a"), "doc")
+    from_pairs = names.join(by_place, "a").select("doc", "score", "base", "n_known")
 
-    # Words of each document, hot ones summed where they stand, others looked up.
     hot_table = {r["code"]: (r["c"], r["log_d"]) for r in words.filter(F.col("code").between(0, LIMIT - 1)).select("code", "c", "log_d").collect()}
     shared = spark.sparkContext.broadcast((dict(top), hot_table))
-    single = single_words(rows, shared)
-    kind = dict(rows.dtypes)["doc_id"]
-    mine = single.filter("w is null").select("doc", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", F.lit(1).cast("long").alias("n_rows"))
-    cold = words.filter(~F.col("code").between(0, LIMIT - 1)).select(F.col("code").alias("w"), "c", "log_d")
-    rare = single.filter("w is not null").select("doc", "w", F.col("n_tokens").alias("n")).join(cold, "w", "left")
-    rare = rare.select(
-        "doc", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), n_rows.alias("n_tokens"),
-        F.when(F.col("c") > 0, F.col("n")).otherwise(0).cast("long").alias("n_known"),
-        (F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("base"),
-        (-F.col("n") * F.coalesce("log_d", none)).alias("score"), n_rows.alias("n_rows"),
-    )
-    sums = mine.unionByName(rare)
-    for part in (seen, backed, shared_pairs):
-        sums = sums.unionByName(part.select("doc", "score"), allowMissingColumns=True)
+    sums = single_words(rows, shared).withColumn("n_rows", F.lit(1).cast("long")).unionByName(from_pairs, allowMissingColumns=True)
     found = sums.groupBy("doc").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"),
         *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score", "n_rows")],
@@ -354,9 +412,27 @@ def score(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", t
     )
 
 
+def by_kind(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """`df` stored in a folder for each kind, written side by side so that rows need no sorting."""
+    spark, key = df.sparkSession, "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "8")
+    try:
+        df.write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/{name}")
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def array_of(values: list[float]):
+    import numpy as np
+
+    return np.array(values)
+
+
 def single_words(rows: DataFrame, shared) -> DataFrame:
-    """A row for each document with the sums over its hot words, then a row for each other word (w) in it."""
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, doc long, held_out boolean, w long, n_tokens long, n_known long, base double, score double"
+    """A row for each document with its number of tokens and the sums over its hot words."""
+    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, doc long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
     def run(batches):
         import numpy as np
@@ -370,29 +446,16 @@ def single_words(rows: DataFrame, shared) -> DataFrame:
             count[k], log_d[k] = c, d or 0.0
         log_c = np.log10(count + 1)
         for block in blocks(batches):
-            keys = block.column("doc").to_numpy()
-            own, at, w, n = [], [], [], []
-            for i, text in enumerate(block.column("text").to_pylist()):
+            own = []
+            for text in block.column("text").to_pylist():
                 codes = code(text)
-                hot = (codes >= 0) & (codes < LIMIT)
-                near = codes[hot]
+                near = codes[(codes >= 0) & (codes < LIMIT)]
                 ended = np.append(near, END)
                 own.append((len(codes) + 1, int((count[ended] > 0).sum()), float(log_c[ended].sum()), -float(log_d[np.append(near, START)].sum())))
-                far, times = np.unique(codes[~hot], return_counts=True)
-                at.append(np.full(len(far), i))
-                w.append(far)
-                n.append(times)
-            at, w, n = (np.concatenate(x) for x in (at, w, n))
-            columns = list(zip(*own, strict=True))
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), block.column("doc"), block.column("held_out"), pa.nulls(len(own), pa.int64()), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))],
-                names=["doc_id", "doc", "held_out", "w", "n_tokens", "n_known", "base", "score"],
+                [block.column("doc_id"), block.column("doc"), block.column("held_out"), *(pa.array(x, k) for x, k in zip(zip(*own, strict=True), kinds, strict=True))],
+                names=["doc_id", "doc", "held_out", "n_tokens", "n_known", "base", "score"],
             )
-            if len(w):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(w), block.column("doc_id").type), pa.array(keys[at]), pa.nulls(len(w), pa.bool_()), pa.array(w), pa.array(n.astype(np.int64)), *(pa.nulls(len(w), k) for k in kinds[1:])],
-                    names=["doc_id", "doc", "held_out", "w", "n_tokens", "n_known", "base", "score"],
-                )
 
     return rows.mapInArrow(run, schema)
