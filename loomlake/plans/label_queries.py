@@ -105,7 +105,18 @@ for _name, (_tests, _sql) in LABEL_FILTERS.items():
 subject as (select uri, 'c' || (cast(rkey as int) % 2) as cid, cast(rkey as int) as place from doc_record where cast(rkey as int) % 3 = 0)
 select l.id, l.uri, l.val, l.neg, s.place from once l join subject s on l.uri = s.uri and (l.cid is null or l.cid = s.cid)""")
 def labels_history_by_subject(spark, sf_dir):
-    docs = spark_view(spark, sf_dir, "doc_record").withColumn("place", F.expr("cast(rkey as int)")).filter("place % 3 = 0")
+    """The subjects of the SQL: one document in three."""
+    return history(spark, sf_dir, "place % 3 = 0")
+
+
+@query("labels_history_every_subject", ACTIVE + """
+select l.id, l.uri, l.val, l.neg, cast(d.rkey as int) as place from once l join doc_record d on l.uri = d.uri and (l.cid is null or l.cid = 'c' || (cast(d.rkey as int) % 2))""")
+def labels_history_every_subject(spark, sf_dir):
+    return history(spark, sf_dir, "true")
+
+
+def history(spark, sf_dir, some):
+    docs = spark_view(spark, sf_dir, "doc_record").withColumn("place", F.expr("cast(rkey as int)")).filter(some)
     subjects = docs.select("uri", F.concat(F.lit("c"), (F.col("place") % 2).cast("string")).alias("cid"), "place")
     return L.for_subjects(subjects.unionByName(subjects), stored(spark, sf_dir)).select("id", "uri", "val", "neg", "place")
 
@@ -141,9 +152,25 @@ select u.subscription_url, case when fatal is not null then 'fatal' when x is no
     case when fatal is not null then regexp_extract(fatal, '^FATAL_CURSOR ([A-Za-z]+)', 1) end as error_code, case when fatal is not null then fatal when x is not null and (c is null or x > c) then error end as message
 from u left join s using (subscription_url)""")
 def subscription_status(spark, sf_dir):
+    """The events of the SQL: 20 in 50."""
+    return status_of(spark, sf_dir, "user_id % 9 < 6 and event_id % 50 < 20")
+
+
+# Nothing ever happens on three of the nine urls (pending); of the other six every event counts.
+@query("subscription_status_every_event", """
+with e as (select 'wss://lab' || (user_id % 9) as url, event_id, event_type from events where user_id % 9 < 6),
+s as (select url, coalesce(max(event_id) filter (event_type = 'view'), -1) as c, coalesce(max(event_id) filter (event_type = 'error'), -1) as x from e group by url)
+select url as subscription_url, case when url = 'wss://lab2' then 'fatal' when x > c then 'error' when c >= 0 then 'connected' else 'pending' end as status,
+    case when url = 'wss://lab2' then 'FutureCursor' end as error_code, case when url = 'wss://lab2' then 'FATAL_CURSOR FutureCursor: too far' when x > c then 'e' || x end as message
+from (select distinct 'wss://lab' || (user_id % 9) as url from events) u left join s using (url)""")
+def subscription_status_every_event(spark, sf_dir):
+    return status_of(spark, sf_dir, "user_id % 9 < 6")
+
+
+def status_of(spark, sf_dir, some):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("subscription_url", F.concat(F.lit("wss://lab"), (F.col("user_id") % 9).cast("string")))
     kind = F.when(F.col("event_type") == "view", "connected").when(F.col("event_type") == "error", "error").when(F.col("event_type") == "click", "event").otherwise("ensure")
-    some = events.filter("user_id % 9 < 6 and event_id % 50 < 20").select(
+    some = events.filter(some).select(
         "subscription_url", kind.alias("kind"), F.when(F.col("event_type") == "error", F.concat(F.lit("e"), "event_id")).alias("message"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq")
     )
     fatal = some.limit(1).select(F.lit("wss://lab2").alias("subscription_url"), F.lit("fatal").alias("kind"), F.lit(f"{L.FATAL}FutureCursor: too far").alias("message"), "ts", F.lit(5).cast("long").alias("seq"))
