@@ -3,9 +3,12 @@
 The ordered atomic groups are `buckets` (65,536) ranges of a hash of the text, so equal texts
 always share a group and the list of groups has the same length at every input size. A binary
 search over the capacity, each candidate checked by filling shards greedily, finds the smallest
-capacity with which the shards hold all groups in order; the cuts are then made there. Only the
-65,536 group sizes reach the driver. No contiguous split of these groups has a smaller largest
-shard; shards differ by about one group, a text that outweighs a fair share fills its shard alone.
+capacity with which the shards hold all groups in order; no shard exceeds it, so no contiguous
+split of these groups has a smaller largest shard. Only the 65,536 group sizes reach the driver.
+A group that outweighs a fair share of what the others leave gets a shard alone where that keeps
+the bound, the shards that remain are dealt to the stretches between such groups by their bytes, and
+within a stretch each next shard ends at the smallest capacity for the shards and groups left. No
+shard is empty unless there are fewer groups than shards.
 
 Defined cases: null text counts as empty, has 16 bytes of size and shares the group of empty
 texts; repeated rows each get a slot; rows without an id are sharded like others; an empty table
@@ -23,36 +26,77 @@ from .common import numbered, text_of
 OVERHEAD = 16
 
 
-def cuts_for(sizes: np.ndarray, shards: int) -> tuple[int, np.ndarray]:
-    """Smallest feasible capacity and the shard of each group, for ordered group sizes."""
-    sizes = np.asarray(sizes, dtype=np.int64)
-    if not len(sizes):
-        return 0, np.zeros(0, dtype=np.int64)
-    ends = np.cumsum(sizes)
-    total = int(ends[-1])
-
-    def ends_of(capacity: int) -> list[int]:
-        """Greedy fill: the end (in groups) of each shard."""
-        at, out = 0, []
-        while at < len(sizes):
-            base = int(ends[at - 1]) if at else 0
-            at = int(np.searchsorted(ends, base + capacity, side="right"))
-            out.append(at)
-            if len(out) > shards:
-                break
-        return out
-
-    low, high = max(int(sizes.max()), -(-total // shards)), total
+def fill(ends: np.ndarray, lo: int, hi: int, capacity: int, shards: int) -> int:
+    """Shards that greedy filling of groups lo .. hi needs (shards + 1: more)."""
+    n = 0
+    while lo < hi and n <= shards:
+        lo = int(np.searchsorted(ends, ends[lo] + capacity, side="right")) - 1
+        n += 1
+    return n
+
+
+def smallest(ends: np.ndarray, lo: int, hi: int, shards: int) -> int:
+    """Smallest capacity with which `shards` shards hold groups lo .. hi in order."""
+    total = int(ends[hi] - ends[lo])
+    low, high = max(int(np.diff(ends[lo : hi + 1]).max()), -(-total // shards)), total
     while low < high:
         middle = (low + high) // 2
-        if len(ends_of(middle)) <= shards:
+        if fill(ends, lo, hi, middle, shards) <= shards:
             high = middle
         else:
             low = middle + 1
-    shard = np.zeros(len(sizes), dtype=np.int64)
-    for end in ends_of(low)[:-1]:
-        shard[end:] += 1
-    return low, shard
+    return low
+
+
+def apart(ends: np.ndarray, lo: int, hi: int, shards: int, bound: int) -> list[tuple[int, int, int]]:
+    """(lo, hi, shards) of groups above a fair share, each alone, and of the stretches between them; empty without any or beyond `bound`."""
+    sizes, total, left = np.diff(ends[lo : hi + 1]), int(ends[hi] - ends[lo]), shards
+    heavy = []
+    for k in np.argsort(-sizes, kind="stable"):
+        if not left or int(sizes[k]) * left <= total:
+            break
+        heavy.append(lo + int(k))
+        total, left = total - int(sizes[k]), left - 1
+    heavy.sort()
+    if not heavy:
+        return []
+    between = [(a, b) for a, b in zip([lo, *(k + 1 for k in heavy)], [*heavy, hi], strict=True) if a < b]
+    if len(between) > left:
+        return []
+    share = [1] * len(between)
+    for _ in range(left - len(between)):
+        can = [(int(ends[b] - ends[a]) / share[k], -k) for k, (a, b) in enumerate(between) if share[k] < b - a]
+        if not can:
+            break
+        share[-max(can)[1]] += 1
+    if any(smallest(ends, a, b, n) > bound for (a, b), n in zip(between, share, strict=True)):
+        return []
+    return sorted([(k, k + 1, 1) for k in heavy] + [(a, b, n) for (a, b), n in zip(between, share, strict=True)])
+
+
+def cuts_for(sizes: np.ndarray, shards: int) -> tuple[int, np.ndarray]:
+    """Smallest feasible capacity and the shard of each group, for ordered group sizes."""
+    sizes = np.asarray(sizes, dtype=np.int64)
+    some = np.flatnonzero(sizes)
+    if not len(some):
+        return 0, np.zeros(len(sizes), dtype=np.int64)
+    ends = np.append(0, np.cumsum(sizes[some]))
+    bound = smallest(ends, 0, len(some), shards)
+    starts, todo = [], [(0, len(some), shards)]
+    while todo:
+        lo, hi, n = todo.pop()
+        if n == 1 or hi - lo == 1:
+            starts.append(lo)
+        elif parts := apart(ends, lo, hi, n, bound):
+            todo += reversed(parts)
+        else:  # every shard that remains gets a group
+            cut = int(np.searchsorted(ends, ends[lo] + smallest(ends, lo, hi, n), side="right")) - 1
+            cut = min(cut, max(lo + 1, hi - n + 1))
+            starts.append(lo)
+            todo.append((cut, hi, n - 1))
+    # Groups without rows go with the one before them.
+    shard = np.searchsorted(some[starts], np.arange(len(sizes)), side="right") - 1
+    return bound, np.maximum(shard, 0)
 
 
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 16) -> DataFrame:
