@@ -8,8 +8,9 @@ pack           what is left is encoded and cut into sequences
 
 The first four return the columns of their input. Rows to drop are written to the shared folder
 first and, while they are few, broadcast, so texts need no shuffle; beyond that both sides are
-joined by id. Null texts count as empty; rows without an id are never dropped as near duplicates
-or contaminated; an empty table passes through all stages.
+joined by id and a digest of the text, so a row is judged by its own text even where ids repeat or are missing.
+Rows without an id come after all others; of rows that repeat an id and a text, or a text without
+an id, one stays. Null texts count as empty; an empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -18,24 +19,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlake.llm import decontamination, exact_dedup, near_dedup, packing, toxicity
-from loomlake.llm.common import shared_dir, stored
+from loomlake.llm.common import shared_dir, stored, text_of
 from loomlake.llm.queries import table, tokenizer_file
 
 #: Rows to drop are broadcast up to this number (about 100 bytes each).
 FEW = 200_000
 
 
-def without(docs: DataFrame, dropped: DataFrame, on: list[str]) -> DataFrame:
-    """`docs` less the rows that `dropped` names; null ids are equal when `on` has more than the id."""
-    dropped = stored(dropped.distinct(), shared_dir(docs.sparkSession), "dropped")
-    named = dropped.select(*[F.col(c).alias(f"__drop_{c}") for c in on])
-    if dropped.count() <= FEW:
-        named = F.broadcast(named)
-    same = [F.col(c).eqNullSafe(F.col(f"__drop_{c}")) if len(on) > 1 else F.col(c) == F.col(f"__drop_{c}") for c in on]
-    condition = same[0]
-    for more in same[1:]:
-        condition &= more
-    return docs.join(named, condition, "left_anti")
+def chosen(docs: DataFrame, named: DataFrame, on: list[str], how: str) -> DataFrame:
+    """`docs` less the rows that `named` names (left_anti), or those (left_semi); nulls are equal."""
+    other = named.select(*[F.col(c).alias(f"__drop_{c}") for c in on])
+    if named.count() <= FEW:
+        other = F.broadcast(other)
+    condition = F.lit(True)
+    for c in on:
+        condition &= F.col(c).eqNullSafe(F.col(f"__drop_{c}"))
+    return docs.join(other, condition, how)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with `__key`: the id, in an order-keeping form (no id: last), and a digest of the text."""
+    id_ = F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return docs.withColumn("__key", F.concat(F.coalesce(id_, F.lit("~")), F.sha2(text_of("text"), 256)))
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """`docs`, which `keyed` made, less the rows whose keys `dropped` has as doc_id."""
+    dropped = stored(dropped.select(F.col("doc_id").alias("__key")).distinct(), shared_dir(docs.sparkSession), "dropped")
+    return chosen(docs, dropped, ["__key"], "left_anti").drop("__key")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,19 +54,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = exact_dedup.exact_dedup(docs).filter("not kept").select("doc_id", F.col("text_sha256").alias("__digest"))
+    on = ["doc_id", "__digest"]
+    found = exact_dedup.exact_dedup(docs).groupBy("doc_id", F.col("text_sha256").alias("__digest")).agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    found = stored(found.filter("not kept or n > 1"), shared_dir(spark), "copies")
     marked = docs.withColumn("__digest", F.sha2(exact_dedup.normalised("text"), 256))
-    return without(marked, found, ["doc_id", "__digest"]).drop("__digest")
+    rest, repeated = chosen(marked, found, on, "left_anti"), found.filter("kept")
+    if not repeated.isEmpty():
+        rest = rest.unionByName(chosen(marked, repeated, on, "left_semi").dropDuplicates(on))
+    return rest.drop("__digest")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_dedup.near_dedup(docs).filter("not kept and n_shingles > 0 and doc_id is not null").select("doc_id")
-    return without(docs, found, ["doc_id"])
+    rows = keyed(docs)
+    return without(rows, near_dedup.near_dedup(rows, id_col="__key").filter("not kept and n_shingles > 0"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination.digest(decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")))
-    return without(docs, found.filter("contaminated and doc_id is not null").select("doc_id"), ["doc_id"])
+    rows = keyed(docs)
+    found = decontamination.digest(decontamination.decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col="__key"))
+    return without(rows, found.filter("contaminated"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

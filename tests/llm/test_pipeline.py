@@ -50,3 +50,20 @@ def test_empty_and_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SF)
         assert docs.count() >= least
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    words = lambda k: " ".join(f"{k}{n}" for n in range(60))
+    near = lambda k: words(k).replace(f"{k}59", "other")
+    passage = max((r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=len)
+    rows = [
+        (1, "some words"), (1, "some words"), (1, "some  words"), (None, "no id"), (None, "no id"), (None, words("a")), (9, words("a")),
+        (None, near("b")), (3, words("b")), (None, passage), (4, passage), (4, "clean and different"),
+        (5, words("c")), (6, near("c")), (6, "kept beside a near copy"), (-2, words("d")), (8, near("d")), (7, None), (None, None),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "x", 0) for i, t in rows], spark.read.parquet(f"{SF}/documents.parquet").schema)
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, SF)
+    left = [(i, " ".join((t or "").split())) for i, t in docs.select("doc_id", "text").collect()]
+    want = [(1, "some words"), (None, "no id"), (9, words("a")), (3, words("b")), (4, "clean and different"), (5, words("c")), (6, "kept beside a near copy"), (-2, words("d")), (7, "")]
+    assert sorted(left, key=str) == sorted(want, key=str)
