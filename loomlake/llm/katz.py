@@ -391,7 +391,9 @@ def score(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", t
         rare_h.cast("long").alias("k"), F.explode(F.arrays_zip("docs", "n")).alias("e"),
     ).select(F.col("e.docs").alias("a"), (F.col("e.n") * F.col("x")).alias("score"), (F.col("e.n") * F.col("y")).alias("base"), (F.col("e.n") * F.coalesce("k", F.lit(0))).alias("n_known"))
     by_place = seen.unionByName(shared_pairs).unionByName(backed, allowMissingColumns=True).groupBy("a").agg(*[F.sum(c).alias(c) for c in ("score", "base", "n_known")])
-    names = pairs.filter("kind = 'block'").select("a", F.posexplode("docs").alias("k", "doc")).select((F.col("a") + F.col("k")).alias("a"), "doc")
+    # Equal blocks have one number and one sum for all of them; n_rows below counts the rows of each.
+    named = pairs.filter("kind = 'block'").select("a", "docs").dropDuplicates(["a"])
+    names = named.select("a", F.posexplode("docs").alias("k", "doc")).select((F.col("a") + F.col("k")).alias("a"), "doc")
     from_pairs = names.join(by_place, "a").select("doc", "score", "base", "n_known")
 
     hot_table = {r["code"]: (r["c"], r["log_d"]) for r in words.filter(F.col("code").between(0, LIMIT - 1)).select("code", "c", "log_d").collect()}
