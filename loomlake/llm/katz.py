@@ -17,7 +17,7 @@ B(h) = 1 and D(h) = c(h) + 1, else D(h) = c(h); likewise N' = N + 1 where no cou
 Tables. Words are 64-bit hashes; the `hot` most frequent words (a fixed number, broadcast) have
 16-bit codes instead. Counting and scoring pairs is one shuffle: a block of documents sends its
 pairs, with the places of the documents they stand in, to parts, as runs of one context; a part
-holds all of a rare context, while pairs after a hot word are spread by pair. Each part counts its
+holds all of a context, but for hot words with more than a tenth of a part's tokens, whose pairs are spread by pair. Each part counts its
 pairs and stores them, a row for each context (the table of pairs: h, its words, their counts),
 and looks its documents' pairs up in them where it stands: it adds up log10 c of the pairs that training
 has. A pair that training lacks goes one order lower: its context's weight and, for rare words, P(w) are
@@ -150,11 +150,11 @@ def pair_blocks(rows: DataFrame, hot, parts: int, common: int, remembered: int =
     of each), and for each entry w, d (place, -1: none) and n (times, negative in held-out
     documents); a pair that at least `common` documents of a block hold has one entry without
     place, whose n counts the training ones, and a row of its own, without hn, with places d and times n of each document.
-    w has the codes of hot words, 0 for others, whose codes are in `far`, in the order of their entries.
+    h and w have the codes of hot words, 0 for others, whose codes are in `h_far` and `far`, in the order of their entries.
     """
     id_type = dict(rows.dtypes)["doc_id"]
     doc_type = f"doc_id: {id_type}, held_out: boolean, n_tokens: long, known: long, x: double, y: double"
-    schema = f"part int, block long, docs array<struct<{doc_type}>>, h array<long>, hn array<int>, w array<short>, far array<long>, d array<short>, n array<int>"
+    schema = f"part int, block long, docs array<struct<{doc_type}>>, h array<short>, h_far array<long>, hn array<int>, w array<short>, far array<long>, d array<short>, n array<int>"
 
     def run(batches):
         import numpy as np
@@ -163,21 +163,22 @@ def pair_blocks(rows: DataFrame, hot, parts: int, common: int, remembered: int =
 
         tables = hot.value
         words = Vocabulary(tables["names"], tables["codes"])
-        count = tables["count"]
+        count, is_spread = tables["count"], tables["spread"]
         log_more, log_c = np.log10(count + 1.0), np.log10(np.maximum(count, 1))
         task = TaskContext.get().partitionId()
-        kinds = dict(h=pa.int64(), hn=pa.int32(), w=pa.int16(), far=pa.int64(), d=pa.int16(), n=pa.int32())
+        kinds = dict(h=pa.int16(), h_far=pa.int64(), hn=pa.int32(), w=pa.int16(), far=pa.int64(), d=pa.int16(), n=pa.int32())
 
         def lists(values, ends, kind):
             return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(values.astype(kind.to_pandas_dtype()), kind))
 
         def batch_of(part, number, docs, **columns):
-            """columns: (values, ends of the rows' lists); w is split here, missing lists are empty."""
-            if "w" in columns:
-                w, ends = columns["w"]
-                rare = (w < 0) | (w >= LIMIT)
-                columns["w"] = np.where(rare, 0, w).astype(np.uint16).view(np.int16), ends
-                columns["far"] = w[rare], np.append(0, np.cumsum(rare))[ends]
+            """columns: (values, ends of the rows' lists); h and w are split here, missing lists are empty."""
+            for name, far in (("h", "h_far"), ("w", "far")):
+                if name in columns:
+                    values, ends = columns[name]
+                    rare = (values < 0) | (values >= LIMIT)
+                    columns[name] = np.where(rare, 0, values).astype(np.uint16).view(np.int16), ends
+                    columns[far] = values[rare], np.append(0, np.cumsum(rare))[ends]
             none = np.zeros(0, np.int64), np.zeros(len(part), np.int64)
             made = [lists(*columns.get(k, none), kind) for k, kind in kinds.items()]
             return pa.RecordBatch.from_arrays(
@@ -188,8 +189,8 @@ def pair_blocks(rows: DataFrame, hot, parts: int, common: int, remembered: int =
             return pa.ListArray.from_arrays(pa.array(np.zeros(size + 1, np.int32)), pa.array([], kind))
 
         def dealt(h, w, salt=0):
-            """Parts: by context, pairs after a hot word by pair."""
-            spread = np.where((h >= 0) & (h < LIMIT), w, 0).view(np.uint64) ^ np.uint64(salt)
+            """Parts: by context, pairs after the most frequent words by pair."""
+            spread = np.where(is_spread[np.where((h >= 0) & (h < LIMIT), h, 0)], w, 0).view(np.uint64) ^ np.uint64(salt)
             mixed = (h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ spread) * np.uint64(0xC2B2AE3D27D4EB4F)
             return ((mixed ^ mixed >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)
 
@@ -297,9 +298,9 @@ def counter(hot, id_type, pieces: int = 4):
         def is_hot(codes):
             return (codes >= 0) & (codes < LIMIT)
 
-        def words_of(rows):
-            w = flat("w", rows).view(np.uint16).astype(np.int64)
-            w[w == 0] = flat("far", rows)
+        def words_of(rows, name="w", far="far"):
+            w = flat(name, rows).view(np.uint16).astype(np.int64)
+            w[w == 0] = flat(far, rows)
             return w
 
         def starts_of(x):
@@ -318,22 +319,31 @@ def counter(hot, id_type, pieces: int = 4):
         if wide.num_rows:
             d = wide.column("d").combine_chunks()
             places = np.repeat(wide.column("block").to_numpy(), pc.list_value_length(d).to_numpy()) + flat("d", wide).astype(np.int64)
-            add("wide", wide.num_rows, h=flat("h", wide), w=words_of(wide), docs=lists(places, np.append(0, np.cumsum(pc.list_value_length(d).to_numpy())[:-1]), pa.int64()), n=wide.column("n").combine_chunks())
+            add("wide", wide.num_rows, h=words_of(wide, "h", "h_far"), w=words_of(wide), docs=lists(places, np.append(0, np.cumsum(pc.list_value_length(d).to_numpy())[:-1]), pa.int64()), n=wide.column("n").combine_chunks())
         del names, wide
         if not entries.num_rows:
             return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in kinds.values()], names=list(kinds))
 
-        contexts, rank = np.unique(flat("h", entries), return_inverse=True)
+        contexts, rank = np.unique(words_of(entries, "h", "h_far"), return_inverse=True)
         rank = np.repeat(rank.astype(np.int32), flat("hn", entries))
         w_all, n_all, d = words_of(entries), flat("n", entries), flat("d", entries)
         whole_all = d < 0
         sizes = pc.list_value_length(entries.column("w")).to_numpy()
-        key = np.repeat(entries.column("block").to_numpy(), sizes) + d
-        del entries, d
-        used, place_all = np.unique(key[~whole_all], return_inverse=True)
-        spots = np.zeros(len(key), np.int32)
-        spots[~whole_all] = place_all
-        del key, place_all
+        block = entries.column("block").to_numpy()
+        del entries
+        # Numbers of the documents that occur here: by a table of all places where that is small, else by sorting.
+        spots = np.zeros(len(d), np.int32)
+        if len(block) << PLACES <= 4 * len(d) + (1 << 20):
+            place = np.repeat(np.arange(len(block), dtype=np.int32) << PLACES, sizes) + d
+            present = np.zeros(len(block) << PLACES, bool)
+            present[place[~whole_all]] = True
+            used = np.flatnonzero(present)
+            spots[~whole_all] = (np.cumsum(present, dtype=np.int32) - 1)[place[~whole_all]]
+            used = block[used >> PLACES] + (used & ((1 << PLACES) - 1))
+        else:
+            place = np.repeat(block, sizes) + d
+            used, spots[~whole_all] = np.unique(place[~whole_all], return_inverse=True)
+        del place, d
         x, y, known = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used), np.int64)
         classes = np.zeros((K, len(used)), np.int32)
         upto = np.cumsum(np.bincount(rank, minlength=len(contexts)))
@@ -453,7 +463,7 @@ def frequent(counted: DataFrame, most: int, steps: int = 64) -> list:
     return [] if cut is None else sorted(map(tuple, counted.filter(F.col("bin") >= cut).select("w", "c").collect()), key=lambda r: (-r[1], r[0]))
 
 
-def score(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", text_col: str = "text", hot: int = 60_000, entries: int = 4_000_000, common: int = 48) -> DataFrame:
+def score(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", text_col: str = "text", hot: int = 60_000, entries: int = 2_000_000, common: int = 48) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of `docs`.
 
     held: which rows to keep from training (default: crc32 of the id modulo 7 is 2).
@@ -488,7 +498,7 @@ def score(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", t
     p[START] = 0.0
     log_p = np.where(p > 0, np.log10(np.where(p > 0, p, 1.0)), log_unknown)
     order = np.argsort(names)
-    shared = spark.sparkContext.broadcast(dict(names=names[order], codes=order.astype(np.int64) + FIRST_HOT, count=count, p=p, log_p=log_p))
+    shared = spark.sparkContext.broadcast(dict(names=names[order], codes=order.astype(np.int64) + FIRST_HOT, count=count, p=p, log_p=log_p, spread=count > entries // 10))
 
     codes = spark.createDataFrame([(int(w), k) for k, (w, _) in enumerate(top, FIRST_HOT)], "w long, code long")
     p_word = F.when(F.col("code") == START, F.lit(0.0)).otherwise(by_count(F.col("c"), one, 1.0) * F.col("c") / F.lit(float(whole)))

@@ -130,9 +130,10 @@ def test_token_counts(spark):
     assert token_counts.suffix_table(token_counts.lengths(empty(spark), path)).count() == 0
 
 
-def test_katz(spark):
+@pytest.mark.parametrize("entries,common", [(5_000, 4), (600, 1_000)])
+def test_katz(spark, entries, common):
     rows, docs = awkward(spark)
-    got = katz.score(docs, hot=200, entries=5_000, common=4).collect()
+    got = katz.score(docs, hot=200, entries=entries, common=common).collect()
     tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", lower(t))
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     one, two, context = Counter(), Counter(), Counter()
