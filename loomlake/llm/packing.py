@@ -7,17 +7,18 @@ documents and none is padded. `sequence_id` numbers sequences within and across
 (length 2**b) holds the ids from b * 2**48.
 
 Encoding a document needs nothing of others; only the pieces (seven numbers each) are stored in the
-shared folder and shuffled to be numbered. Words are encoded once in each task and looked up
+shared folder and shuffled to be numbered. Chunks between blanks are encoded once in each task and looked up
 after that; texts with characters outside ASCII and Latin letters, for which cutting words by
 Python's rules and by the tokenizer's might differ, are encoded whole by the tokenizer.
 
 Defined cases: null text counts as empty; an empty text has the end id only, one piece of length 1;
-repeated rows are packed each; an empty table gives no rows; other columns are ignored, whatever
+a very long text is encoded whole and has as many pieces as it needs; repeated rows are packed each; an empty table gives no rows; other columns are ignored, whatever
 their names.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from pyspark.sql import DataFrame
@@ -32,60 +33,99 @@ PLAIN = re.compile("[\t-\r -~À-ÖØ-öø-įı-ɏ–—‘’“”…]*")
 #: Words of such texts, in lower case; fixed value of the vocabulary (its word pattern for these characters).
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 FIRST = 1 << 48
+LONG = 64  # characters of words that are remembered
+HELD = 1 << 25  # characters of chunks that are remembered together
+
+
+class Recent(dict):
+    """A dict that fills missing keys by `make`; of two generations of at most `most` keys the older goes."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        if len(key) > LONG:
+            return self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(key)
+        self[key] = found = self.make(key) if found is None else found
+        return found
 
 
 class Encoder:
-    """Token ids of texts; remembers the ids of up to `remembered` words."""
+    """Token ids of texts; remembers the ids of up to `remembered` chunks between blanks, and of as many words.
 
-    def __init__(self, tokenizer_file: str, remembered: int = 100_000):
+    No token spans a blank, so the ids of a text are those of its chunks in a row.
+    """
+
+    def __init__(self, tokenizer_file: str, remembered: int = 250_000):
         import numpy as np
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.np, self.tokenizer, self.remembered = np, Tokenizer.from_file(tokenizer_file), remembered
-        self.merge = self.tokenizer.model.tokenize
+        merge = self.tokenizer.model.tokenize
+        # What the tokenizer does with one word: bytes as characters, then merges.
+        self.words = Recent(lambda w: [t.id for t in merge(w if w.isascii() else spell(w)[0][0])], remembered)
         self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids, self.starts, self.sizes = [self.np.zeros(0, self.np.uint32)], [self.np.zeros(0, self.np.int64)], [self.np.zeros(0, self.np.int64)]
-        self.filled = 0
+        """Forget the chunks."""
+
+        class Numbers(dict):
+            def __missing__(self, chunk):
+                self[chunk] = found = len(self)
+                return found
 
-    def learn(self, words: list[str]) -> None:
         np = self.np
-        # What the tokenizer does with one word: bytes as characters, then merges.
-        encoded = [[t.id for t in self.merge(w if w.isascii() else self.spell(w)[0][0])] for w in words]
+        self.number, self.known, self.filled, self.held = Numbers(), 0, 0, 0
+        self.ids, self.starts, self.sizes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def put(self, name: str, at: int, values) -> None:
+        """Write values at a place of an array that doubles when it is full."""
+        array = getattr(self, name)
+        if at + len(values) > len(array):
+            array = self.np.append(array, self.np.zeros(max(len(array), len(values)), array.dtype))
+            setattr(self, name, array)
+        array[at : at + len(values)] = values
+
+    def learn(self) -> None:
+        """The ids of the chunks that have numbers only."""
+        np = self.np
+        fresh = list(itertools.islice(self.number, self.known, None))
+        encoded = [[i for w in WORDS.findall(chunk) for i in self.words[w]] for chunk in fresh]
+        self.held += sum(map(len, fresh))
         sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
-        self.starts.append(np.cumsum(sizes) - sizes + self.filled)
-        self.sizes.append(sizes)
-        self.ids.append(np.fromiter((i for ids in encoded for i in ids), np.uint32, int(sizes.sum())))
-        self.filled += int(sizes.sum())
+        ids = np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, int(sizes.sum()))
+        self.put("starts", self.known, np.cumsum(sizes) - sizes + self.filled)
+        self.put("sizes", self.known, sizes)
+        self.put("ids", self.filled, ids)
+        self.known, self.filled = self.known + len(encoded), self.filled + len(ids)
 
     def encode(self, texts: list[str]) -> list:
         """An array of uint32 ids for each text."""
         np = self.np
-        plain = [bool(PLAIN.fullmatch(t)) and not self.special.search(t) for t in texts]
-        cut = [WORDS.findall(t.lower()) if p else None for t, p in zip(texts, plain, strict=True)]
-        if len(self.number) > self.remembered:
+        if len(self.number) > self.remembered or self.held > HELD:
             self.clear()
-        new = {w for words in cut if words for w in words}.difference(self.number)
-        if new:
-            self.learn(list(new))
-        for name in ("ids", "starts", "sizes"):
-            if len(getattr(self, name)) > 1:
-                setattr(self, name, [np.concatenate(getattr(self, name))])
-        ids, starts, sizes, number = self.ids[0], self.starts[0], self.sizes[0], self.number.__getitem__
+        number, at = self.number.__getitem__, []
+        for text in texts:
+            if PLAIN.fullmatch(text) and not self.special.search(text):
+                chunks = text.lower().split()
+                at.append(np.fromiter(map(number, chunks), np.int64, len(chunks)))
+            else:
+                at.append(None)
+        self.learn()
         out = []
-        for text, words in zip(texts, cut, strict=True):
-            if words is None:
+        for text, own in zip(texts, at, strict=True):
+            if own is None:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
                 continue
-            at = np.fromiter(map(number, words), np.int64, len(words))
-            size = sizes[at]
+            size = self.sizes[own]
             ends = np.cumsum(size)
-            out.append(ids[np.repeat(starts[at] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)])
+            out.append(self.ids[np.repeat(self.starts[own] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)])
         return out
 
 
