@@ -116,7 +116,7 @@ def blocks(batches, docs: int = 1_000, size: int = 6 << 20):
             yield batch.slice(at)
 
 
-def word_counts(rows: DataFrame, remembered: int = 400_000) -> DataFrame:
+def word_counts(rows: DataFrame, remembered: int = 200_000) -> DataFrame:
     """w, c over training rows; the end token and the start mark (as often as rows) included."""
 
     def run(batches):
@@ -142,7 +142,7 @@ def word_counts(rows: DataFrame, remembered: int = 400_000) -> DataFrame:
     return rows.filter(~F.col("held_out")).select("text").mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")).filter("c > 0")
 
 
-def pair_blocks(rows: DataFrame, hot, parts: int, common: int, remembered: int = 400_000) -> DataFrame:
+def pair_blocks(rows: DataFrame, hot, parts: int, common: int, remembered: int = 200_000) -> DataFrame:
     """Pairs of blocks of documents, as arrays, by part.
 
     A block has a number, to which a document's place is added. Three kinds of rows: `docs` names a
@@ -251,6 +251,7 @@ def pair_blocks(rows: DataFrame, hot, parts: int, common: int, remembered: int =
             )
             if len(words) > remembered:
                 words.clear()
+        pa.default_memory_pool().release_unused()  # this worker process lives on beside others
 
     return rows.select("doc_id", "held_out", "text").mapInArrow(run, schema)
 
@@ -412,6 +413,7 @@ def counter(hot, id_type, pieces: int = 4):
                 y += np.bincount(spot[inside], times * np.log10(count + 1.0)[at], len(used))
                 known += np.bincount(spot[inside], times, len(used)).astype(np.int64)
         add("doc", len(used), a=used, c=known, x=x, y=y, **{m: classes[i] for i, m in enumerate(CLASSES[:K])})
+        pa.default_memory_pool().release_unused()  # this worker process lives on beside others
         return pa.concat_tables(out)
 
     return count_part
@@ -463,7 +465,7 @@ def frequent(counted: DataFrame, most: int, steps: int = 64) -> list:
     return [] if cut is None else sorted(map(tuple, counted.filter(F.col("bin") >= cut).select("w", "c").collect()), key=lambda r: (-r[1], r[0]))
 
 
-def score(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", text_col: str = "text", hot: int = 60_000, entries: int = 2_000_000, common: int = 48) -> DataFrame:
+def score(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", text_col: str = "text", hot: int = 60_000, entries: int = 1_200_000, common: int = 48) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of `docs`.
 
     held: which rows to keep from training (default: crc32 of the id modulo 7 is 2).
