@@ -68,11 +68,16 @@ def links_at(json: Column | str, *names: str) -> Column:
 
 
 def blob_at(json: Column | str, *names: str) -> Column:
-    """struct<ref, mimeType, size> of a blob, null when there is none."""
-    v = F.try_variant_get(variant_of(json), path_of(*names), "variant")
+    """struct<ref, mimeType, size> of a blob, null when there is none or a part is missing."""
+    return blob_of(F.try_variant_get(variant_of(json), path_of(*names), "variant"))
+
+
+def blob_of(v: Column) -> Column:
+    """The same of a blob in a VARIANT."""
     blob = F.struct(
         link_text(F.try_variant_get(v, "$.ref", "variant")).alias("ref"),
         F.try_variant_get(v, "$.mimeType", "string").alias("mimeType"),
         F.try_variant_get(v, "$.size", "long").alias("size"),
     )
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), blob)
+    whole = blob["ref"].isNotNull() & blob["mimeType"].isNotNull() & blob["size"].isNotNull()
+    return F.when(F.schema_of_variant(v).startswith("OBJECT") & whole, blob)

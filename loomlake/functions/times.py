@@ -7,24 +7,33 @@ from pyspark.sql import functions as F
 
 from .json_values import string_at, text_at, type_at
 
-# Fields tried in this order, and layouts besides what Spark reads by itself.
+# Fields tried in this order, and the forms of times: RFC 3339 (a zone is a must), and those that are read besides it
+# (a T without a zone, or a blank with or without whole hours of a zone).
 CREATED_FIELDS = ("createdAt", "$createdAt", "created_at", "timestamp", "indexedAt")
-LAYOUTS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ssXXX", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd")
-MAIL_LAYOUT = "dd MMM yyyy HH:mm:ss z"  # behind the day's name
 STRICT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
+LENIENT = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})?| \d{2}:\d{2}:\d{2}(\.\d+)?([+-]\d{2})?)$"
+DAY = r"^\d{4}-\d{2}-\d{2}$"
 
 
 def parsed(text: Column) -> Column:
-    """The first layout that reads the text; without a zone it is UTC; null when none does."""
-    dated = F.regexp_extract(text, r"^[A-Za-z]{3}, (.*)$", 1)
-    return F.coalesce(F.try_to_timestamp(text), *[F.try_to_timestamp(text, F.lit(x)) for x in LAYOUTS], F.try_to_timestamp(dated, F.lit(MAIL_LAYOUT)))
+    """The time of a text in one of the known forms, in UTC where it names no zone; other texts (a year, a time of day, a bare date) give null."""
+    return F.when(text.rlike(LENIENT), F.try_to_timestamp(text))
+
+
+def strict(text: Column) -> Column:
+    """The time of a text in RFC 3339, else null."""
+    return F.when(text.rlike(STRICT), F.try_to_timestamp(text))
+
+
+def day_of(text: Column) -> Column:
+    """The day (UTC) of a text that `parsed` reads or that is a bare date."""
+    return F.to_date(F.when(text.rlike(DAY) | text.rlike(LENIENT), F.try_to_timestamp(text)))
 
 
 def normalised_created_at(json: Column | str) -> Column:
     """Top-level createdAt: a string in RFC 3339 with a zone other than -00:00, cut to milliseconds; else null."""
     text = string_at(json, "createdAt")
-    good = text.rlike(STRICT) & ~text.endswith("-00:00")
-    return F.when(good, F.date_trunc("MILLISECOND", F.try_to_timestamp(text)))
+    return F.when(~text.endswith("-00:00"), F.date_trunc("MILLISECOND", strict(text)))
 
 
 def extracted_created_at(json: Column | str, fallback: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.json_values import path_of, text_at, variant_of
+from ..sources.lexicons import merged_fields as merged_union_fields  # noqa: F401
 from . import labels as L
 
 MOST_VALUES, MOST_CONDITIONS, MOST_DEPTH = 100, 20, 3
@@ -55,8 +56,10 @@ def compare(value: Column, op: str, wanted: object) -> Column:
 
 
 def field_value(kind: str, text: Column, instants: bool = False) -> Column:
-    """A JSON text as the field's type; times compare as text unless `instants` is set."""
-    if kind in ("integer", "number"):
+    """A JSON text as the field's type; times compare as text unless `instants` is set. Integers compare exactly, also beyond 2^53."""
+    if kind == "integer":
+        return text.try_cast("decimal(38,15)")
+    if kind == "number":
         return text.try_cast("double")
     if kind == "boolean":
         return text.try_cast("boolean")
@@ -217,12 +220,3 @@ def badge_type(definitions: DataFrame) -> Callable[[DataFrame, str, object], Dat
         return joined.filter(compare(F.col("__type"), op, wanted)).drop("__badge", "__type")
 
     return apply
-
-
-def merged_union_fields(members: list[dict[str, str]]) -> dict[str, str]:
-    """Fields of a union that can be filtered: those whose type is the same in every member that has them."""
-    found: dict[str, str | None] = {}
-    for fields in members:
-        for name, kind in fields.items():
-            found[name] = kind if found.get(name, kind) == kind else None
-    return {name: kind for name, kind in found.items() if kind}

@@ -60,35 +60,43 @@ def closure(edges: DataFrame, roots: DataFrame, max_degree: int = MOST_DEGREE, m
     a ring reads at most 64 edges for each account that may still come. Beyond either the root is
     marked truncated and goes no further. `via` (from degree 2 on) names the predecessors of the ring before, the first 64
     in that order, sorted.
+
+    Edges are evaluated once and stored with their place among their issuer's edges, so a ring's order (by issuer, subject) follows
+    from running sums over its issuers, of which a root has at most `most`: no ring's edges are sorted, and of an issuer
+    with very many edges only those that any ring could read take part.
     """
     if not 1 <= max_degree <= MOST_DEGREE:
         raise ValueError(f"degree must be 1 to {MOST_DEGREE}")
-    ring = lambda *order: Window.partitionBy("root").orderBy(*order)
+    folder = shared_dir(edges.sparkSession)
+    by_issuer = Window.partitionBy("issuer")
+    edges = stored(edges.select("issuer", "subject").distinct(), f"{folder}/edges")
+    degrees = edges.groupBy("issuer").agg(F.count(F.lit(1)).alias("out"))
+    placed = edges.withColumn("nth", F.row_number().over(by_issuer.orderBy("subject"))).filter(F.col("nth") <= most * EDGES_PER_ACCOUNT)
+    placed = stored(placed, f"{folder}/placed")
     empty = F.expr("cast(array() as array<string>)")
     start = roots.select(F.col("did").alias("root")).distinct()
     seen = start.select("root", F.col("root").alias("did"), F.lit(0).alias("degree"), empty.alias("via"))
     frontier = start.select("root", F.col("root").alias("issuer"), F.lit(1).alias("pos"))
     stops = start.select("root").limit(0)
-    folder = shared_dir(edges.sparkSession)
     for degree in range(1, max_degree + 1):
         left = seen.groupBy("root").agg((F.lit(most) + 1 - F.count(F.lit(1))).alias("left"))
-        going = frontier.join(left, "root")
-        full = going.filter("left <= 0").select("root")
-        steps = going.filter("left > 0").join(edges, "issuer").withColumn("at", F.row_number().over(ring("issuer", "subject")))
-        over = steps.filter(F.col("at") > F.col("left") * EDGES_PER_ACCOUNT).select("root")
-        steps = steps.filter((F.col("at") <= F.col("left") * EDGES_PER_ACCOUNT) & (F.col("subject") != "") & (F.col("subject") != F.col("root")))
-        fresh = steps.join(seen.select("root", F.col("did").alias("subject")), ["root", "subject"], "left_anti")
-        near = Window.partitionBy("root", "subject").orderBy("pos")
-        fresh = fresh.withColumn("nth", F.row_number().over(near)).groupBy("root", "subject", "left").agg(
-            F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.when(F.col("nth") <= via, F.col("issuer")))).alias("via")
+        before = Window.partitionBy("root").orderBy("issuer")
+        issuers = frontier.join(left, "root").join(degrees, "issuer", "left").fillna(0, ["out"])
+        issuers = issuers.withColumn("upto", F.sum("out").over(before)).withColumn("after", F.col("upto") - F.col("out")).withColumn("limit", F.col("left") * EDGES_PER_ACCOUNT)
+        issuers = stored(issuers, f"{folder}/issuers-{degree}")
+        stopped = issuers.filter("left <= 0 or upto > limit").select("root")
+        readable = (placed["issuer"] == issuers["issuer"]) & (F.col("nth") <= F.col("limit") - F.col("after"))
+        steps = issuers.filter("left > 0 and after < limit").join(placed, readable).select("root", issuers["issuer"], "pos", "left", "subject").filter("subject <> '' and subject <> root")
+        fresh = steps.join(seen.select("root", F.col("did").alias("subject")), ["root", "subject"], "left_anti").groupBy("root", "subject").agg(
+            F.min("left").alias("left"), F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", "issuer"))).alias("via")
         )
-        ranked = fresh.withColumn("rank", F.row_number().over(ring("pos", "subject")))
-        stops = stops.unionByName(full).unionByName(over).unionByName(ranked.filter("rank > left").select("root")).distinct()
+        ranked = fresh.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy("pos", "subject")))
+        ranked = ranked.withColumn("via", F.array_sort(F.slice(F.col("via.issuer"), 1, via)))
+        ranked = stored(ranked, f"{folder}/ranked-{degree}")
+        stops = stops.unionByName(stopped).unionByName(ranked.filter("rank > left").select("root")).distinct()
         taken = ranked.filter("rank <= left")
         seen = seen.unionByName(taken.select("root", F.col("subject").alias("did"), F.lit(degree).alias("degree"), (F.col("via") if degree > 1 else empty).alias("via")))
-        if degree < max_degree:
-            seen, taken, stops = (stored(df, f"{folder}/{name}-{degree}") for df, name in ((seen, "seen"), (taken, "taken"), (stops, "stops")))
-            frontier = taken.select("root", F.col("subject").alias("issuer"), F.col("rank").alias("pos")).join(stops, "root", "left_anti")
+        frontier = taken.select("root", F.col("subject").alias("issuer"), F.col("rank").alias("pos")).join(stops, "root", "left_anti")
     marked = stops.withColumn("truncated", F.lit(True))
     return seen.filter("degree > 0").join(marked, "root", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
 
@@ -113,8 +121,12 @@ def with_profiles(found: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def home_timeline(records: DataFrame, follow_edges: DataFrame, collections: list[str], most: int = 50) -> DataFrame:
-    """For every viewer the newest records of the authors they follow, at most `most` each."""
+    """For every viewer the newest records of the authors they follow, at most `most` each.
+
+    Of an author no more than their newest `most` records can show anywhere, so only those meet the followers.
+    """
     scoped = records.filter(F.col("collection").isin(collections) & F.col("record_created_at").isNotNull())
-    seen = scoped.join(follow_edges.select(F.col("did").alias("viewer"), F.col("subject").alias("did")), "did")
-    newest = Window.partitionBy("viewer").orderBy(F.col("record_created_at").desc(), F.col("uri").desc())
-    return seen.withColumn("place", F.row_number().over(newest)).filter(F.col("place") <= most)
+    order = (F.col("record_created_at").desc(), F.col("uri").desc())
+    newest = scoped.withColumn("place", F.row_number().over(Window.partitionBy("did").orderBy(*order))).filter(F.col("place") <= most).drop("place")
+    shown = newest.join(follow_edges.select(F.col("did").alias("viewer"), F.col("subject").alias("did")), "did")
+    return shown.withColumn("place", F.row_number().over(Window.partitionBy("viewer").orderBy(*order))).filter(F.col("place") <= most)

@@ -77,7 +77,29 @@ def hydrated(records: DataFrame, labels: DataFrame, column: str = "externalLabel
     return records.join(lists, match, "left").drop(*keys).withColumn(column, F.coalesce(F.col(column), empty))
 
 
+# The mark of a fatal cursor, the names of such frames with what is said where they have no message, and what is to be done.
 FATAL = "FATAL_CURSOR "
+FATAL_FRAMES = {"error": ("FutureCursor", "Cursor is in the future."), "info": ("OutdatedCursor", "Cursor is outside retained history.")}
+RESET_HINT = "Reset subscription cursor and replay labels."
+
+
+def frame_events(frames: DataFrame) -> DataFrame:
+    """Events of subscriptions from frames of the label feed (subscription_url, op, name, message, ts, seq).
+
+    op: labels, info, error, or what `subscription_states` knows already. An error FutureCursor and an info OutdatedCursor are fatal; other
+    errors can be retried, other infos change nothing.
+    """
+    op, said = F.col("op"), F.trim(F.coalesce("message", F.lit("")))
+    kind, message = op, F.col("message")
+    for frame, (name, default) in FATAL_FRAMES.items():
+        mine = (op == frame) & (F.col("name") == name)
+        ended = F.when(said == "", default).when(said.rlike(r"[.!?]$"), said).otherwise(F.concat(said, F.lit(".")))
+        kind = F.when(mine, "fatal").otherwise(kind)
+        message = F.when(mine, F.concat(F.lit(f"{FATAL}{name}: "), ended, F.lit(" " + RESET_HINT))).otherwise(message)
+    other = (op == "error") & F.col("name").isNotNull() & (kind == "error")
+    message = F.when(other, F.concat(F.lit("labeler stream error: "), F.concat_ws(": ", "name", F.when(said != "", F.col("message"))))).otherwise(message)
+    kind = F.when(kind == "labels", "event").otherwise(kind)
+    return frames.select("subscription_url", kind.alias("kind"), message.alias("message"), "ts", "seq").filter("kind <> 'info'")
 
 
 def subscription_states(events: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.times import strict
 from ..schemas import REPORT_REASONS, SEVERITIES, VISIBILITIES
 
 
@@ -26,10 +27,10 @@ def definitions(table: DataFrame, system: bool = True) -> DataFrame:
 
 
 def accepted_labels(new: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(labels to append, rejected): the subject is a URI or DID, the value defined, the expiry readable."""
-    ok = (F.col("uri").startswith("at://") | F.col("uri").startswith("did:")) & (F.col("exp_text").isNull() | F.try_to_timestamp("exp_text").isNotNull())
+    """(labels to append, rejected): the subject is a URI or DID, the value defined, the expiry a time in RFC 3339."""
+    ok = (F.col("uri").startswith("at://") | F.col("uri").startswith("did:")) & (F.col("exp_text").isNull() | strict(F.col("exp_text")).isNotNull())
     marked = new.join(known.select("val", F.lit(True).alias("__defined")), "val", "left").withColumn("__ok", F.coalesce(ok & F.col("__defined"), F.lit(False)))
-    good = marked.filter("__ok").withColumn("exp", F.try_to_timestamp("exp_text")).drop("__ok", "__defined", "exp_text")
+    good = marked.filter("__ok").withColumn("exp", strict(F.col("exp_text"))).drop("__ok", "__defined", "exp_text")
     return good, marked.filter("not __ok").drop("__ok", "__defined")
 
 

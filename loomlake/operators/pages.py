@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cursors import cursor, decode
+from ..functions.cursors import cursor, decode, timeline_cursor
 from ..functions.json_values import text_at
+from ..functions.times import iso_millis
 
 SIZE, MOST, TIMELINE_SIZE = 20, 1000, 50
 DIRECT = {"indexed_at", "uri", "did", "collection", "cid", "rkey", "record_created_at"}
@@ -35,15 +36,22 @@ def by_author(records: DataFrame, did: str) -> DataFrame:
     return records.filter(F.col("did") == did).orderBy(F.col("indexed_at").desc(), F.col("uri").desc())
 
 
-def sort_value(field: str, numeric: bool = False) -> Column:
-    """A column, or a JSON field: as text, or as a number with `numeric`."""
+NUMBERS = {False: "string", True: "double", "number": "double", "integer": "decimal(38,15)"}
+
+
+def sort_value(field: str, numeric: bool | str = False) -> Column:
+    """A column, or a JSON field: as text, or as a number with `numeric` (True or "number": double, "integer": exact)."""
     if field in DIRECT:
         return F.col(field)
-    text = text_at("json", *field.split("."))
-    return text.try_cast("double") if numeric else text
+    return text_at("json", *field.split(".")).try_cast(NUMBERS[numeric])
+
+
+def cursor_value(field: str) -> Column:
+    """What a cursor holds of the sort field: its text."""
+    return F.col(field) if field in DIRECT else text_at("json", *field.split("."))
 
 
-def ordered(records: DataFrame, field: str = "indexed_at", direction: str = "DESC", numeric: bool = False) -> DataFrame:
+def ordered(records: DataFrame, field: str = "indexed_at", direction: str = "DESC", numeric: bool | str = False) -> DataFrame:
     """By a field, then URI, both in one direction; nulls are smallest."""
     key = sort_value(field, numeric)
     if direction not in ("ASC", "DESC"):
@@ -76,7 +84,7 @@ class Page:
         return {"hasNextPage": self.given if self.back else more, "hasPreviousPage": more if self.back else self.given}
 
 
-def page(records: DataFrame, first: int | None = None, after: str | None = None, last: int | None = None, before: str | None = None, field: str = "indexed_at", direction: str = "DESC", numeric: bool = False, with_total: bool = False, key_type: str | None = None) -> Page:
+def page(records: DataFrame, first: int | None = None, after: str | None = None, last: int | None = None, before: str | None = None, field: str = "indexed_at", direction: str = "DESC", numeric: bool | str = False, with_total: bool = False, key_type: str | None = None) -> Page:
     """One page of filtered records. `total` ignores the cursor."""
     if direction not in ("ASC", "DESC"):
         raise ValueError("direction must be ASC or DESC")
@@ -87,13 +95,13 @@ def page(records: DataFrame, first: int | None = None, after: str | None = None,
     rows = records
     if given:
         value, uri = decode(given)
-        kind = key_type or ("timestamp" if field in ("indexed_at", "record_created_at") else "double" if numeric else "string")
+        kind = key_type or ("timestamp" if field in ("indexed_at", "record_created_at") else NUMBERS[numeric])
         rows = rows.filter(beyond(key, F.lit(value).cast(kind), uri, direction, back))
     flip = {"ASC": "DESC", "DESC": "ASC"}[direction] if back else direction
     taken = ordered(rows, field, flip, numeric).limit(n + 1)
     shown = ordered(ordered(taken, field, flip, numeric).limit(n), field, direction, numeric) if back else taken.limit(n)
     total = records.agg(F.count(F.lit(1)).alias("total")) if with_total else None
-    return Page(shown.withColumn("cursor", cursor(key, F.col("uri"))), taken.offset(n), total, bool(given), back)
+    return Page(shown.withColumn("cursor", cursor(cursor_value(field), F.col("uri"))), taken.offset(n), total, bool(given), back)
 
 
 def page_by_time_only(records: DataFrame, before: Column, limit: int) -> DataFrame:
@@ -102,14 +110,15 @@ def page_by_time_only(records: DataFrame, before: Column, limit: int) -> DataFra
 
 
 def timeline(scoped: DataFrame, first: int | None = None, after: str | None = None) -> DataFrame:
-    """Records by created-at, newest first, of `filters.timeline_scope`."""
+    """Records by created-at, newest first, of `filters.timeline_scope`, each with its `cursor`."""
     n = TIMELINE_SIZE if first is None else first
     if not 1 <= n <= MOST:
         raise ValueError(f"first must be 1 to {MOST}")
     if after:
         created, uri = decode(after)
         scoped = scoped.filter(beyond(F.col("record_created_at"), F.lit(created).cast("timestamp"), uri, "DESC"))
-    return scoped.orderBy(F.col("record_created_at").desc(), F.col("uri").desc()).limit(n)
+    rows = scoped.orderBy(F.col("record_created_at").desc(), F.col("uri").desc()).limit(n)
+    return rows.withColumn("cursor", timeline_cursor(iso_millis("record_created_at"), F.col("uri")))
 
 
 def page_by_id(df: DataFrame, first: int | None = None, after: int | None = None, **equal: object) -> tuple[DataFrame, DataFrame]:

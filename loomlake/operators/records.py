@@ -8,7 +8,7 @@ URI (or by author for actors); nothing is grouped by collection.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -169,6 +169,36 @@ def import_counts(incoming: DataFrame, existing: DataFrame, dedup: str = "cid")
     )
 
 
+def import_report(incoming: DataFrame, existing: DataFrame, found: DataFrame, started: Column, ended: Column, dedup: str = "cid") -> DataFrame:
+    """`import_counts` of the readable rows with repositories found (rows of `found`), errors (rows whose JSON can't be read) and seconds taken."""
+    read = incoming.withColumn("good", F.try_parse_json("json").isNotNull())
+    errors = read.agg(F.count_if(~F.col("good")).alias("errors"))
+    repos = found.agg(F.count_distinct("did").alias("repos"))
+    counts = import_counts(read.filter("good"), existing, dedup)
+    seconds = (ended.cast("double") - started.cast("double")).alias("seconds")
+    return counts.crossJoin(F.broadcast(errors)).crossJoin(F.broadcast(repos)).select("repos", *counts.columns, "errors", seconds)  # one row each
+
+
+def import_records(records: DataFrame, incoming: DataFrame, did: str | None = None, fast: bool = True) -> DataFrame:
+    """Records after a backfill of exported rows, or of one author's (did).
+
+    fast: rows whose content id is stored are left out and the rest replaces its records (`merge_batch`). Otherwise the
+    fallback: rows stored with the same URI and content id are left out and the rest is applied as events are.
+    incoming: the columns of records and seq.
+    """
+    rows = incoming.filter(F.col("did") == did) if did else incoming
+    fresh = new_content(rows, records, "cid" if fast else "uri_cid")
+    if fast:
+        return merge_batch(records, fresh)
+    events = fresh.select("seq", F.lit("record").alias("kind"), F.lit("create").alias("action"), "did", "collection", "rkey", "cid", F.col("json").alias("body"), F.lit("").alias("status"), F.col("indexed_at").alias("ts"))
+    return current_records(events, records)
+
+
+def in_uri_order(records: DataFrame) -> DataFrame:
+    """All records by URI, range-partitioned, so partitions in a row are the whole order."""
+    return records.orderBy("uri")
+
+
 def stored_cids(records: DataFrame, uris: DataFrame) -> DataFrame:
     """uri, cid of the records among `uris`."""
     return records.select("uri", "cid").join(uris.select("uri").distinct(), "uri", "left_semi")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.json_values import text_at
-from ..functions.times import extracted_created_at, normalised_created_at, parsed
+from ..functions.times import day_of, extracted_created_at, normalised_created_at
 from ..functions.uris import is_valid_did
 
 # Ranges of the activity chart, hours and minutes of a bucket.
@@ -15,11 +15,14 @@ ACTIVITY_RANGES = {"ONE_HOUR": (1, 5), "THREE_HOURS": (3, 15), "SIX_HOURS": (6,
 RETENTION_DAYS = 7
 
 
-def table_counts(records: DataFrame, actors: DataFrame, lexicons: int = 0) -> DataFrame:
-    """One row: how many records, actors and lexicons."""
+def table_counts(records: DataFrame, actors: DataFrame, lexicons: DataFrame | int = 0) -> DataFrame:
+    """One row: how many records, actors and lexicons (a table of them, or how many a catalogue has)."""
     one = records.agg(F.count(F.lit(1)).alias("record_count"))
     two = actors.agg(F.count(F.lit(1)).alias("actor_count"))
-    return one.crossJoin(F.broadcast(two)).withColumn("lexicon_count", F.lit(lexicons).cast("long"))  # one row each
+    both = one.crossJoin(F.broadcast(two))  # one row each
+    if isinstance(lexicons, DataFrame):
+        return both.crossJoin(F.broadcast(lexicons.agg(F.count(F.lit(1)).alias("lexicon_count"))))
+    return both.withColumn("lexicon_count", F.lit(lexicons).cast("long"))
 
 
 def count_by(df: DataFrame, column: str) -> DataFrame:
@@ -35,7 +38,7 @@ def collection_stats(records: DataFrame, collections: list[str] | None = None) -
 def collection_time_series(records: DataFrame, collection: str | None = None) -> DataFrame:
     """date, count, cumulative, total_records, unique_users; a day is that of createdAt, else eventDate, else indexed_at."""
     found = records.filter(F.col("collection") == collection) if collection else records
-    day = F.to_date(F.coalesce(parsed(text_at("json", "createdAt")), parsed(text_at("json", "eventDate")), F.col("indexed_at")))
+    day = F.coalesce(day_of(text_at("json", "createdAt")), day_of(text_at("json", "eventDate")), F.to_date("indexed_at"))
     days = found.groupBy(day.alias("date")).agg(F.count(F.lit(1)).alias("count"))
     totals = found.agg(F.count(F.lit(1)).alias("total_records"), F.count_distinct("did").alias("unique_users"))
     running = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # a row for each day
@@ -103,8 +106,15 @@ def purge_preview(records: DataFrame, actors: DataFrame, did: str) -> DataFrame:
     return n.crossJoin(F.broadcast(known)).select(F.lit(did).alias("did"), is_valid_did(F.lit(did)).alias("valid"), "actor_exists", "record_count")  # one row each
 
 
-def ingestion_counters(events: DataFrame) -> DataFrame:
-    """One row: received, created, updated, deleted and identity events. Works on streams in complete mode."""
+def ingestion_counters(events: DataFrame, quarantine: DataFrame | None = None) -> DataFrame:
+    """One row: received, created, updated, deleted and identity events. Works on streams in complete mode.
+
+    With `quarantine`, the messages that couldn't be read, also `errors`; they count as received.
+    """
+    if quarantine is not None:
+        failed = quarantine.select(F.lit("error").alias("kind"), F.lit(None).cast("string").alias("action"))
+        both = events.select("kind", "action").unionByName(failed)
+        return ingestion_counters(both).crossJoin(F.broadcast(both.agg(F.count_if(F.col("kind") == "error").alias("errors"))))  # one row each
     n = F.count_if
     record = F.col("kind") == "record"
     return events.agg(

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.json_values import path_of, text_at, variant_of
+from ..functions.json_values import blob_of, link_text, path_of, text_at, variant_of
 from ..functions.times import iso_millis
-from ..sources.lexicons import Catalogue
+from ..sources.lexicons import DEPTH, Catalogue
 
 PROFILE = "app.certified.actor.profile"
 # What a missing required field becomes; other types stay null.
@@ -16,21 +16,63 @@ ZEROS = {T.StringType: "", T.LongType: 0, T.BooleanType: False}
 
 
 def typed_view(records: DataFrame, catalogue: Catalogue, nsid: str, coerce: bool = True) -> DataFrame:
-    """The collection's fields as columns, next to uri, cid, did and rkey. `coerce` fills missing required fields."""
-    schema = catalogue.schema(nsid)
-    rows = records.filter(F.col("collection") == nsid).select("uri", "cid", "did", "rkey", F.from_json("json", schema).alias("s"))
-    view = rows.filter("s is not null").select("uri", "cid", "did", "rkey", "s.*")
-    return coerced(view, schema, catalogue.required(nsid)) if coerce else view
-
-
-def coerced(view: DataFrame, schema: T.StructType, required: list[str]) -> DataFrame:
-    for field in schema:
-        if field.name in required:
-            if type(field.dataType) in ZEROS:
-                view = view.withColumn(field.name, F.coalesce(F.col(f"`{field.name}`"), F.lit(ZEROS[type(field.dataType)])))
-            elif isinstance(field.dataType, T.ArrayType):
-                view = view.withColumn(field.name, F.coalesce(F.col(f"`{field.name}`"), F.array().cast(field.dataType)))
-    return view
+    """The collection's fields as columns, next to uri, cid, did and rkey. `coerce` fills missing required fields.
+
+    The JSON is parsed once. Links become their content id, blobs a struct, and a union's value stays if
+    its `$type` names a member whose required fields are there; what doesn't fit is null.
+    """
+    rows = records.filter(F.col("collection") == nsid).select("uri", "cid", "did", "rkey", F.from_json("json", catalogue.schema(nsid, raw=True)).alias("s"))
+    return rows.filter("s is not null").select("uri", "cid", "did", "rkey", *fields_of(F.col("s"), catalogue, nsid, coerce))
+
+
+def fields_of(parsed: Column, catalogue: Catalogue, nsid: str, coerce: bool = True) -> list[Column]:
+    """The collection's fields from its JSON as parsed by the catalogue's raw schema."""
+    types, required = catalogue.schema(nsid), catalogue.required(nsid)
+    fields = []
+    for name, prop in catalogue.properties(nsid).items():
+        value = shaped(parsed[name], prop, nsid, catalogue)
+        fields.append((coerced(value, types[name].dataType) if coerce and name in required else value).alias(name))
+    return fields
+
+
+def plain(prop: dict, home: str, catalogue: Catalogue, depth: int = DEPTH) -> bool:
+    """Whether values of a property are used as they are parsed."""
+    kind = prop.get("type")
+    if kind == "array":
+        return plain(prop.get("items", {}), home, catalogue, depth)
+    if kind == "ref":
+        found, where = catalogue.resolve(prop["ref"], home)
+        if found is None or (found.get("type") == "object" and depth <= 1):
+            return True
+        if found.get("type") == "object":
+            return all(plain(p, where, catalogue, depth - 1) for p in found.get("properties", {}).values())
+        return plain(found, where, catalogue, depth)
+    return kind not in ("cid-link", "blob", "union")
+
+
+def shaped(value: Column, prop: dict, home: str, catalogue: Catalogue, depth: int = DEPTH) -> Column:
+    """A parsed value with its links, blobs and unions resolved, at any depth that is parsed."""
+    kind = prop.get("type")
+    if plain(prop, home, catalogue, depth):
+        return value
+    if kind == "array":
+        return F.transform(value, lambda x: shaped(x, prop["items"], home, catalogue, depth))
+    if kind == "ref":
+        found, where = catalogue.resolve(prop["ref"], home)
+        if found.get("type") != "object":
+            return shaped(value, found, where, catalogue, depth)
+        inner = [shaped(value[n], p, where, catalogue, depth - 1).alias(n) for n, p in found["properties"].items()]
+        return F.when(value.isNotNull(), F.struct(*inner))
+    if kind == "cid-link":
+        return link_text(value)
+    return blob_of(value) if kind == "blob" else union_value(value, catalogue.union_members(prop, home))
+
+
+def coerced(value: Column, kind: T.DataType) -> Column:
+    """A required field's value, with what stands for a missing one."""
+    if type(kind) in ZEROS:
+        return F.coalesce(value, F.lit(ZEROS[type(kind)]))
+    return F.coalesce(value, F.array().cast(kind)) if isinstance(kind, T.ArrayType) else value
 
 
 def union_value(value: Column, members: dict[str, list[str]] | None) -> Column:
@@ -50,12 +92,17 @@ def union_value(value: Column, members: dict[str, list[str]] | None) -> Column:
 
 def generic_view(records: DataFrame) -> DataFrame:
     """uri, cid, did, collection, rkey and the payload as one JSON value; rows with invalid JSON are left out."""
-    v = records.select("uri", "cid", "did", "collection", "rkey", variant_of("json").alias("value"))
+    return generic(records)
+
+
+def generic(records: DataFrame, *more: Column) -> DataFrame:
+    v = records.select("uri", "cid", "did", "collection", "rkey", variant_of("json").alias("value"), *more)
     return v.filter("value is not null")
 
 
 def timeline_nodes(records: DataFrame) -> DataFrame:
-    return generic_view(records).join(records.select("uri", iso_millis("record_created_at").alias("createdAt"), iso_millis("indexed_at").alias("indexedAt")), "uri")
+    """`generic_view` with createdAt and indexedAt as text."""
+    return generic(records, iso_millis("record_created_at").alias("createdAt"), iso_millis("indexed_at").alias("indexedAt"))
 
 
 def single(records: DataFrame, catalogue: Catalogue, nsid: str, uri: str) -> DataFrame:

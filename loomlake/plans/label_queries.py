@@ -101,22 +101,14 @@ for _name, (_tests, _sql) in LABEL_FILTERS.items():
     _label_filter(_name, _tests, _sql)
 
 
-@query("labels_history_by_subject", ACTIVE + """,
-subject as (select uri, 'c' || (cast(rkey as int) % 2) as cid, cast(rkey as int) as place from doc_record where cast(rkey as int) % 3 = 0)
-select l.id, l.uri, l.val, l.neg, s.place from once l join subject s on l.uri = s.uri and (l.cid is null or l.cid = s.cid)""")
-def labels_history_by_subject(spark, sf_dir):
-    """The subjects of the SQL: one document in three."""
-    return history(spark, sf_dir, "place % 3 = 0")
-
+HISTORY = ACTIVE + """
+select l.id, l.uri, l.val, l.neg, cast(d.rkey as int) as place from once l join doc_record d on l.uri = d.uri and (l.cid is null or l.cid = 'c' || (cast(d.rkey as int) % 2))"""
 
-@query("labels_history_every_subject", ACTIVE + """
-select l.id, l.uri, l.val, l.neg, cast(d.rkey as int) as place from once l join doc_record d on l.uri = d.uri and (l.cid is null or l.cid = 'c' || (cast(d.rkey as int) % 2))""")
-def labels_history_every_subject(spark, sf_dir):
-    return history(spark, sf_dir, "true")
 
-
-def history(spark, sf_dir, some):
-    docs = spark_view(spark, sf_dir, "doc_record").withColumn("place", F.expr("cast(rkey as int)")).filter(some)
+@query("labels_history_every_subject", HISTORY)
+@query("labels_history_by_subject", HISTORY)
+def labels_history_by_subject(spark, sf_dir):
+    docs = spark_view(spark, sf_dir, "doc_record").withColumn("place", F.expr("cast(rkey as int)"))
     subjects = docs.select("uri", F.concat(F.lit("c"), (F.col("place") % 2).cast("string")).alias("cid"), "place")
     return L.for_subjects(subjects.unionByName(subjects), stored(spark, sf_dir)).select("id", "uri", "val", "neg", "place")
 
@@ -142,39 +134,31 @@ def author_labels_hydrated(spark, sf_dir):
     return found.select("uri", F.size("authorLabels").cast("long").alias("n"))
 
 
-@query("subscription_status", """
-with e as (select event_id as seq, 'wss://lab' || (user_id % 9) as subscription_url, case event_type when 'view' then 'connected' when 'error' then 'error' when 'click' then 'event' else 'ensure' end as kind,
-    case when event_type = 'error' then 'e' || event_id end as message from events where user_id % 9 < 6 and event_id % 50 < 20
-    union all select 5, 'wss://lab2', 'fatal', 'FATAL_CURSOR FutureCursor: too far'),
-s as (select subscription_url, max(case when kind = 'connected' then seq end) as c, max(case when kind = 'error' then seq end) as x, arg_max(message, seq) filter (kind = 'error') as error, arg_max(message, seq) filter (kind = 'fatal') as fatal from e group by 1),
-u as (select distinct 'wss://lab' || (user_id % 9) as subscription_url from events)
-select u.subscription_url, case when fatal is not null then 'fatal' when x is not null and (c is null or x > c) then 'error' when c is not null then 'connected' else 'pending' end as status,
-    case when fatal is not null then regexp_extract(fatal, '^FATAL_CURSOR ([A-Za-z]+)', 1) end as error_code, case when fatal is not null then fatal when x is not null and (c is null or x > c) then error end as message
-from u left join s using (subscription_url)""")
-def subscription_status(spark, sf_dir):
-    """The events of the SQL: 20 in 50."""
-    return status_of(spark, sf_dir, "user_id % 9 < 6 and event_id % 50 < 20")
-
+# Frames of the label feed: every event is one; two urls get frames that are fatal. Nothing ever happens on the urls of nations (pending).
+STATUS = """
+with e as (select 'wss://lab' || (user_id % 9) as url, user_id, event_id, event_type from events),
+s as (select url, coalesce(max(event_id) filter (event_type = 'view'), -1) as c, coalesce(max(event_id) filter (event_type = 'error'), -1) as x,
+    max(event_id) filter (event_type = 'error' and user_id = 2) as future, max(event_id) filter (event_type = 'signup' and user_id = 3) as outdated from e group by url),
+f as (select *, coalesce(future, outdated) as fatal_at, case when future is not null then 'FutureCursor' when outdated is not null then 'OutdatedCursor' end as code from s)
+select url as subscription_url, case when code is not null then 'fatal' when x > c then 'error' when c >= 0 then 'connected' else 'pending' end as status, code as error_code,
+    case when code = 'FutureCursor' then 'FATAL_CURSOR FutureCursor: e' || fatal_at || '. Reset subscription cursor and replay labels.'
+        when code is not null then 'FATAL_CURSOR OutdatedCursor: Cursor is outside retained history. Reset subscription cursor and replay labels.'
+        when x > c then 'labeler stream error: Busy: e' || x end as message
+from (select distinct 'wss://lab' || (user_id % 9) as url from events union all select 'wss://idle' || n_nationkey from nation) u left join f using (url)"""
 
-# Nothing ever happens on three of the nine urls (pending); of the other six every event counts.
-@query("subscription_status_every_event", """
-with e as (select 'wss://lab' || (user_id % 9) as url, event_id, event_type from events where user_id % 9 < 6),
-s as (select url, coalesce(max(event_id) filter (event_type = 'view'), -1) as c, coalesce(max(event_id) filter (event_type = 'error'), -1) as x from e group by url)
-select url as subscription_url, case when url = 'wss://lab2' then 'fatal' when x > c then 'error' when c >= 0 then 'connected' else 'pending' end as status,
-    case when url = 'wss://lab2' then 'FutureCursor' end as error_code, case when url = 'wss://lab2' then 'FATAL_CURSOR FutureCursor: too far' when x > c then 'e' || x end as message
-from (select distinct 'wss://lab' || (user_id % 9) as url from events) u left join s using (url)""")
-def subscription_status_every_event(spark, sf_dir):
-    return status_of(spark, sf_dir, "user_id % 9 < 6")
 
-
-def status_of(spark, sf_dir, some):
+@query("subscription_status_every_event", STATUS)
+@query("subscription_status", STATUS)
+def subscription_status(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("subscription_url", F.concat(F.lit("wss://lab"), (F.col("user_id") % 9).cast("string")))
-    kind = F.when(F.col("event_type") == "view", "connected").when(F.col("event_type") == "error", "error").when(F.col("event_type") == "click", "event").otherwise("ensure")
-    some = events.filter(some).select(
-        "subscription_url", kind.alias("kind"), F.when(F.col("event_type") == "error", F.concat(F.lit("e"), "event_id")).alias("message"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq")
+    kind = F.col("event_type")
+    op = F.when(kind == "view", "connected").when(kind == "error", "error").when(kind == "click", "labels").when(kind == "signup", "info").otherwise("ensure")
+    name = F.when(kind == "error", F.when(F.col("user_id") == 2, "FutureCursor").otherwise("Busy")).when(kind == "signup", F.when(F.col("user_id") == 3, "OutdatedCursor").otherwise("Hello"))
+    frames = events.select(
+        "subscription_url", op.alias("op"), name.alias("name"), F.when(kind == "error", F.concat(F.lit("e"), "event_id")).alias("message"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq")
     )
-    fatal = some.limit(1).select(F.lit("wss://lab2").alias("subscription_url"), F.lit("fatal").alias("kind"), F.lit(f"{L.FATAL}FutureCursor: too far").alias("message"), "ts", F.lit(5).cast("long").alias("seq"))
-    return L.diagnostics(L.subscription_states(some.unionByName(fatal)), events)
+    idle = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("wss://idle"), F.col("n_nationkey").cast("string")).alias("subscription_url"))
+    return L.diagnostics(L.subscription_states(L.frame_events(frames)), events.select("subscription_url").unionByName(idle))
 
 
 MOD = sql_views("mod_label") + """,

@@ -11,7 +11,9 @@ from ..functions.json_values import variant_of
 from ..functions.uris import record_uri
 from ..operators import labels as L
 from ..operators.records import current_actors, current_records, is_purge
+from ..operators.typed import fields_of
 from ..schemas import ACTORS, EXTERNAL_LABELS, RECORDS
+from ..sources.lexicons import Catalogue
 from .snapshots import Snapshots
 
 
@@ -45,6 +47,13 @@ def feed(outcomes: DataFrame, collection: str | None = None, publish_skipped: bo
     return rows.select("seq", F.col("action").alias("type"), "uri", "cid", "did", "collection", F.when(F.col("outcome") != "deleted", body).alias("record"))
 
 
+def typed_feed(rows: DataFrame, catalogue: Catalogue, nsid: str) -> DataFrame:
+    """The feed of one collection with `record` as a struct by its lexicon, missing required fields filled; null when deleted."""
+    parsed = rows.filter(F.col("collection") == nsid).withColumn("s", F.from_json("record", catalogue.schema(nsid, raw=True)))
+    record = F.when(F.col("s").isNotNull(), F.struct(*fields_of(F.col("s"), catalogue, nsid)))
+    return parsed.select("seq", "type", "uri", "cid", "did", "collection", record.alias("record"))
+
+
 def quoted(column: str):
     """A string as JSON text."""
     return F.regexp_extract(F.to_json(F.struct(F.coalesce(column, F.lit("")).alias("x"))), r'^\{"x":(.*)\}$', 1)
