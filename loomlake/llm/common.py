@@ -32,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -81,18 +83,39 @@ def numbered(df: DataFrame, key: list[str], order: list[str], name: str, chunks:
     )
 
 
-#: Rows of an Arrow batch at most: texts may be long, and a batch is held several times on its way.
-BATCH_ROWS = 1_000
+def spread_join(rows: DataFrame, table: DataFrame, key: str, weight: str, spread: list[str], most: int = 256, few: int = 200_000, salts: int = 64) -> DataFrame:
+    """`rows` joined with `table`, which has each key once and in `weight` how many rows have it.
+
+    A key with more than `most` rows is dealt over tasks by a hash of the columns `spread`, and its row of `table` is
+    repeated for each. Such keys are broadcast up to `few` (a long and two keys each); beyond that every
+    key is dealt over `salts`.
+    """
+    parts = F.ceil(F.col(weight) / most).cast("int")
+    large = table.filter(F.col(weight) > most).select(key, parts.alias("__parts"))
+    if large.count() <= few:
+        rows = rows.join(F.broadcast(large), key, "left")
+        n = F.coalesce("__parts", F.lit(1))
+    else:
+        rows, n, parts = rows.withColumn("__parts", F.lit(salts)), F.lit(salts), F.lit(salts)
+    rows = rows.withColumn("__part", F.pmod(F.xxhash64(*spread), n).cast("int")).drop("__parts")
+    dealt = table.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return rows.join(dealt, [key, "__part"]).drop("__part")
+
+
+#: Rows and bytes of an Arrow batch at most: texts may be long, and a batch is held several times on its way.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable], schema: str | T.StructType) -> DataFrame:
-    """Run `make()` once in each task and its result on each Arrow batch of at most BATCH_ROWS rows.
+    """Run `make()` once in each task and its result on each Arrow batch of at most BATCH_ROWS rows and about BATCH_BYTES.
 
-    The session keeps that setting, which plans read when they run.
+    The session keeps these settings: plans read them when they run, which is after this call.
     """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        value = conf.get(key)
+        if not value.isdigit() or not 0 < int(value) <= most:
+            conf.set(key, str(most))
 
     def run(batches):
         step = make()

@@ -1,7 +1,7 @@
 """Token counts for every context limit from an exact length histogram.
 
-Documents are encoded where they lie and aggregated by encoded length, so one pair of numbers for
-each distinct length of a task is shuffled. Suffix sums over the histogram then answer, for each
+Documents are encoded where they lie, once, and aggregated by encoded length, so one pair of numbers for
+each distinct length of a task is shuffled; the histogram is stored in the shared folder. Suffix sums over the histogram then answer, for each
 length L taken as the context limit: how many documents are longer or as long, the tokens kept
 when each text is cut at L (the sum of min(length, L)) and lost, and the share of documents that
 fit, that is the quantile at which L lies. Limits between two lengths follow exactly: nothing
@@ -11,8 +11,8 @@ The suffix sums go by ranges of `span` lengths: sums of whole ranges first (a wi
 rows as the longest document has ranges), then sums inside each range, so no task sees the whole
 histogram.
 
-Defined cases: null text counts as empty; empty texts have length 0; repeated rows count each; an
-empty table gives no rows; other columns are ignored, whatever their names. Special tokens'
+Defined cases: null text counts as empty; empty texts have length 0; a very long text is encoded whole; repeated rows count each, and
+documents of equal length share a row; an empty table gives no rows; other columns are ignored, whatever their names. Special tokens'
 strings in a text are ordinary text.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_batches, portable
+from .common import map_batches, portable, shared_dir, stored
 
 portable(__name__)
 
@@ -61,7 +61,8 @@ def suffix_table(counted: DataFrame, span: int = 4096) -> DataFrame:
     total_docs, total_tokens, fits (share of documents of at most n_tokens tokens).
     """
     tokens = F.col("n_tokens") * F.col("n_docs")
-    histogram = counted.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("range", F.floor(F.col("n_tokens") / span))
+    histogram = stored(counted.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")), shared_dir(counted.sparkSession), "histogram")
+    histogram = histogram.withColumn("range", F.floor(F.col("n_tokens") / span))
     ranges = histogram.groupBy("range").agg(F.sum("n_docs").alias("docs"), F.sum(tokens).alias("tokens"))
     everything = Window.orderBy(F.col("range").desc())  # a row for each `span` tokens of the longest document
     above = ranges.select(

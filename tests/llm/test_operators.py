@@ -10,7 +10,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from loomlake.llm import decontamination, exact_dedup, katz, near_dedup, packing, quality, secrets, sharding, token_counts, toxicity  # noqa: E402
+from loomlake.llm import common, decontamination, exact_dedup, katz, near_dedup, packing, quality, secrets, sharding, token_counts, toxicity  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 KEY = "AKIA" + "Q7ZP" * 4
@@ -329,3 +329,20 @@ def test_labels_of_held_out_rows_are_not_used(spark):
     turned = labels.withColumn("quality", F.when(held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = (dict(map(tuple, quality.score_quality(docs, x).select("doc_id", "score").collect())) for x in (labels, turned))
     assert a == b
+
+
+def test_spread_join(spark):
+    rows = spark.createDataFrame([(k % 3 if k < 90 else 7, k) for k in range(100)], "key int, id int")
+    table = rows.groupBy("key").count()
+    want = sorted((k % 3 if k < 90 else 7, k, 30 if k < 90 else 10) for k in range(100))
+    for few in (0, 1_000):
+        got = common.spread_join(rows, table, "key", "count", ["id"], most=8, few=few, salts=5)
+        assert got.columns == ["key", "id", "count"] and sorted(map(tuple, got.collect())) == want
+
+
+def test_nodes_with_one_half_of_a_digest(spark):
+    nodes = spark.createDataFrame([(1, 10, "a"), (1, 11, "b"), (2, 10, "c")], "node long, check long, name string")
+    plain = spark.createDataFrame([(1, 10, 100), (1, 11, 101), (2, 10, 102), (None, None, 103)], "node long, check long, doc_id long")
+    a, b = near_dedup.told_apart(nodes, plain)
+    names = {r["node"]: r["name"] for r in a.collect()}
+    assert len(names) == 3 and {r["doc_id"]: names.get(r["node"]) for r in b.collect()} == {100: "a", 101: "b", 102: "c", 103: None}
