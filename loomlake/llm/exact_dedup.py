@@ -10,10 +10,10 @@ stage groups by digest and whole text, so texts that only share a digest stay ap
 3. the winners of the salts, at most `salts` rows for each text.
 
 Only one row for each distinct text of a task is shuffled, never all copies. Rows find their
-group's winner again by digest, through a join whose wide side carries ids and digests only;
-digests that stand for more than one text, which stage 3 would reveal, are matched by whole text.
+group's winner again by digest, through a join whose wide side carries ids and digests only and in which
+large groups are dealt over many tasks (`common.spread_join`); digests that stand for more than one text, which stage 3 would reveal, are matched by whole text.
 
-Defined cases: null text counts as empty; empty and blank-only texts form groups like others
+Defined cases: a very long text is compared whole; null text counts as empty; empty and blank-only texts form groups like others
 (a blank-only text equals another one, but not the empty text); rows that repeat an id and a
 text all count in `group_size` and share `kept`; rows without an id never win against rows that
 have one, and a group of such rows has a null `keep_id` and keeps them all; an empty table gives
@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, text_of
+from .common import shared_dir, spread_join, stored, text_of
 
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -54,7 +54,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "groups",
     )
     rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(normalised(text_col), 256).alias("digest"))
-    found = rows.join(groups.filter("texts = 1").drop("texts"), "digest")
+    found = spread_join(rows, groups.filter("texts = 1").drop("texts"), "digest", "group_size", ["doc_id"])
     shared = groups.filter("texts > 1").select("digest")
     if not shared.isEmpty():
         full = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("content")).withColumn("digest", F.sha2("content", 256))
