@@ -6,7 +6,7 @@ linked when 100 * intersection >= 75 * union. Steps:
 1. Signatures, where the documents lie: the set's size and digest, `bands` x `rows` MinHash
    values folded into one key for each band, and the odd sketch of all values: a bitmap in which each
    (place, value) flips one bit, so the XOR of two bitmaps counts the values that differ.
-2. Documents with equal sets become one node (their digest's hash), so copies cost nothing more.
+2. Documents with equal sets become one node (by a digest of 128 bits and the size), so copies cost nothing more.
 3. Nodes that share a band key are candidates. With 64 bands of 6, a pair at the threshold is
    missed with probability 4e-6, a pair at 0.8 with 4e-9.
 4. Rounds: each key takes one node as pivot, in an order that changes from round to round, and
@@ -34,7 +34,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, portable, shared_dir, stored, text_of
+from .common import map_batches, portable, shared_dir, spread_join, stored, text_of
 
 portable(__name__)
 
@@ -115,7 +115,7 @@ def most_bits(hashes: int, threshold: float, errors: float) -> int:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, doc (key of the row's content), n_shingles, node, keys, sketch of each document."""
+    """doc_id, doc (key of the row's content), n_shingles, node and check (digests of the set), keys, sketch of each document."""
 
     def make():
         import numpy as np
@@ -129,28 +129,31 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int, id_col: str,
                 yield signed(whole.slice(low, SLICE))
 
         def signed(batch):
-            n, node, keys, sketch = [], [], [], []
+            n, node, check, keys, sketch = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingle(text)
                 n.append(len(found))
                 if len(found):
                     a, b = sign(found)
-                    node.append(int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).view(np.int64)))
+                    high, low = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64).tolist()
+                    node.append(high)
+                    check.append(low)
                     keys.append(a)
                     sketch.append(b)
                 else:
                     node.append(None)
+                    check.append(None)
                     keys.append(())
                     sketch.append(())
             return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("doc"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
-                names=["doc_id", "doc", "n_shingles", "node", "keys", "sketch"],
+                [batch.column("doc_id"), batch.column("doc"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
+                names=["doc_id", "doc", "n_shingles", "node", "check", "keys", "sketch"],
             )
 
         return step
 
     rows_ = keyed(docs, id_col, text_col)
-    return map_batches(rows_, make, f"doc_id {dict(rows_.dtypes)['doc_id']}, doc long, n_shingles long, node long, keys array<long>, sketch array<long>")
+    return map_batches(rows_, make, f"doc_id {dict(rows_.dtypes)['doc_id']}, doc long, n_shingles long, node long, check long, keys array<long>, sketch array<long>")
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -195,6 +198,15 @@ def linked_sets(threshold: int) -> Column:
     return (100 + threshold) * shared >= threshold * (F.size("a_set") + F.size("b_set"))
 
 
+def told_apart(nodes: DataFrame, plain: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables by `node` alone: nodes that share it but not `check` (next to never) get a new one."""
+    shared = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node", F.lit(True).alias("shared"))
+    if not shared.isEmpty():
+        renamed = F.when(F.col("shared"), F.xxhash64("node", "check")).otherwise(F.col("node"))
+        nodes, plain = (df.join(shared, "node", "left").withColumn("node", renamed).drop("shared") for df in (nodes, plain))
+    return nodes.drop("check"), plain.drop("check")
+
+
 class Links:
     """Candidate tests and confirmation over the stored tables of one run."""
 
@@ -263,12 +275,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     folder = shared_dir(spark)
     signed = stored(signatures(docs, bands, rows, width, id_col, text_col), folder, "signatures")
-    plain = signed.select("doc_id", "n_shingles", "node")
+    plain = signed.select("doc_id", "doc", "n_shingles", "node", "check")
     nodes = stored(
-        signed.filter("node is not null").groupBy("node").agg(*[F.min_by(c, "doc").alias(c) for c in ("n_shingles", "keys", "sketch")], F.min("doc").alias("doc")),
+        signed.filter("node is not null").groupBy("node", "check").agg(
+            *[F.min_by(c, "doc").alias(c) for c in ("n_shingles", "keys", "sketch")], F.min("doc").alias("doc"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")
+        ),
         folder,
         "nodes",
     )
+    nodes, plain = told_apart(nodes, plain)
     members = nodes.select("node", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     members = stored(members.join(shared, "key"), folder, "members")
@@ -308,8 +323,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not found.isEmpty():
         groups = merged(groups, found, folder, "rest-groups")
 
-    comps = plain.join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = comps.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    linked = comps.filter("comp is not null").join(named, "comp").select("doc_id", "n_shingles", "component_id")
-    alone = comps.filter("comp is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    # Back to the rows: components of nodes first, then rows of nodes; large ones are dealt over tasks.
+    placed = nodes.select("node", "first_id", "copies").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = stored(placed, folder, "placed")
+    named = placed.groupBy("comp").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    of_node = spread_join(placed.select("node", "copies", "comp"), stored(named, folder, "named"), "comp", "members", ["node"])
+    of_node = stored(of_node.select("node", "copies", "component_id"), folder, "components")
+    linked = spread_join(plain.filter("node is not null"), of_node, "node", "copies", ["doc"]).select("doc_id", "n_shingles", "component_id")
+    alone = plain.filter("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
