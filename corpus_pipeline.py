@@ -6,7 +6,8 @@ near_dedup     of each group of near duplicates the document with the smallest i
 decontaminate  documents with a benchmark passage go
 pack           what is left is encoded and cut into sequences
 
-The first four return the columns of their input. Rows to drop are written to the shared folder
+The first four return the columns of their input, whatever their names: a stage sees id and text, and its own
+columns get names that the input doesn't have. Rows to drop are written to the shared folder
 first and, while they are few, broadcast, so texts need no shuffle; beyond that both sides are
 joined by id and a digest of the text, so a row is judged by its own text even where ids repeat or are missing.
 Rows without an id come after all others; of rows that repeat an id and a text, or a text without
@@ -26,27 +27,36 @@ from loomlake.llm.queries import table, tokenizer_file
 FEW = 200_000
 
 
-def chosen(docs: DataFrame, named: DataFrame, on: list[str], how: str) -> DataFrame:
-    """`docs` less the rows that `named` names (left_anti), or those (left_semi); nulls are equal."""
-    other = named.select(*[F.col(c).alias(f"__drop_{c}") for c in on])
+def free(docs: DataFrame, name: str) -> str:
+    """`name`, or it with marks behind it until no column of `docs` is called so (in any case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def chosen(docs: DataFrame, named: DataFrame, on: dict[str, str], how: str) -> DataFrame:
+    """`docs` less the rows that `named` names (left_anti), or those (left_semi); nulls are equal. on: columns of docs to those of named."""
+    names = {c: free(docs, f"named_{k}") for k, c in enumerate(on.values())}
+    other = named.select(*[F.col(c).alias(name) for c, name in names.items()])
     if named.count() <= FEW:
         other = F.broadcast(other)
     condition = F.lit(True)
-    for c in on:
-        condition &= F.col(c).eqNullSafe(F.col(f"__drop_{c}"))
+    for mine, theirs in on.items():
+        condition &= F.col(f"`{mine}`").eqNullSafe(F.col(names[theirs]))
     return docs.join(other, condition, how)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """`docs` with `__key`: the id, in an order-keeping form (no id: last), and a digest of the text."""
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """`docs` with a key: the id, in an order-keeping form (no id: last), and a digest of the text."""
     id_ = F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
-    return docs.withColumn("__key", F.concat(F.coalesce(id_, F.lit("~")), F.sha2(text_of("text"), 256)))
+    return docs.withColumn(key, F.concat(F.coalesce(id_, F.lit("~")), F.sha2(text_of("text"), 256)))
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+def without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
     """`docs`, which `keyed` made, less the rows whose keys `dropped` has as doc_id."""
-    dropped = stored(dropped.select(F.col("doc_id").alias("__key")).distinct(), shared_dir(docs.sparkSession), "dropped")
-    return chosen(docs, dropped, ["__key"], "left_anti").drop("__key")
+    dropped = stored(dropped.select("doc_id").distinct(), shared_dir(docs.sparkSession), "dropped")
+    return chosen(docs, dropped, {key: "doc_id"}, "left_anti").drop(key)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,25 +64,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    on = ["doc_id", "__digest"]
-    found = exact_dedup.exact_dedup(docs).groupBy("doc_id", F.col("text_sha256").alias("__digest")).agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    digest = free(docs, "digest")
+    on = {"doc_id": "doc_id", digest: "text_sha256"}
+    found = exact_dedup.exact_dedup(docs).groupBy("doc_id", "text_sha256").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     found = stored(found.filter("not kept or n > 1"), shared_dir(spark), "copies")
-    marked = docs.withColumn("__digest", F.sha2(exact_dedup.normalised("text"), 256))
+    marked = docs.withColumn(digest, F.sha2(exact_dedup.normalised("text"), 256))
     rest, repeated = chosen(marked, found, on, "left_anti"), found.filter("kept")
     if not repeated.isEmpty():
-        rest = rest.unionByName(chosen(marked, repeated, on, "left_semi").dropDuplicates(on))
-    return rest.drop("__digest")
+        rest = rest.unionByName(chosen(marked, repeated, on, "left_semi").dropDuplicates(["doc_id", digest]))
+    return rest.drop(digest)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = keyed(docs)
-    return without(rows, near_dedup.near_dedup(rows, id_col="__key").filter("not kept and n_shingles > 0"))
+    key = free(docs, "key")
+    rows = keyed(docs, key)
+    return without(rows, near_dedup.near_dedup(rows, id_col=key).filter("not kept and n_shingles > 0"), key)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = keyed(docs)
-    found = decontamination.digest(decontamination.decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col="__key"))
-    return without(rows, found.filter("contaminated"))
+    key = free(docs, "key")
+    rows = keyed(docs, key)
+    found = decontamination.digest(decontamination.decontaminate(rows, table(spark, sf_dir, "benchmark"), id_col=key))
+    return without(rows, found.filter("contaminated"), key)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
