@@ -67,3 +67,16 @@ def test_rows_are_judged_by_their_own_text(spark):
     left = [(i, " ".join((t or "").split())) for i, t in docs.select("doc_id", "text").collect()]
     want = [(1, "some words"), (None, "no id"), (9, words("a")), (3, words("b")), (4, "clean and different"), (5, words("c")), (6, "kept beside a near copy"), (-2, words("d")), (7, "")]
     assert sorted(left, key=str) == sorted(want, key=str)
+
+
+def test_clashing_columns_come_through(spark):
+    names = ["__digest", "__key", "__drop_doc_id", "digest", "Key", "named_0", "named_1_", "text_sha256", "kept", "n", "copy", "label", "held_out", "n_shingles"]
+    plain = spark.read.parquet(f"{SF}/documents.parquet").filter("text is not null")
+    docs = plain.selectExpr("*", *[f"concat('{c}', doc_id) as `{c}`" for c in names])
+    want = plain
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs, want = stage(spark, docs, SF), stage(spark, want, SF)
+        assert docs.columns == [*plain.columns, *names], name
+    rows = docs.collect()
+    assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in want.collect()}
+    assert all(r[c] == f"{c}{r['doc_id']}" for r in rows for c in names)
