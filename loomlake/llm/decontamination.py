@@ -5,12 +5,13 @@ of `window` consecutive words of a benchmark text is a pattern; a text of fewer
 pattern. An automaton over the patterns reads each normalised document once; hits are mapped
 back to word positions and, in `spans`, to code points of the original text.
 
-The benchmark is cut into blocks of at most `block` texts, and only one block's patterns are in
-an automaton at a time, so what is sent to the executors stays bounded (`block` texts of at most
-`longest` words each; longer texts are cut into overlapping parts of that length, which have the same
-windows). With one block (the usual case) documents are read once and nothing is shuffled.
+The benchmark is cut into blocks of about `block_words` words, and only one block's patterns are in
+an automaton at a time, so what goes through the driver and to the executors stays bounded (longer texts than `longest`
+words are cut into overlapping parts of that length, which have the same
+windows). With one block (the usual case) documents are read once and nothing is shuffled. With more,
+the blocks' hits are written one block after the other, and documents that have some are put together by id and digest.
 
-Defined cases: null and wordless texts have no words, hits or items; wordless items never occur;
+Defined cases: a very long text is scanned whole; null and wordless texts have no words, hits or items; wordless items never occur;
 repeated items each count with their own id, rows that repeat an item id and text once; items
 without an id are left out; an empty table of documents gives no rows, an empty benchmark no hits;
 other columns are ignored, whatever their names.
@@ -23,7 +24,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, portable
+from .common import map_batches, portable, shared_dir, stored
 
 portable(__name__)
 
@@ -85,10 +86,8 @@ def scan(automaton, words: list[bytes]):
     return ranges, items
 
 
-def scanned(docs: DataFrame, items: list[tuple[str, str]], window: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_words, hits (word ranges), spans (code points), items (ids) against some items."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(items)
+def scanned(docs: DataFrame, sent, window: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n_words, hits (word ranges), spans (code points), items (ids) against some items. sent: their broadcast."""
 
     def make():
         import pyarrow as pa
@@ -122,8 +121,8 @@ def scanned(docs: DataFrame, items: list[tuple[str, str]], window: int, id_col:
     return map_batches(rows, make, f"doc_id {kind}, digest long, n_words long, hits {part}, spans {part}, items array<string>")
 
 
-def blocks_of(benchmark: DataFrame, window: int, block: int, longest: int, item_col: str, text_col: str):
-    """Lists of at most `block` (id, text) pairs; texts over `longest` words come in overlapping parts."""
+def blocks_of(benchmark: DataFrame, window: int, block_words: int, longest: int, item_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(item, text, block) stored and the number of blocks; texts over `longest` words come in overlapping parts."""
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")
     words = F.filter(F.split(text, " "), lambda w: w != "")
     step = longest - window + 1
@@ -134,25 +133,30 @@ def blocks_of(benchmark: DataFrame, window: int, block: int, longest: int, item_
         .select("item", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(step)), lambda i: F.array_join(F.slice("words", i + 1, longest), " "))).alias("text"))
         .distinct()
     )
-    count = parts.count()
-    n = max(1, -(-count // block))
-    if n == 1:
-        return [[tuple(r) for r in parts.collect()]]
-    dealt = parts.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(2 * n))).cache()
-    return ([tuple(r) for r in dealt.filter(F.col("block") == k).select("item", "text").collect()] for k in range(2 * n))
+    parts = stored(parts, shared_dir(benchmark.sparkSession), "items")
+    words = parts.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
+    n = 1 if words <= block_words else -(-2 * words // block_words)
+    return parts.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))), n
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = 20_000, longest: int = 1_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_words: int = 60_000, longest: int = 1_000) -> DataFrame:
     """doc_id, n_words, hits, spans, items for every document."""
-    found = [scanned(docs, items, window, id_col, text_col) for items in blocks_of(benchmark, window, block, longest, item_col, item_text)]
-    if len(found) == 1:
-        return found[0].drop("digest")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    # Blocks of items: a document's hits from each block are put together; n_rows: the rows that repeat it.
+    spark = docs.sparkSession
+    parts, n = blocks_of(benchmark, window, block_words, longest, item_col, item_text)
+    folder = shared_dir(spark)
+    for k in range(n):
+        sent = spark.sparkContext.broadcast([tuple(r) for r in parts.filter(F.col("block") == k).select("item", "text").collect()])
+        found = scanned(docs, sent, window, id_col, text_col)
+        if n == 1:
+            return found.drop("digest")
+        # All rows of the first block, and of the others those with hits.
+        found = found.withColumn("first", F.lit(k == 0))
+        (found if k == 0 else found.filter(F.size("hits") > 0)).write.parquet(f"{folder}/block={k}")
+        sent.destroy()
+    every = spark.read.schema(found.schema).parquet(*[f"{folder}/block={k}" for k in range(n)])
+    # A document's hits from each block are put together; n_rows: the rows that repeat it.
     merged = every.groupBy("doc_id", "digest").agg(
-        (F.count(F.lit(1)) / len(found)).cast("int").alias("n_rows"),
+        F.count_if("first").cast("int").alias("n_rows"),
         F.max("n_words").alias("n_words"),
         F.flatten(F.collect_list("hits")).alias("hits"),
         F.flatten(F.collect_list("spans")).alias("spans"),

@@ -70,13 +70,13 @@ def test_secrets(spark):
     assert secrets.digest(secrets.find_secrets(empty(spark))).count() == 0
 
 
-@pytest.mark.parametrize("block", [20_000, 3])
-def test_decontamination(spark, block):
+@pytest.mark.parametrize("block_words", [60_000, 400])
+def test_decontamination(spark, block_words):
     rows, docs = awkward(spark)
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(900, "One, TWO"), (901, None), (902, "..."), (None, "the"), (900, "One, TWO"), (903, "no id here")]
     items.append((904, " ".join(f"w{i % 997}x{i % 13}" for i in range(500, 3000))))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.digest(decontamination.decontaminate(docs, bench, block=block, longest=50)).collect()
+    got = decontamination.digest(decontamination.decontaminate(docs, bench, block_words=block_words, longest=50)).collect()
     word = re.compile(decontamination.WORD)
     windows = defaultdict(set)
     for i, t in items:
@@ -108,11 +108,33 @@ def test_decontamination_spans_and_empty(spark):
     assert (none["n_hit"], none["n_items"], none["contaminated"]) == (0, 0, False)
 
 
+def encoded_length(path, text, known={}):  # noqa: B006
+    """How many tokens byte pair merging leaves: the adjacent pair of the lowest rank first."""
+    import base64
+
+    import regex
+
+    if not known:
+        known["ranks"] = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(path, "rb"))}
+    ranks, n = known["ranks"], 0
+    for piece in regex.findall(token_counts.PIECES, text):
+        if piece not in known:
+            parts = [bytes([b]) for b in piece.encode()]
+            while len(parts) > 1:
+                rank, k = min((ranks.get(parts[k] + parts[k + 1], 1 << 60), k) for k in range(len(parts) - 1))
+                if rank == 1 << 60:
+                    break
+                parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            known[piece] = len(parts)
+        n += known[piece]
+    return n
+
+
 def test_token_counts(spark):
     rows, docs = awkward(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     lengths = [r[0] for r in token_counts.lengths(docs, path).collect()]
-    assert len(lengths) == len(rows) and min(lengths) == 0
+    assert sorted(lengths) == sorted(encoded_length(path, t or "") for _, t in rows)
     table = token_counts.suffix_table(token_counts.lengths(docs, path), span=64).cache()
     total = sum(lengths)
     for r in table.collect():
