@@ -110,13 +110,18 @@ def single(records: DataFrame, catalogue: Catalogue, nsid: str, uri: str) -> Dat
     return typed_view(records.filter(F.col("uri") == uri).withColumn("collection", F.lit(nsid)), catalogue, nsid)
 
 
-def profiles(records: DataFrame, catalogue: Catalogue | None = None) -> DataFrame:
-    """did, profile_uri, profile: each author's profile record, as a struct by its lexicon or else as text."""
+def profiles(records: DataFrame, catalogue: Catalogue | None = None, labels: str | None = None) -> DataFrame:
+    """did, profile_uri, profile: each author's profile record, as a struct by its lexicon or else as text.
+
+    labels: the column that `labels.hydrated` gave the records; it comes along as profile_labels.
+    """
     own = records.filter((F.col("collection") == PROFILE) & (F.col("rkey") == "self"))
+    more = [F.col(labels).alias("profile_labels")] if labels else []
     if catalogue is None:
-        return own.select("did", F.col("uri").alias("profile_uri"), F.col("json").alias("profile"))
-    view = typed_view(own, catalogue, PROFILE)
-    return view.select("did", F.col("uri").alias("profile_uri"), F.struct(*[c for c in view.columns if c not in ("did",)]).alias("profile"))
+        return own.select("did", F.col("uri").alias("profile_uri"), F.col("json").alias("profile"), *more)
+    parsed = own.withColumn("s", F.from_json("json", catalogue.schema(PROFILE, raw=True))).filter("s is not null")
+    profile = F.struct("uri", "cid", "rkey", *fields_of(F.col("s"), catalogue, PROFILE))
+    return parsed.select("did", F.col("uri").alias("profile_uri"), profile.alias("profile"), *more)
 
 
 def with_profiles(rows: DataFrame, profile_rows: DataFrame) -> DataFrame:

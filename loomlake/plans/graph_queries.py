@@ -99,8 +99,11 @@ ORDER_LEXICON = {
 SCOPE_LEXICON = {"id": "app.fixture.scope", "defs": {"text": {"type": "object", "required": ["text"], "properties": {"text": {"type": "string"}}}, "mark": {"type": "object", "properties": {}}}}
 
 
+PROFILE_LEXICON = {"id": "app.certified.actor.profile", "defs": {"main": {"type": "record", "record": {"type": "object", "required": ["displayName", "description"], "properties": {"displayName": {"type": "string"}, "description": {"type": "string"}}}}}}
+
+
 def catalogue() -> Catalogue:
-    return Catalogue([ORDER_LEXICON, SCOPE_LEXICON])
+    return Catalogue([ORDER_LEXICON, SCOPE_LEXICON, PROFILE_LEXICON])
 
 
 @query("typed_view", sql_views("order_doc") + """ select uri, cast(json_extract_string(json, '$.key') as bigint) as key, json_extract_string(json, '$.status') as status, cast(json_extract_string(json, '$.active') as boolean) as active,

@@ -188,12 +188,12 @@ def backfill_counts(spark, sf_dir):
 
 
 @query("batch_upsert", EVENTS + """ select uri, case when collection in ('app.fixture.click', 'app.fixture.view') then 'new' else cid end as cid from records union all
-    select 'at://new/' || event_id, 'new' from events where event_id % 100 = 1""")
+    select 'at://new/' || event_id, 'new' from events""")
 def batch_upsert(spark, sf_dir):
     """Records of two collections replaced, some new ones added, each twice: the last one wins."""
     records = folded(spark, sf_dir)
     again = records.filter(F.col("collection").isin("app.fixture.click", "app.fixture.view"))
-    fresh = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id % 100 = 1").select(F.concat(F.lit("at://new/"), "event_id").alias("uri"))
+    fresh = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat(F.lit("at://new/"), "event_id").alias("uri"))
     rows = again.unionByName(fresh.withColumn("json", F.lit("{}")), allowMissingColumns=True)
     incoming = rows.withColumn("cid", F.lit("old")).withColumn("seq", F.lit(1)).unionByName(rows.withColumn("cid", F.lit("new")).withColumn("seq", F.lit(2)))
     return R.merge_batch(records, incoming).select("uri", "cid")

@@ -16,22 +16,23 @@ from .record_queries import EVENTS
 from .registry import query
 
 
-def as_stream(df, folder: str, parts: int = 3):
-    """A table as a stream of `parts` files, in order of seq, one a batch."""
+def as_streams(df, folder: str, parts: int = 3):
+    """A table as a stream of files that comes in `parts` ranges of seq: each time the same stream, with the next range's files there."""
     spark = df.sparkSession
     bounds = df.agg(F.min("seq").alias("low"), F.max("seq").alias("high")).first()
     low, high = bounds["low"] or 0, bounds["high"] or 0
     step = max(1, -(-(high - low + 1) // parts))
     for k in range(parts):
         part = df.filter((F.col("seq") >= low + k * step) & (F.col("seq") < low + (k + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        part.write.mode("append").parquet(f"{folder}/in")
+        yield spark.readStream.schema(df.schema).parquet(f"{folder}/in")
 
 
 def applied(spark, sf_dir, commit_feed: bool = False) -> tuple[Snapshots, int]:
     folder = shared_dir(spark)
     events = spark_view(spark, sf_dir, "record_event")
-    C.apply_events(as_stream(events, folder), f"{folder}/state", f"{folder}/checkpoint", commit_feed).awaitTermination()
+    for stream in as_streams(events, folder):  # the job is stopped and started again between ranges
+        C.apply_events(stream, f"{folder}/state", f"{folder}/checkpoint", commit_feed).awaitTermination()
     state = Snapshots(spark, f"{folder}/state")
     return state, state.version()
 
@@ -81,26 +82,28 @@ def stream_labels(spark, sf_dir):
     rows = rows_of(spark, sf_dir)
     missing = {"sig": "string", "ver": "int", "raw_json": "string"}
     full = rows.withColumns({c: F.lit(None).cast(t) for c, t in missing.items()})
-    C.apply_labels(as_stream(full, folder), f"{folder}/state", f"{folder}/checkpoint").awaitTermination()
+    for stream in as_streams(full, folder):
+        C.apply_labels(stream, f"{folder}/state", f"{folder}/checkpoint").awaitTermination()
     state = Snapshots(spark, f"{folder}/state")
     found = L.active(state.read("newest", EXTERNAL_LABELS, state.version()), as_of())
     return NTZ(found.select("src", "uri", "cid", "val", "cts"), "cts")
 
 
-def counted(stream, folder: str, name: str):
+def counted(df, aggregate, folder: str, name: str):
     """The last state of a streaming aggregation in complete mode."""
 
     def keep(batch, number):
         batch.write.mode("overwrite").parquet(f"{folder}/{name}")
 
-    stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/{name}-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.parquet(f"{folder}/{name}")
+    for stream in as_streams(df, folder):
+        aggregate(stream).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{folder}/{name}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.parquet(f"{folder}/{name}")
 
 
 @query("stream_counts", EVENTS + " select kind, coalesce(action, '') as action, count(*) as count from record_event group by all")
 def stream_counts(spark, sf_dir):
     folder = shared_dir(spark)
-    return counted(C.counters(as_stream(spark_view(spark, sf_dir, "record_event"), folder)), folder, "counts")
+    return counted(spark_view(spark, sf_dir, "record_event"), C.counters, folder, "counts")
 
 
 @query("stream_buckets", """
@@ -108,4 +111,4 @@ select time_bucket(interval 30 minute, ts) as bucket, count(*) as total, count(*
 def stream_buckets(spark, sf_dir):
     folder = shared_dir(spark)
     activity = spark_view(spark, sf_dir, "activity").withColumn("seq", F.col("id"))
-    return NTZ(counted(C.bucket_counts(as_stream(activity, folder), 30, "60 days"), folder, "buckets"), "bucket")
+    return NTZ(counted(activity, lambda s: C.bucket_counts(s, 30, "60 days"), folder, "buckets"), "bucket")

@@ -68,44 +68,49 @@ def activity_of(outcomes: DataFrame, status: str = "completed", log_skipped: boo
     )
 
 
-def apply_events(events: DataFrame, path: str, checkpoint: str, commit_feed: bool = False, **trigger: object) -> StreamingQuery:
+def apply_events(events: DataFrame, path: str, checkpoint: str, commit_feed: bool = False, buckets: int = 64, **trigger: object) -> StreamingQuery:
     """Keep records, actors, activity and the feed under `path` up to date with a stream of change events.
 
     commit_feed: the commit feed's rules (status, skipped events logged and published, handles kept).
-    A batch that is run again writes the same version again.
+    A batch reads and writes the buckets of its authors only; `buckets` stays the same for one path. A batch that is run
+    again writes the same version again.
     """
     spark = events.sparkSession
 
     def run(batch: DataFrame, number: int) -> None:
-        state = Snapshots(spark, path)
+        state = Snapshots(spark, path, buckets)
         batch = batch.persist()
-        last = state.version(below=number)
-        records, actors = state.read("records", RECORDS, last), state.read("actors", ACTORS, last)
+        last, own = state.version(below=number), state.touched(batch, "did")
+        records, actors = state.read("records", RECORDS, last, own), state.read("actors", ACTORS, last, own)
         outcomes = applied(batch, records)
         state.append("activity", activity_of(outcomes, "success" if commit_feed else "completed", commit_feed), number)
         state.append("feed", feed(outcomes, publish_skipped=commit_feed), number)
-        state.publish({"records": current_records(batch, records), "actors": current_actors(batch, actors, only_missing=commit_feed)}, number)
+        new_records, new_actors = current_records(batch, records), current_actors(batch, actors, only_missing=commit_feed)
+        state.publish({"records": (new_records, "did", own), "actors": (new_actors, "did", own)}, number, last)
         batch.unpersist()
 
     return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
 
 
-def apply_labels(rows: DataFrame, path: str, checkpoint: str, **trigger: object) -> StreamingQuery:
+def apply_labels(rows: DataFrame, path: str, checkpoint: str, buckets: int = 64, **trigger: object) -> StreamingQuery:
     """Keep the newest label of each key, and subscriptions' cursors, up to date with a stream of label rows.
 
-    The active ones at a time are those of `labels.active`; replays of an event change nothing.
+    The active ones at a time are those of `labels.active`; replays of an event change nothing. A batch reads and writes
+    the buckets of its subjects only.
     """
     spark = rows.sparkSession
 
     def run(batch: DataFrame, number: int) -> None:
-        state = Snapshots(spark, path)
-        last = state.version(below=number)
-        old, cursors = state.read("newest", EXTERNAL_LABELS, last), state.read("cursors", "subscription_url string, last_seq long, last_event_at timestamp", last)
+        state = Snapshots(spark, path, buckets)
+        batch = batch.persist()
+        last, own, urls = state.version(below=number), state.touched(batch, "uri"), state.touched(batch, "subscription_url")
+        old, cursors = state.read("newest", EXTERNAL_LABELS, last, own), state.read("cursors", "subscription_url string, last_seq long, last_event_at timestamp", last, urls)
         good, rejected = L.ingest(batch)
         newest = L.newest(old.unionByName(good.select(old.columns)))
         moved = cursors.unionByName(L.cursors(batch)).groupBy("subscription_url").agg(F.max("last_seq").alias("last_seq"), F.max_by("last_event_at", "last_seq").alias("last_event_at"))
         state.append("rejected", rejected, number)
-        state.publish({"newest": newest, "cursors": moved}, number)
+        state.publish({"newest": (newest, "uri", own), "cursors": (moved, "subscription_url", urls)}, number, last)
+        batch.unpersist()
 
     return rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
 

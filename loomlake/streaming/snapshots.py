@@ -1,19 +1,23 @@
-"""Versioned table snapshots without a table format.
+"""Versioned table snapshots in buckets, without a table format.
 
-A batch writes all its tables under one new version and then appends the version to a pointer
-table, so readers see either all of a version or none. A replayed batch writes the same version again.
+A table is cut into buckets by a hash of a key column. A batch writes only the buckets it touches, under a new
+version, then a manifest that names for each bucket the version that holds it, and at last appends the
+version to a pointer table, so readers see either all of a version or none. A replayed batch writes the same version again.
+With b buckets, a manifest has b rows for each table.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MANIFEST = "name string, bucket int, at long"
+
 
 class Snapshots:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path, buckets
 
     def version(self, below: int | None = None) -> int | None:
         """The newest version, or the newest below a number."""
@@ -25,16 +29,45 @@ class Snapshots:
             found = found.filter(F.col("version") < below)
         return found.agg(F.max("version")).first()[0]
 
-    def read(self, name: str, schema: str, version: int | None) -> DataFrame:
+    def bucket_of(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def touched(self, rows: DataFrame, key: str) -> list[int]:
+        """The buckets that some rows belong to."""
+        return [r[0] for r in rows.select(self.bucket_of(key)).distinct().collect()]
+
+    def manifest(self, version: int | None) -> dict[tuple[str, int], int]:
+        """(table, bucket) -> version that holds it."""
         if version is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/v={version}")
+            return {}
+        return {(r["name"], r["bucket"]): r["at"] for r in self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest/v={version}").collect()}
 
-    def publish(self, tables: dict[str, DataFrame], version: int) -> None:
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/{name}/v={version}")
+    def read(self, name: str, schema: str, version: int | None, buckets: list[int] | None = None) -> DataFrame:
+        """A table of a version, or some buckets of it."""
+        paths = [f"{self.path}/{n}/v={at}/bucket={b}" for (n, b), at in self.manifest(version).items() if n == name and (buckets is None or b in buckets)]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def publish(self, tables: dict[str, tuple[DataFrame, str, list[int]]], version: int, last: int | None) -> None:
+        """tables: name -> (all rows of the touched buckets, key column, touched buckets); other buckets stay as in `last`."""
+        held = self.manifest(last)
+        for name, (rows, key, touched) in tables.items():
+            path = f"{self.path}/{name}/v={version}"
+            rows.withColumn("bucket", self.bucket_of(key)).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+            held = {(n, b): at for (n, b), at in held.items() if n != name or b not in touched}
+            try:
+                filled = self.spark.read.parquet(path).select("bucket").distinct().collect()
+            except AnalysisException:  # no bucket has rows
+                filled = []
+            held |= {(name, r["bucket"]): version for r in filled}
+        rows = [(n, b, at) for (n, b), at in held.items()]
+        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/v={version}")  # bounded by the buckets
         self.spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
 
+    def superseded(self, version: int) -> DataFrame:
+        """name, bucket, at of what earlier versions hold and this one doesn't: folders that can be removed once nobody reads them."""
+        every = self.spark.read.schema(MANIFEST + ", v long").parquet(f"{self.path}/manifest")
+        return every.filter(F.col("v") < version).drop("v").join(every.filter(F.col("v") == version).drop("v"), ["name", "bucket", "at"], "left_anti").distinct()
+
     def append(self, name: str, rows: DataFrame, batch: int) -> None:
         """Rows of one batch of an append-only table; a replay replaces them."""
         rows.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
