@@ -19,7 +19,7 @@ def typed_view(records: DataFrame, catalogue: Catalogue, nsid: str, coerce: bool
     """The collection's fields as columns, next to uri, cid, did and rkey. `coerce` fills missing required fields.
 
     The JSON is parsed once. Links become their content id, blobs a struct, and a union's value stays if
-    its `$type` names a member whose required fields are there; what doesn't fit is null.
+    its `$type` names a member whose required fields are there; what doesn't fit is null, and of invalid JSON nothing fits.
     """
     rows = records.filter(F.col("collection") == nsid).select("uri", "cid", "did", "rkey", F.from_json("json", catalogue.schema(nsid, raw=True)).alias("s"))
     return rows.filter("s is not null").select("uri", "cid", "did", "rkey", *fields_of(F.col("s"), catalogue, nsid, coerce))

@@ -69,9 +69,29 @@ def closure_page(spark, sf_dir):
     return rows.crossJoin(F.broadcast(total)).select("did", "degree", "total")  # one row
 
 
-@query("closure_capped")
+def capped_sql(most: int, via: int) -> str:
+    """The walk with caps, a ring at a time: `left` accounts may come, the ring's edges in order, new accounts ranked, roots that stop."""
+    sql = EVERY_ROOT.partition("e1 as (")[0] + """
+seen0 as (select root, root as did, 0 as degree, '' as via from every_root),
+front0 as (select root, root as issuer, 1 as pos from every_root),
+stop0 as (select root from every_root where false)"""
+    for k in range(1, 4):
+        sql += f""",
+left{k} as (select root, {most} + 1 - count(*) as n from seen{k - 1} group by root),
+ring{k} as (select f.root, issuer, f.pos, e.subject, l.n, row_number() over (partition by f.root order by issuer, e.subject) as place from front{k - 1} f join left{k} l on l.root = f.root join edge e using (issuer) where l.n > 0),
+rank{k} as (
+    select root, subject, n, pos, via, row_number() over (partition by root order by pos, subject) as rank
+    from (select root, subject, any_value(n) as n, min(pos) as pos, array_to_string(list_sort((list(issuer order by pos))[1:{via}]), ',') as via from ring{k} r
+          where place <= n * 64 and subject <> root and not exists (select 1 from seen{k - 1} s where s.root = r.root and s.did = r.subject) group by root, subject)),
+stop{k} as (select root from stop{k - 1} union select f.root from front{k - 1} f join left{k} l on l.root = f.root where n <= 0 union select root from ring{k} where place > n * 64 union select root from rank{k} where rank > n),
+seen{k} as (select * from seen{k - 1} union all select root, subject, {k}, {"via" if k > 1 else "''"} from rank{k} where rank <= n),
+front{k} as (select root, subject as issuer, rank as pos from rank{k} where rank <= n and root not in (select root from stop{k}))"""
+    return sql + " select root, did, degree, via, root in (select root from stop3) as truncated from seen3 where degree > 0"
+
+
+@query("closure_capped", capped_sql(10, 4))
 def closure_capped(spark, sf_dir):
-    return G.closure(edges(spark, sf_dir), roots(spark, sf_dir), most=10, via=4)
+    return G.closure(edges(spark, sf_dir), roots(spark, sf_dir), most=10, via=4).withColumn("via", F.array_join("via", ","))
 
 
 PROFILES = sql_views("order_doc", "profile_record")

@@ -37,12 +37,13 @@ def test_normalised_created_at(spark):
 
 def test_extracted_created_at(spark):
     fallback = F.lit("2000-01-01").cast("timestamp")
-    got = values(
-        spark, times.extracted_created_at("t", fallback), '{"createdAt":"2026-01-15T10:30:00Z"}', '{"$createdAt":"2026-01-15 10:30:00"}', '{"createdAt":5,"timestamp":"2026-01-15"}',
-        '{"createdAt":"x"}', "bad", '{"indexedAt":"Thu, 15 Jan 2026 10:30:00 GMT"}',
-    )
-    full, day, none = datetime(2026, 1, 15, 10, 30), datetime(2026, 1, 15), datetime(2000, 1, 1)
-    assert got == [full, full, day, none, none, full]
+    full, none = datetime(2026, 1, 15, 10, 30), datetime(2000, 1, 1)
+    cases = {
+        '{"createdAt":"2026-01-15T10:30:00Z"}': full, '{"$createdAt":"2026-01-15 10:30:00"}': full, '{"createdAt":"2026-01-15T12:30:00+02:00"}': full, '{"createdAt":"2026-01-15T10:30:00"}': full,
+        '{"createdAt":5,"timestamp":"2026-01-15 10:30:00.000+00"}': full, '{"createdAt":"12:30","created_at":"2026-01-15T10:30:00.000Z"}': full, '{"createdAt":"2026-01-15"}': none, '{"createdAt":"2026"}': none,
+        '{"createdAt":"2026/01/15 10:30:00"}': none, '{"createdAt":"x"}': none, "bad": none, '{"indexedAt":"Thu, 15 Jan 2026 10:30:00 GMT"}': none,
+    }
+    assert values(spark, times.extracted_created_at("t", fallback), *cases) == list(cases.values())
 
 
 def test_json_values(spark):

@@ -13,8 +13,11 @@ from loomlake.operators import moderation as M
 from loomlake.operators import pages as P
 from loomlake.operators import records as R
 from loomlake.operators import stats as S
+from loomlake.operators import typed
 from loomlake.sources import change_events as E
 from loomlake.sources import label_events
+from loomlake.sources.lexicons import Catalogue
+from loomlake.streaming.snapshots import Snapshots
 
 EVENT = "seq long, kind string, action string, did string, collection string, rkey string, cid string, body string, handle string, status string, ts timestamp"
 
@@ -331,3 +334,80 @@ def test_time_series(spark):
     df = spark.createDataFrame(rows, "did string, json string").withColumn("collection", F.lit("c")).withColumn("indexed_at", F.lit("2026-01-16").cast("timestamp"))
     got = [(str(r["date"]), r["count"], r["cumulative"], r["total_records"], r["unique_users"]) for r in S.collection_time_series(df).orderBy("date").collect()]
     assert got == [("2026-01-15", 2, 2, 3, 2), ("2026-01-16", 1, 3, 3, 2)]
+
+
+def test_typed_view_resolves_links_blobs_and_unions(spark):
+    lexicons = [
+        {"id": "a.b.post", "defs": {"main": {"type": "record", "record": {"type": "object", "required": ["title", "tags"], "properties": {
+            "title": {"type": "string"}, "tags": {"type": "array", "items": {"type": "string"}}, "root": {"type": "cid-link"}, "refs": {"type": "array", "items": {"type": "cid-link"}}, "photo": {"type": "blob"},
+            "body": {"type": "union", "refs": ["#text", "a.b.other#mark"]}, "box": {"type": "ref", "ref": "#box"}, "parts": {"type": "array", "items": {"type": "union", "refs": ["#text"]}}}}},
+            "text": {"type": "object", "required": ["text"], "properties": {"text": {"type": "string"}, "n": {"type": "integer"}}},
+            "box": {"type": "object", "properties": {"link": {"type": "cid-link"}, "n": {"type": "integer"}}}}},
+        {"id": "a.b.other", "defs": {"mark": {"type": "object", "required": ["uri", "at"], "properties": {"uri": {"type": "string"}, "n": {"type": "string"}}}}},
+    ]
+    catalogue = Catalogue(lexicons)
+    bodies = [
+        '{"root":{"$link":"c1"},"refs":["x",{"$link":"y"},{"$link":"z","k":1},7],"photo":{"ref":{"$link":"p"},"mimeType":"image/png","size":9},"body":{"$type":"a.b.post#text","text":"t"},"box":{"link":{"$link":"in"},"n":3},"parts":[{"$type":"a.b.post#text","text":"q"},{"text":"no type"}]}',
+        '{"title":"x","root":"c2","photo":{"ref":5,"mimeType":"image/png","size":9},"body":{"text":"no type"},"tags":["t"]}',
+        '{"root":{"$link":"c1","extra":1},"photo":"p","body":{"$type":"a.b.other#mark","uri":"u"}}',
+        '{"body":{"$type":"a.b.post#missing","text":"t"},"root":null}',
+        "no json",
+    ]
+    rows = spark.createDataFrame([(f"u{k}", "c", "d", "a.b.post", "r", b) for k, b in enumerate(bodies)], "uri string, cid string, did string, collection string, rkey string, json string")
+    view = typed.typed_view(rows, catalogue, "a.b.post").withColumn("body", F.to_json("body")).withColumn("parts", F.transform("parts", lambda x: F.to_json(x)))
+    got = {r["uri"]: r for r in view.collect()}
+    first = got["u0"]
+    assert (first["root"], first["refs"], tuple(first["photo"]), first["body"]) == ("c1", ["x", "y", None, None], ("p", "image/png", 9), '{"$type":"a.b.post#text","text":"t"}')
+    assert tuple(first["box"]) == ("in", 3) and first["parts"] == ['{"$type":"a.b.post#text","text":"q"}', None] and (first["title"], first["tags"]) == ("", [])
+    assert [(got[u]["root"], got[u]["photo"], got[u]["body"]) for u in ("u1", "u2", "u3")] == [("c2", None, None), (None, None, None), (None, None, None)]
+    assert got["u1"]["tags"] == ["t"] and (got["u4"]["title"], got["u4"]["root"]) == ("", None)
+    assert catalogue.filter_fields("a.b.post") == {"title": "string", "tags": "presence", "root": "presence", "refs": "presence", "photo": "presence", "body": "presence", "body.text": "string", "body.uri": "string", "box": "presence", "box.link": "presence", "box.n": "integer", "parts": "presence"}
+
+
+def test_integers_beyond_doubles(spark):
+    rows = spark.createDataFrame([(f"u{k}", '{"n":%d}' % ((1 << 53) + k)) for k in range(3)] + [("x", '{"n":"no"}'), ("y", '{"n":1.5}')], "uri string, json string")
+    one = lambda op, n: sorted(r["uri"] for r in W.where(rows, {"n": {op: n}}, {"n": "integer"}).collect())
+    assert one("eq", (1 << 53) + 1) == ["u1"] and one("lt", (1 << 53) + 1) == ["u0", "y"] and one("in", [(1 << 53) + 2]) == ["u2"] and one("eq", 2) == []
+
+
+def test_bad_label_rejects_its_event(spark):
+    label = '{"src":"s","uri":"at://u","val":"v","cts":"%s"%s}'
+    cases = {"2026-01-01T00:00:00Z": True, "2026-01-01T00:00:00.123456789+05:30": True, "2024": False, "12:30": False, "2026-01-01": False, "2026-01-01T00:00:00": False}
+    raw = [("w", '{"seq":%d,"labels":[%s,%s]}' % (k, label % ("2026-01-01T00:00:00Z", ""), label % (cts, "")), k) for k, cts in enumerate(cases)]
+    raw.append(("w", '{"seq":99,"labels":[%s]}' % (label % ("2026-01-01T00:00:00Z", ',"exp":"2024"')), 99))
+    rows = label_events.label_rows(spark.createDataFrame(raw, "subscription_url string, value string, received_at int"))
+    found = {}
+    for r in rows.collect():
+        found.setdefault(r["seq"], set()).add(r["valid"])
+    assert found == {k: {ok} for k, ok in enumerate(cases.values())} | {99: {False}}
+
+
+def test_fatal_frames(spark):
+    frames = [
+        ("a", "info", "OutdatedCursor", "cursor too old", 1), ("b", "error", "FutureCursor", "Cursor is in the future!", 1), ("c", "error", "FutureCursor", None, 1), ("d", "error", "OutdatedCursor", "m", 1),
+        ("e", "info", "FutureCursor", None, 1), ("e", "labels", None, None, 2), ("f", "connected", None, None, 1), ("f", "error", "Busy", None, 2), ("g", "error", "Busy", "x", 1), ("g", "connected", None, None, 2),
+    ]
+    df = spark.createDataFrame(frames, "subscription_url string, op string, name string, message string, seq int").withColumn("ts", F.timestamp_seconds("seq"))
+    got = {r["subscription_url"]: (r["status"], r["error_code"], r["message"]) for r in L.diagnostics(L.subscription_states(L.frame_events(df)), df).collect()}
+    reset = " Reset subscription cursor and replay labels."
+    assert got["a"] == ("fatal", "OutdatedCursor", "FATAL_CURSOR OutdatedCursor: cursor too old." + reset)
+    assert got["b"] == ("fatal", "FutureCursor", "FATAL_CURSOR FutureCursor: Cursor is in the future!" + reset)
+    assert got["c"] == ("fatal", "FutureCursor", "FATAL_CURSOR FutureCursor: Cursor is in the future." + reset)
+    assert got["d"][:2] == ("error", None) and got["e"][0] == "pending" and got["f"] == ("error", None, "labeler stream error: Busy") and got["g"][0] == "connected"
+
+
+def test_snapshots_keep_untouched_buckets(spark, tmp_path):
+    state = Snapshots(spark, str(tmp_path / "s"), buckets=8)
+    schema = "did string, n int"
+    one = spark.createDataFrame([(f"d{k}", 0) for k in range(40)], schema)
+    state.publish({"t": (one, "did", state.touched(one, "did"))}, 0, None)
+    few = spark.createDataFrame([("d3", 1)], schema)
+    own = state.touched(few, "did")
+    gone = {r[0] for r in one.filter(state.bucket_of("did").isin(own)).select("did").collect()} - {"d3"}
+    state.publish({"t": (few, "did", own)}, 1, 0)
+    assert state.version() == 1 and state.version(below=1) == 0
+    assert {(r["did"], r["n"]) for r in state.read("t", schema, 1).collect()} == {(f"d{k}", int(k == 3)) for k in range(40) if f"d{k}" not in gone}
+    assert state.read("t", schema, 0).count() == 40 and state.read("t", schema, 1, own).count() == 1
+    assert [tuple(r) for r in state.superseded(1).collect()] == [("t", own[0], 0)]
+    state.publish({"t": (few.limit(0), "did", own)}, 2, 1)
+    assert state.read("t", schema, 2, own).count() == 0 and state.read("t", schema, 2).count() == 40 - len(gone) - 1

@@ -16,7 +16,7 @@ EVERY = ["closure_every_root", "labels_history_every_subject", "subscription_sta
 def test_every_row_counts(spark, name):
     duckdb = pytest.importorskip("duckdb")
     db = duckdb.connect()
-    for table in ("customer", "orders", "events", "documents", "labels"):
+    for table in ("customer", "orders", "events", "documents", "labels", "nation"):
         db.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     got = entry.queries()[name](spark, SF)
     want = db.execute(entry.oracle_sql()[name])
