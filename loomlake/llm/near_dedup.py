@@ -11,8 +11,9 @@ linked when 100 * intersection >= 75 * union. Steps:
    missed with probability 4e-6, a pair at 0.8 with 4e-9.
 4. Rounds: each key takes one node as pivot, in an order that changes from round to round, and
    the others may be compared with it, so a key with n nodes costs n comparisons, not n * n. Of a
-   node's pivots the `tries` that share most of its keys are. Odd sketches drop pairs whose estimate lies more than 4.5 standard errors below the threshold; the best
-   pair of each node is confirmed on the full sets, and linked groups are merged.
+   node's pivots the `tries` that share most of its keys are. Odd sketches drop pairs whose estimate lies more than 4.5 standard errors below the threshold; the others
+   (in the first round the best of each node) are confirmed on the full sets, and linked groups are merged. Rounds go on until
+   one finds no link (at most `rounds`), so a large group of near copies is one group before step 5.
 5. What is left: pairs that share a key but lie in different groups. All of them are compared inside
    the join, by sketches and then by full sets, and groups are merged. After that no
    candidate pair is untested except inside one group, where it could change nothing.
@@ -270,7 +271,7 @@ def rooted(groups: DataFrame, links: DataFrame, folder: str, name: str) -> DataF
     return stored(groups.join(new.select(F.col("a").alias("node"), "b"), "node", "left").select("node", F.coalesce("b", "comp").alias("comp")), folder, f"{name}-groups")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75, width: int = 5, bands: int = 64, rows: int = 6, rounds: int = 3, tries: int = 3, errors: float = 4.5) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75, width: int = 5, bands: int = 64, rows: int = 6, rounds: int = 16, tries: int = 3, errors: float = 4.5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs`. threshold: in hundredths."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
@@ -304,8 +305,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         met = placed.join(pivots, "key").filter("comp <> b_comp").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
         first = met.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "b"))), 1, tries).alias("b"))
         pairs = first.select("a", F.explode("b.b").alias("b"))
-        best = links.likely(pairs).groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
-        found = stored(links.confirmed(best), folder, f"round-{k}")
+        likely = links.likely(pairs)
+        if k == 0:
+            likely = likely.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+        found = stored(links.confirmed(likely), folder, f"round-{k}")
         if found.isEmpty():
             break
         # In the first round a node points to one that comes before it in the round's order, so links are trees.
