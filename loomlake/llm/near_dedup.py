@@ -21,7 +21,7 @@ linked when 100 * intersection >= 75 * union. Steps:
 Groups are merged by pointer jumping, after the first round along minimum labels of neighbours. Nothing is collected on the driver but
 counts. Tables between steps lie in the shared folder.
 
-Defined cases: null, empty and blank texts have no shingles and are linked with nothing; a text of
+Defined cases: a very long text has all its shingles in its set; of equal ids the group shows one; null, empty and blank texts have no shingles and are linked with nothing; a text of
 fewer than five words has one shingle; rows that repeat an id each get a row; a group's id is its
 smallest non-null doc_id (null if all are null, and then no row of it is kept, but for rows without
 shingles, which keep their own id); an empty table gives no rows; other columns are ignored,

@@ -10,7 +10,7 @@ most `longest` bytes, see labelled.py) on the driver; the weights, 2**`bits` num
 broadcast. Scores are corrected for the sample's share of each label. All documents are scored,
 whole, where they lie.
 
-Defined cases: null text counts as empty; a text without tokens scores by the bias alone; without
+Defined cases: a very long text is scored by all its n-grams; a score at the threshold is predicted 1; null text counts as empty; a text without tokens scores by the bias alone; without
 training rows of both labels every score is the share of label 1 among them, or 0.5; repeated rows
 and rows without an id are scored like others; empty tables give no rows; other columns are
 ignored, whatever their names.

@@ -10,7 +10,8 @@ between engines.
 
 All work happens inside the row: no shuffle, no Python on the executors. Positions are code points.
 
-Defined cases: null text counts as empty and has no findings; repeated rows and rows without an
+Defined cases: null and empty texts have no findings; a very long text is scanned whole; at one start spans are in the
+order of their kinds; repeated rows and rows without an
 id are scanned like others; an empty table gives no rows; other columns are ignored, whatever
 their names.
 """

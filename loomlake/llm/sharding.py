@@ -1,6 +1,6 @@
 """Minimax contiguous sharding of documents, equal texts kept together.
 
-The ordered atomic groups are `buckets` (65,536) ranges of a hash of the text, so equal texts
+The ordered atomic groups are `buckets` (65,536) remainders of a hash of the text, so equal texts
 always share a group and the list of groups has the same length at every input size. A binary
 search over the capacity, each candidate checked by filling shards greedily, finds the smallest
 capacity with which the shards hold all groups in order; no shard exceeds it, so no contiguous
@@ -10,7 +10,7 @@ the bound, the shards that remain are dealt to the stretches between such groups
 within a stretch each next shard ends at the smallest capacity for the shards and groups left. No
 shard is empty unless there are fewer groups than shards.
 
-Defined cases: null text counts as empty, has 16 bytes of size and shares the group of empty
+Defined cases: of equally small cuts the earliest is taken; a very long text is in one shard; null text counts as empty, has 16 bytes of size and shares the group of empty
 texts; repeated rows each get a slot; rows without an id are sharded like others; an empty table
 gives no rows; other columns are ignored, whatever their names.
 """

@@ -54,7 +54,7 @@ def lengths(docs: DataFrame, ranks_file: str, text_col: str = "text", pieces: st
     return map_batches(docs.select(F.col(text_col).alias("text")), make, "n_tokens long")
 
 
-def suffix_table(counted: DataFrame, span: int = 4096) -> DataFrame:
+def suffix_table(counted: DataFrame, span: int = 512) -> DataFrame:
     """From n_tokens per document: a row for each distinct length with totals for that limit.
 
     n_tokens, n_docs, docs_longer, docs_at_least, tokens_at_least, kept_tokens, lost_tokens,

@@ -17,7 +17,7 @@ share of each label.
 Training sees a bounded sample of labelled rows on the driver (see labelled.py); the two
 dictionaries, of fixed size, are broadcast.
 
-Defined cases: null text counts as empty; an empty text has one window without evidence; without
+Defined cases: a very long text is cut into as many windows as it has; a score of 0.5 is predicted toxic; null text counts as empty; an empty text has one window without evidence; without
 training rows of both labels every score is the share of label 1 among them, or 0 without any;
 repeated rows and rows without an id are scored like others; empty tables give no rows; other
 columns are ignored, whatever their names.
