@@ -82,11 +82,12 @@ def apply_events(events: DataFrame, path: str, checkpoint: str, commit_feed: boo
         batch = batch.persist()
         last, own = state.version(below=number), state.touched(batch, "did")
         records, actors = state.read("records", RECORDS, last, own), state.read("actors", ACTORS, last, own)
-        outcomes = applied(batch, records)
+        outcomes = applied(batch, records).persist()
         state.append("activity", activity_of(outcomes, "success" if commit_feed else "completed", commit_feed), number)
         state.append("feed", feed(outcomes, publish_skipped=commit_feed), number)
         new_records, new_actors = current_records(batch, records), current_actors(batch, actors, only_missing=commit_feed)
         state.publish({"records": (new_records, "did", own), "actors": (new_actors, "did", own)}, number, last)
+        outcomes.unpersist()
         batch.unpersist()
 
     return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()

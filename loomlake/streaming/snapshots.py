@@ -9,7 +9,7 @@ With b buckets, a manifest has b rows for each table.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST = "name string, bucket int, at long"
@@ -18,6 +18,7 @@ MANIFEST = "name string, bucket int, at long"
 class Snapshots:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path, self.buckets = spark, path, buckets
+        self.manifests: dict[int, dict[tuple[str, int], int]] = {}
 
     def version(self, below: int | None = None) -> int | None:
         """The newest version, or the newest below a number."""
@@ -40,7 +41,10 @@ class Snapshots:
         """(table, bucket) -> version that holds it."""
         if version is None:
             return {}
-        return {(r["name"], r["bucket"]): r["at"] for r in self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest/v={version}").collect()}
+        if version not in self.manifests:
+            rows = self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest/v={version}").collect()
+            self.manifests[version] = {(r["name"], r["bucket"]): r["at"] for r in rows}
+        return self.manifests[version]
 
     def read(self, name: str, schema: str, version: int | None, buckets: list[int] | None = None) -> DataFrame:
         """A table of a version, or some buckets of it."""
@@ -51,15 +55,13 @@ class Snapshots:
         """tables: name -> (all rows of the touched buckets, key column, touched buckets); other buckets stay as in `last`."""
         held = self.manifest(last)
         for name, (rows, key, touched) in tables.items():
-            path = f"{self.path}/{name}/v={version}"
-            rows.withColumn("bucket", self.bucket_of(key)).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+            seen = Observation()
+            dealt = rows.withColumn("bucket", self.bucket_of(key)).hint("rebalance", "bucket").observe(seen, F.collect_set("bucket").alias("filled"))
+            dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/v={version}")
             held = {(n, b): at for (n, b), at in held.items() if n != name or b not in touched}
-            try:
-                filled = self.spark.read.parquet(path).select("bucket").distinct().collect()
-            except AnalysisException:  # no bucket has rows
-                filled = []
-            held |= {(name, r["bucket"]): version for r in filled}
+            held |= {(name, b): version for b in seen.get["filled"] or []}
         rows = [(n, b, at) for (n, b), at in held.items()]
+        self.manifests.pop(version, None)
         self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/v={version}")  # bounded by the buckets
         self.spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("append").parquet(f"{self.path}/pointer")
 
