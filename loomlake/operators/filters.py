@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.json_values import path_of, text_at, variant_of
 from ..sources.lexicons import merged_fields as merged_union_fields  # noqa: F401
@@ -66,8 +67,11 @@ def field_value(kind: str, text: Column, instants: bool = False) -> Column:
     return F.try_to_timestamp(text) if kind == "datetime" and instants else text
 
 
-def condition(field: str, kind: str, op: str, wanted: object, json: str = "json", instants: bool = False) -> Column:
-    """`field op wanted` for a top-level field, a path of up to three levels (a.b.c), or a column of its own."""
+def condition(field: str, kind: str, op: str, wanted: object, json: str = "json", instants: bool = False, parsed: Column | None = None) -> Column:
+    """`field op wanted` for a top-level field, a path of up to three levels (a.b.c), or a column of its own.
+
+    parsed: the fields' texts as a struct, where the JSON has been parsed already.
+    """
     names = field.split(".")
     if len(names) > MOST_DEPTH:
         raise ValueError(f"{field}: more than {MOST_DEPTH} levels")
@@ -76,7 +80,7 @@ def condition(field: str, kind: str, op: str, wanted: object, json: str = "json"
         raise ValueError(f"{field}: no operator {op} for {kind}")
     if field in DIRECT:
         return compare(F.col(field), op, wanted)
-    value = text_at(json, *names)
+    value = text_at(json, *names) if parsed is None else reduce(lambda c, n: c[n], names, parsed)
     if op == "isNull":
         return compare(value, op, wanted)
     if kind == "datetime" and instants:
@@ -111,9 +115,34 @@ def author_condition(ops: dict[str, object]) -> Column:
     return F.col("did").isin(list(wanted)) if wanted else F.lit(True)
 
 
+def texts_of(paths: list[str]) -> T.StructType | None:
+    """A schema that reads the paths of a JSON document as text; None where one path lies in another or names differ in case only."""
+    tree: dict = {}
+    for path in paths:
+        at = tree
+        *above, last = path.split(".")
+        for name in above:
+            at = at.setdefault(name, {})
+            if not isinstance(at, dict):
+                return None
+        if at.setdefault(last, "") != "":
+            return None
+
+    def struct(names: dict) -> T.StructType | None:
+        inner = {n: T.StringType() if x == "" else struct(x) for n, x in names.items()}
+        if len({n.lower() for n in names}) < len(names) or None in inner.values():
+            return None
+        return T.StructType([T.StructField(n, kind) for n, kind in inner.items()])
+
+    return struct(tree)
+
+
 def column_of(where: dict, fields: dict[str, str], instants: bool = False) -> Column:
-    """All conditions of `where` on the record itself, joined by and. At most 20 count (authors and labels don't)."""
-    parts, n = [], 0
+    """All conditions of `where` on the record itself, joined by and. At most 20 count (authors and labels don't).
+
+    With two fields or more the JSON is parsed once for all of them: the conditions are a test on the one element of an array.
+    """
+    parts, texts, n = [], [], 0
     for field, ops in where.items():
         if field in ("externalLabels", "authorLabels"):
             continue
@@ -125,10 +154,21 @@ def column_of(where: dict, fields: dict[str, str], instants: bool = False) -> Co
             n += sum(len(o) for o in ops["any"].values())
             continue
         for op, wanted in ops.items():
-            parts.append(condition(field, fields.get(field, "string" if field in DIRECT or "." in field else "presence"), op, wanted, instants=instants))
+            test = (field, fields.get(field, "string" if field in DIRECT or "." in field else "presence"), op, wanted)
+            parts.append(condition(*test, instants=instants))  # also checks the test
+            if field not in DIRECT:
+                parts.pop()
+                texts.append(test)
             n += 1
     if n > MOST_CONDITIONS:
         raise ValueError(f"more than {MOST_CONDITIONS} conditions")
+    paths = list(dict.fromkeys(t[0] for t in texts))
+    schema = texts_of(paths) if len(paths) > 1 else None
+    if schema is None:
+        parts += [condition(*t, instants=instants) for t in texts]
+    else:
+        tests = lambda s: reduce(Column.__and__, [condition(*t, instants=instants, parsed=s) for t in texts])
+        parts.append(F.exists(F.array(F.from_json("json", schema)), tests))
     return reduce(Column.__and__, parts, F.lit(True))
 
 

@@ -411,3 +411,18 @@ def test_snapshots_keep_untouched_buckets(spark, tmp_path):
     assert [tuple(r) for r in state.superseded(1).collect()] == [("t", own[0], 0)]
     state.publish({"t": (few.limit(0), "did", own)}, 2, 1)
     assert state.read("t", schema, 2, own).count() == 0 and state.read("t", schema, 2).count() == 40 - len(gone) - 1
+
+
+def test_conditions_parse_once_alike(spark):
+    """Several fields at once against one at a time, over values of all kinds."""
+    texts = ['{"a":"x","b":1,"c":{"d":"y","e":null}}', '{"a":null,"b":1.5,"c":"z"}', '{"b":"1","c":{"d":5}}', '{"a":{"k":1},"b":9007199254740993,"c":[1]}', "{}", "no json", '{"a":"X","b":true,"c":{"d":"Y"}}']
+    rows = spark.createDataFrame([(f"u{k}", t) for k, t in enumerate(texts)] + [("none", None)], "uri string, json string")
+    fields = {"a": "string", "b": "integer", "c.d": "string", "c.e": "string"}
+    tests = {"a": [("isNull", True), ("isNull", False), ("eq", "x"), ("contains", "x"), ("neq", "x")], "b": [("gte", 1), ("isNull", False), ("eq", 9007199254740993)], "c.d": [("isNull", True), ("in", ["y", "5"])], "c.e": [("isNull", True)]}
+    uris = lambda where: {r["uri"] for r in W.where(rows, where, fields).collect()}
+    one = {(f, op, str(v)): uris({f: {op: v}}) for f, ts in tests.items() for op, v in ts}
+    for x in tests["a"]:
+        for y in tests["b"]:
+            for z in tests["c.d"]:
+                assert uris({"a": dict([x]), "b": dict([y]), "c.d": dict([z]), "c.e": {"isNull": True}}) == one["a", x[0], str(x[1])] & one["b", y[0], str(y[1])] & one["c.d", z[0], str(z[1])] & one["c.e", "isNull", "True"]
+    assert W.texts_of(["a", "a.b"]) is None and W.texts_of(["a", "A"]) is None and W.texts_of(["a.b", "a.c"]).simpleString() == "struct<a:struct<b:string,c:string>>"
