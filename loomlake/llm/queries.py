@@ -134,6 +134,20 @@ named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
     sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from word_lists left join hit using (doc_id) left join named using (doc_id)
+""",
+    # All pairs that share a shingle, counted on full sets, and what can be reached along links.
+    "op8_near_dedup": r"""
+with recursive word_lists as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+    from documents),
+sets as (select distinct doc_id, array_to_string(w[i : i + 4], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from word_lists where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as k from sets a join sets b using (s) where a.doc_id < b.doc_id group by 1, 2),
+links as (select x, y from shared join sizes a on a.doc_id = x join sizes b on b.doc_id = y where 100 * k >= 75 * (a.n + b.n - k)),
+both_ways as (select x, y from links union all select y, x from links),
+reached as (select x as doc_id, x as other from both_ways union select r.doc_id, y from reached r join both_ways on x = other)
+select doc_id, coalesce(n, 0) as n_shingles, coalesce(least(doc_id, component), doc_id) as component_id, doc_id <= coalesce(component, doc_id) as kept
+from word_lists left join sizes using (doc_id) left join (select doc_id, min(other) as component from reached group by doc_id) using (doc_id)
 """,
     "op10_exact_dedup": r"""
 select doc_id, min(doc_id) over same as keep_id, count(*) over same as group_size,
