@@ -106,7 +106,7 @@ def page(records: DataFrame, first: int | None = None, after: str | None = None,
 
 def page_by_time_only(records: DataFrame, before: Column, limit: int) -> DataFrame:
     """The older form of a page: rows of the cursor's very time are skipped."""
-    return records.filter(F.col("indexed_at") < before).orderBy(F.col("indexed_at").desc()).limit(limit)
+    return records.filter(F.col("indexed_at") < before).orderBy(F.col("indexed_at").desc(), F.col("uri").desc()).limit(limit)
 
 
 def timeline(scoped: DataFrame, first: int | None = None, after: str | None = None) -> DataFrame:

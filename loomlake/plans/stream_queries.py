@@ -16,6 +16,10 @@ from .record_queries import EVENTS
 from .registry import query
 
 
+#: Buckets of the state: as many as tables of a few thousand rows are worth.
+BUCKETS = 8
+
+
 def as_streams(df, folder: str, parts: int = 3):
     """A table as a stream of files that comes in `parts` ranges of seq: each time the same stream, with the next range's files there."""
     spark = df.sparkSession
@@ -32,7 +36,7 @@ def applied(spark, sf_dir, commit_feed: bool = False) -> tuple[Snapshots, int]:
     folder = shared_dir(spark)
     events = spark_view(spark, sf_dir, "record_event")
     for stream in as_streams(events, folder):  # the job is stopped and started again between ranges
-        C.apply_events(stream, f"{folder}/state", f"{folder}/checkpoint", commit_feed).awaitTermination()
+        C.apply_events(stream, f"{folder}/state", f"{folder}/checkpoint", commit_feed, BUCKETS).awaitTermination()
     state = Snapshots(spark, f"{folder}/state")
     return state, state.version()
 
@@ -83,7 +87,7 @@ def stream_labels(spark, sf_dir):
     missing = {"sig": "string", "ver": "int", "raw_json": "string"}
     full = rows.withColumns({c: F.lit(None).cast(t) for c, t in missing.items()})
     for stream in as_streams(full, folder):
-        C.apply_labels(stream, f"{folder}/state", f"{folder}/checkpoint").awaitTermination()
+        C.apply_labels(stream, f"{folder}/state", f"{folder}/checkpoint", BUCKETS).awaitTermination()
     state = Snapshots(spark, f"{folder}/state")
     found = L.active(state.read("newest", EXTERNAL_LABELS, state.version()), as_of())
     return NTZ(found.select("src", "uri", "cid", "val", "cts"), "cts")
