@@ -1,5 +1,7 @@
 """The pipeline's stages, each against plain Python on its own input."""
 
+import re
+
 import pytest
 
 pytest.importorskip("public_tokenizers")
@@ -35,8 +37,13 @@ def test_stages(spark, tmp_path):
         elif name == "near_dedup":
             want = {i: kept[i] for i, n, _, keeps in components(sorted(kept.items())) if keeps or not n}
         else:
-            hit = decontamination.digest(decontamination.decontaminate(docs, spark.read.parquet(f"{SF}/benchmark.parquet")))
-            want = {i: t for i, t in kept.items() if i not in {r["doc_id"] for r in hit.filter("contaminated").collect()}}
+            cut = lambda t: re.findall(decontamination.WORD, "".join(c.lower() if c.isascii() else c for c in t or ""))
+            items = [cut(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+            passages = {tuple(w[k : k + 10]) for w in items if w for k in range(max(1, len(w) - 9))}
+            sizes = {len(x) for x in passages}
+            found = lambda w: any(tuple(w[k : k + n]) in passages for n in sizes for k in range(len(w) - n + 1))
+            want = {i: t for i, t in kept.items() if not found(cut(t))}
+            assert len(want) < len(kept)
         assert rows == want
         docs, kept = out, rows
     assert corpus_pipeline.run(spark, SF).count() == out.count()
