@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NAME = re.compile(r"^[a-zA-Z_][a-zA-Z0-9_]*$")
 
@@ -26,6 +27,11 @@ def path_of(*names: str) -> str:
     return "$" + "".join(f".{n}" for n in names)
 
 
+def parsed_once(json: Column | str, schema: str | T.DataType) -> Column:
+    """A row's JSON by a schema, as a generator of one row: filters on its fields then don't parse again below it."""
+    return F.explode(F.array(F.from_json(_col(json), schema)))
+
+
 def text_at(json: Column | str, *names: str) -> Column:
     """The value as text; null when missing, JSON null or the document is invalid."""
     return F.get_json_object(_col(json), path_of(*names))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.json_values import blob_of, link_text, path_of, text_at, variant_of
+from ..functions.json_values import blob_of, link_text, parsed_once, path_of, text_at, variant_of
 from ..functions.times import iso_millis
 from ..sources.lexicons import DEPTH, Catalogue
 
@@ -21,7 +21,7 @@ def typed_view(records: DataFrame, catalogue: Catalogue, nsid: str, coerce: bool
     The JSON is parsed once. Links become their content id, blobs a struct, and a union's value stays if
     its `$type` names a member whose required fields are there; what doesn't fit is null, and of invalid JSON nothing fits.
     """
-    rows = records.filter(F.col("collection") == nsid).select("uri", "cid", "did", "rkey", F.from_json("json", catalogue.schema(nsid, raw=True)).alias("s"))
+    rows = records.filter(F.col("collection") == nsid).select("uri", "cid", "did", "rkey", parsed_once("json", catalogue.schema(nsid, raw=True)).alias("s"))
     return rows.filter("s is not null").select("uri", "cid", "did", "rkey", *fields_of(F.col("s"), catalogue, nsid, coerce))
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.json_values import parsed_once
 from ..functions.uris import in_namespace
 from ..schemas import CHANGE_EVENT
 
@@ -31,7 +32,7 @@ def envelopes(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A create or update without a body is valid; applying it changes nothing.
     """
-    e = raw.select("value", F.from_json("value", ENVELOPE).alias("e"), F.get_json_object("value", "$.record.record").alias("body"))
+    e = raw.select("value", parsed_once("value", ENVELOPE).alias("e"), F.get_json_object("value", "$.record.record").alias("body"))
     r, i = F.col("e.record"), F.col("e.identity")
     reason = (
         F.when(F.col("e").isNull() | missing(F.col("e.type")), "missing type")
@@ -65,7 +66,7 @@ def envelopes(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def commits(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, quarantine) of the commit feed; only commits count, other kinds are left out."""
-    e = raw.select("value", F.from_json("value", COMMIT).alias("e"), F.get_json_object("value", "$.commit.record").alias("body"))
+    e = raw.select("value", parsed_once("value", COMMIT).alias("e"), F.get_json_object("value", "$.commit.record").alias("body"))
     c = F.col("e.commit")
     reason = F.when(F.col("e").isNull() | missing(F.col("e.kind")), "missing kind").when((F.col("e.kind") == "commit") & (c.isNull() | missing(F.col("e.did"))), "missing commit")
     checked = e.withColumn("reason", reason)

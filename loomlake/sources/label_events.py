@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.json_values import parsed_once
 from ..functions.times import strict
 
 LABEL = "struct<ver: int, src: string, uri: string, cid: string, val: string, neg: boolean, cts: string, exp: string, sig: binary>"
@@ -19,7 +20,7 @@ def label_rows(raw: DataFrame) -> DataFrame:
     `seq` and `labels` come from the event; an event without labels has one row with a null
     label_index, so the cursor can still move.
     """
-    e = raw.select("subscription_url", "received_at", F.from_json("value", f"seq long, labels array<{LABEL}>").alias("e"))
+    e = raw.select("subscription_url", "received_at", parsed_once("value", f"seq long, labels array<{LABEL}>").alias("e"))
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     good = lambda x: ~(blank(x["src"]) | blank(x["uri"]) | blank(x["val"]) | strict(x["cts"]).isNull() | (~blank(x["exp"]) & strict(x["exp"]).isNull()))
     e = e.withColumn("valid", F.coalesce(F.forall("e.labels", good), F.lit(True)))
