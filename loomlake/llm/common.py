@@ -102,6 +102,26 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, weight: str, spread
     return rows.join(dealt, [key, "__part"]).drop("__part")
 
 
+def bit_filtered(rows: DataFrame, keys: DataFrame, column: str, bits: int = 25, flag: str | None = None) -> DataFrame:
+    """The rows whose `column` may be among that of `keys`: all that are, and of the others about one in 2**bits / number of keys.
+
+    Each key sets one of 2**bits bits (4 MB), so what is broadcast is bounded at any size; where keys are too many for
+    it, more rows pass, and none that is wanted is lost. With `flag` all rows come back, and that column says whether they passed.
+    """
+    place = F.xxhash64(column).bitwiseAND(F.lit((1 << bits) - 1)) + 1
+    maps = (
+        keys.select(place.alias("__bit"))
+        .groupBy(F.bitmap_bucket_number("__bit").alias("__bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("__bit")).alias("__bits"))
+    )
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("__bits", F.expr("cast(0 as int)") + (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
+    name = flag or "__may"
+    out = rows.withColumn("__bucket", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "__bucket", "left").withColumn(name, found).drop("__bucket", "__bits")
+    return out if flag else out.filter(name).drop(name)
+
+
 #: Rows and bytes of an Arrow batch at most: texts may be long, and a batch is held several times on its way.
 BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
