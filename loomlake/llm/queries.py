@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, katz, near_dedup, packing, quality, run_index, secrets, sharding, token_counts, toxicity
+from . import decontamination, exact_dedup, katz, near_dedup, packing, quality, run_index, secrets, sharding, spelling, token_counts, toxicity, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +62,15 @@ def op11_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_index.digest(run_index.drop_repeats(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_token_counts, op4_katz, op5_sharding, op6_toxicity, op7_packing, op8_near_dedup, op9_quality, op10_exact_dedup, op11_run_index)}
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).drop("deviation_exact")
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontamination, op3_token_counts, op4_katz, op5_sharding, op6_toxicity, op7_packing, op8_near_dedup, op9_quality, op10_exact_dedup, op11_run_index, op12_spelling, op13_whitening)}
 
 
 
