@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The accepted spellings.
-NSID = r"^[a-z][a-z0-9-]*(\.[a-z0-9-]+)+\.[a-zA-Z][a-zA-Z0-9-]*$"
+_SEGMENT = r"[\p{Ll}\p{Nd}]([\p{Ll}\p{Nd}-]*[\p{Ll}\p{Nd}])?"
+NSID = rf"^{_SEGMENT}(\.{_SEGMENT}){{2,}}$"
 DID = r"^did:(plc|web):[A-Za-z0-9._:%-]*[A-Za-z0-9._-]$"
 
 
@@ -44,10 +47,16 @@ def is_loose_did(did: Column | str) -> Column:
 
 
 def is_valid_nsid(nsid: Column | str) -> Column:
-    """At least three segments of letters, digits and hyphens."""
+    """Three segments or more of lower-case letters, digits and hyphens; none starts or ends with a hyphen."""
     return F.coalesce(_col(nsid).rlike(NSID), F.lit(False))
 
 
+def valid_nsid(nsid: str) -> bool:
+    """The rule of `is_valid_nsid` for one name."""
+    part = lambda p: bool(p) and all(unicodedata.category(c) in ("Ll", "Nd") or c == "-" for c in p) and "-" not in (p[0], p[-1])
+    return nsid.count(".") >= 2 and all(map(part, nsid.split(".")))
+
+
 def nsid_name(nsid: Column | str) -> Column:
     """The last segment."""
     return F.element_at(F.split(_col(nsid), r"\."), -1)

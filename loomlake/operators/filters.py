@@ -9,7 +9,6 @@ Missing and JSON null both count as null; a null never equals or differs from an
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.json_values import path_of, text_at, variant_of
+from ..functions.uris import valid_nsid
 from ..sources.lexicons import merged_fields as merged_union_fields  # noqa: F401
 from . import labels as L
 
@@ -200,20 +200,17 @@ def where(records: DataFrame, tests: dict, fields: dict[str, str], labels: DataF
 
 
 def search(records: DataFrame, text: str, collection: str | None = None, normalised: bool = False) -> DataFrame:
-    """Records whose JSON text holds `text`, in any case; keys count too. `normalised` re-renders the JSON first."""
-    if len(text.strip()) < 3:
+    """Records whose JSON text holds `text`, in any case; keys count too, and blanks count as letters. `normalised` re-renders the JSON first."""
+    if len(text) < 3:
         raise ValueError("search for at least three characters")
     found = records.filter(F.col("collection") == collection) if collection else records
     json = F.to_json(variant_of("json")) if normalised else F.col("json")
     return found.filter(F.contains(F.lower(json), F.lower(F.lit(text))))
 
 
-NSID = re.compile(r"^[a-z][a-z0-9-]*(\.[a-z0-9-]+)+\.[a-zA-Z][a-zA-Z0-9-]*$")
-
-
 def timeline_scope(records: DataFrame, collections: list[str], authors: list[str] | DataFrame | None = None, most_collections: int = 25, most_authors: int = 1000) -> DataFrame:
     """Records of 1 to 25 collections and, if given, of some authors; an empty list of authors gives no rows."""
-    if not 1 <= len(collections) <= most_collections or not all(NSID.match(c) for c in collections):
+    if not 1 <= len(collections) <= most_collections or not all(valid_nsid(c) for c in collections):
         raise ValueError(f"1 to {most_collections} valid collections")
     found = records.filter(F.col("collection").isin(collections) & F.col("record_created_at").isNotNull())
     if authors is None:

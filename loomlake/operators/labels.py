@@ -9,18 +9,25 @@ from pyspark.sql.window import Window
 KEY = ["subscription_url", "seq", "label_index"]
 
 
-def ingest(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(labels, rejected): an event with any bad label is rejected whole; replays change nothing."""
+def ingest(rows: DataFrame, order: str = "received_at") -> tuple[DataFrame, DataFrame]:
+    """(labels, rejected): an event with any bad label is rejected whole; of rows with one key the first by `order` stays, so replays change nothing."""
     ok = F.min("valid").over(Window.partitionBy("subscription_url", "seq"))
     checked = rows.withColumn("event_valid", ok)
-    good = checked.filter("event_valid and label_index is not null").dropDuplicates(KEY)
+    good = checked.filter("event_valid and label_index is not null")
+    rest = [c for c in good.columns if c not in (*KEY, order, "raw_json")] + ["raw_json"] * ("raw_json" in good.columns)
+    good = good.groupBy(*KEY).agg(F.min(F.struct(order, *rest)).alias("__first")).select(*KEY, "__first.*").select(good.columns)
     return good.drop("valid", "event_valid"), checked.filter("not event_valid").drop("event_valid")
 
 
 def cursors(rows: DataFrame, fatal: DataFrame | None = None) -> DataFrame:
-    """The last sequence number of each subscription: events without labels count, rejected and fatal ones don't."""
-    seen = rows.groupBy("subscription_url", "seq").agg(F.min("valid").alias("valid"), F.max("received_at").alias("at")).filter("valid")
-    last = seen.groupBy("subscription_url").agg(F.max("seq").alias("last_seq"), F.max_by("at", "seq").alias("last_event_at"))
+    """The last sequence number of each subscription; events without labels count.
+
+    A rejected event stores nothing and holds the cursor before it; a subscription that is marked fatal doesn't move.
+    """
+    seen = rows.groupBy("subscription_url", "seq").agg(F.min("valid").alias("valid"), F.max("received_at").alias("at"))
+    held = seen.groupBy("subscription_url").agg(F.min(F.when(~F.col("valid"), F.col("seq"))).alias("held"))
+    free = seen.join(held, "subscription_url").filter("valid and (held is null or seq < held)")
+    last = free.groupBy("subscription_url").agg(F.max("seq").alias("last_seq"), F.max_by("at", "seq").alias("last_event_at"))
     return last if fatal is None else last.join(fatal.select("subscription_url"), "subscription_url", "left_anti")
 
 
@@ -59,7 +66,7 @@ def for_subjects(subjects: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels of subjects (place, uri, cid), in their order, newest first; repeated subjects count once."""
     first = subjects.groupBy(F.col("uri").alias("s_uri"), F.col("cid").alias("s_cid")).agg(F.min("place").alias("place"))
     same = (labels["uri"] == first["s_uri"]) & (F.col("s_cid").isNull() | labels["cid"].isNull() | (labels["cid"] == F.col("s_cid")))
-    return labels.join(first, same).drop("s_uri", "s_cid")
+    return labels.join(first, same).drop("s_uri", "s_cid").orderBy("place", F.col("cts").desc(), F.col("id").desc())
 
 
 def hydrated(records: DataFrame, labels: DataFrame, column: str = "externalLabels", key: str = "uri") -> DataFrame:
@@ -103,28 +110,37 @@ def frame_events(frames: DataFrame) -> DataFrame:
 
 
 def subscription_states(events: DataFrame) -> DataFrame:
-    """Folded state of subscriptions from (subscription_url, kind, message, ts, seq).
+    """Folded state of subscriptions from (subscription_url, kind, message, ts, seq), in order of seq.
 
-    kind: ensure, connected, event, error, fatal. A fatal mark stays. Messages keep 4096 characters.
+    kind: ensure, connected, event, error, fatal. Connections and events clear an error; from the first fatal mark on only another
+    fatal mark changes anything. Messages keep 4096 characters.
     """
-    last = lambda kind, c: F.max_by(F.when(F.col("kind") == kind, F.col(c)), F.when(F.col("kind") == kind, F.col("seq")))
-    return events.groupBy("subscription_url").agg(
-        last("connected", "ts").alias("last_connected_at"),
-        last("event", "ts").alias("last_event_at"),
-        F.max(F.when(F.col("kind") == "connected", F.col("seq"))).alias("connected_seq"),
-        F.max(F.when(F.col("kind") == "error", F.col("seq"))).alias("error_seq"),
-        F.substring(last("error", "message"), 1, 4096).alias("error"),
-        last("fatal", "message").alias("fatal"),
+    fatal = events.groupBy("subscription_url").agg(F.min(F.when(F.col("kind") == "fatal", F.col("seq"))).alias("fatal_at"))
+    live = events.join(fatal, "subscription_url").withColumn("kind", F.when(F.col("fatal_at") <= F.col("seq"), F.when(F.col("kind") == "fatal", "fatal")).otherwise(F.col("kind")))
+    is_a = lambda *kinds: F.col("kind").isin(*kinds)
+    last = lambda value, *kinds: F.max_by(F.when(is_a(*kinds), F.col(value)), F.when(is_a(*kinds), F.col("seq")))
+    states = live.groupBy("subscription_url").agg(
+        last("ts", "connected").alias("last_connected_at"),
+        last("ts", "event").alias("last_event_at"),
+        last("seq", "event").alias("last_seq"),
+        last("seq", "connected", "event").alias("cleared_at"),
+        last("seq", "error").alias("error_at"),
+        F.substring(last("message", "error"), 1, 4096).alias("error"),
+        last("message", "fatal").alias("fatal"),
     )
+    is_open = (F.trim("error") != "") & (F.col("cleared_at").isNull() | (F.col("error_at") > F.col("cleared_at")))
+    return states.withColumn("error", F.when(is_open, F.col("error"))).drop("cleared_at", "error_at")
 
 
 def diagnostics(states: DataFrame, urls: DataFrame) -> DataFrame:
-    """Status of each url: fatal, else error (since the last connection), connected, pending; unknown urls are pending."""
-    open_error = F.col("error_seq").isNotNull() & (F.col("connected_seq").isNull() | (F.col("error_seq") > F.col("connected_seq")))
-    status = F.when(F.col("fatal").isNotNull(), "fatal").when(open_error, "error").when(F.col("last_connected_at").isNotNull(), "connected").otherwise("pending")
+    """Status of each url: fatal, else error, else connected (it was connected or got an event), else pending; unknown urls are pending."""
+    seen = F.col("last_connected_at").isNotNull() | F.col("last_event_at").isNotNull() | (F.coalesce("last_seq", F.lit(0)) > 0)
+    status = F.when(F.col("fatal").isNotNull(), "fatal").when(F.col("error").isNotNull(), "error").when(seen, "connected").otherwise("pending")
     return urls.select("subscription_url").distinct().join(states, "subscription_url", "left").select(
         "subscription_url",
         status.alias("status"),
         F.when(F.col("fatal").isNotNull(), F.regexp_extract("fatal", r"^FATAL_CURSOR ([A-Za-z]+)", 1)).alias("error_code"),
-        F.when(F.col("fatal").isNotNull(), F.col("fatal")).when(open_error, F.col("error")).alias("message"),
+        F.coalesce("fatal", "error").alias("message"),
+        "last_connected_at",
+        "last_event_at",
     )

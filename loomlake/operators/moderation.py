@@ -34,11 +34,12 @@ def accepted_labels(new: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFr
     return good, marked.filter("not __ok").drop("__ok", "__defined")
 
 
-def accepted_definitions(new: DataFrame, known: DataFrame) -> DataFrame:
-    """New definitions with a value not known yet and valid settings; the first of equal values wins."""
+def accepted_definitions(new: DataFrame, known: DataFrame, order: str = "id") -> DataFrame:
+    """New definitions with a value not known yet and valid settings; of equal values the first by `order` wins."""
     fixed = new.withColumn("default_visibility", F.coalesce("default_visibility", F.lit("warn")))
     good = fixed.filter(F.col("severity").isin(*SEVERITIES) & F.col("default_visibility").isin(*VISIBILITIES))
-    return good.dropDuplicates(["val"]).join(known.select("val"), "val", "left_anti")
+    first = good.groupBy("val").agg(F.min(F.struct(order, *[c for c in good.columns if c not in ("val", order)])).alias("__first")).select("val", "__first.*").select(good.columns)
+    return first.join(known.select("val"), "val", "left_anti")
 
 
 def preferences(changes: DataFrame) -> DataFrame:

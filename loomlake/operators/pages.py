@@ -71,16 +71,25 @@ def beyond(key: Column, value: object, uri: str, direction: str, back: bool = Fa
 
 @dataclass
 class Page:
-    """A page: lazy rows with their cursors; whether more pages follow is known once `rows` are read."""
+    """A page: lazy rows with their cursors. `taken` are the rows of one top-k with one row more than asked for, at most 1001."""
 
     rows: DataFrame
-    extra: DataFrame  # one row when the page isn't the last one
+    taken: DataFrame
+    size: int
     total: DataFrame | None
     given: bool  # a cursor was given
     back: bool
 
+    def read(self) -> tuple[list, dict]:
+        """The page's rows and its info, from one run of the sort."""
+        found = self.taken.collect()
+        shown = found[: self.size]
+        return shown[::-1] if self.back else shown, self.about(len(found) > self.size)
+
     def info(self) -> dict:
-        more = not self.extra.isEmpty()
+        return self.about(self.taken.count() > self.size)
+
+    def about(self, more: bool) -> dict:
         return {"hasNextPage": self.given if self.back else more, "hasPreviousPage": more if self.back else self.given}
 
 
@@ -101,7 +110,8 @@ def page(records: DataFrame, first: int | None = None, after: str | None = None,
     taken = ordered(rows, field, flip, numeric).limit(n + 1)
     shown = ordered(ordered(taken, field, flip, numeric).limit(n), field, direction, numeric) if back else taken.limit(n)
     total = records.agg(F.count(F.lit(1)).alias("total")) if with_total else None
-    return Page(shown.withColumn("cursor", cursor(cursor_value(field), F.col("uri"))), taken.offset(n), total, bool(given), back)
+    add = lambda df: df.withColumn("cursor", cursor(cursor_value(field), F.col("uri")))
+    return Page(add(shown), add(taken), n, total, bool(given), back)
 
 
 def page_by_time_only(records: DataFrame, before: Column, limit: int) -> DataFrame:

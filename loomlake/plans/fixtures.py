@@ -92,6 +92,20 @@ from (
     cross join (select 0 as neg_no union all select 1 as neg_no) n
     cross join (select 0 as copy union all select 1 as copy) c
     where (neg_no = 0 or doc_id % 5 = 0) and (copy = 0 or doc_id % 11 = 0)) y""",
+    ),
+    # What subscriptions get: labels, some first with a fault and then without, replays, connections, errors and one fatal frame. One event stays faulty.
+    "label_frame": (
+        ["labels", "documents"],
+        """
+select subscription_url, 'labels' as op, null as name, null as message, cts as ts, seq * 10 + copy as arrived, seq, label_index, (seq - neg_no) % 410 <> 0 as valid, id, src, uri, cid, val, neg, cts, exp
+from (select *, case when neg then 1 else 0 end as neg_no from ({external_label}) external_label) a
+union all
+select subscription_url, 'labels', null, null, cts, seq * 10 + 5, seq, label_index, true, id, src, uri, cid, val, neg, cts, exp
+from (select *, case when neg then 1 else 0 end as neg_no from ({external_label}) external_label) b where copy = 0 and (seq - neg_no) % 410 = 0 and not ((seq - neg_no) % 70 = 0 and (seq - neg_no) % 30 = 10)
+union all
+select 'wss://lab' || (doc_id % 3), case when doc_id % 10 = 0 then 'connected' when doc_id % 20 = 11 then 'info' else 'error' end, case when doc_id % 997 = 701 then 'FutureCursor' when doc_id % 10 > 0 then 'Busy' end,
+    case when doc_id % 10 > 0 then 'm' || doc_id end, {doc_ts}, doc_id * 100 + 7, null, null, null, null, null, null, null, null, null, null, null
+from documents where doc_id % 10 in (0, 1) and doc_id % 4 < 3""",
     ),
     "doc_record": (
         ["documents"],
@@ -162,6 +176,7 @@ def text(name: str, dialect: str) -> str:
     item = "'{\"itemIdentifier\":{\"uri\":\"at://p/' || (l_partkey % 30) || '\",\"cid\":\"c' || (l_suppkey % 3) || '\"},\"itemWeight\":' || cast(l_quantity as int) || '}'"
     return VIEWS[name][1].format(
         record_event=text("record_event", dialect) if "{record_event}" in VIEWS[name][1] else "",
+        external_label=text("external_label", dialect) if "{external_label}" in VIEWS[name][1] else "", doc_ts=d["at"].format("1704067200 + doc_id * 3600 + 90"),
         k=d["k"], ts=d["ts"].format("ts"), iso_ts=d["iso"].format("ts"), ts_order=d["ts"].format("o_orderdate"), iso_order=d["iso"].format("o_orderdate"),
         string="string" if dialect == "spark" else "varchar", md5_text=d["md5"].format("text"),
         label_cts=d["at"].format("1704067200 + doc_id * 3600 + neg_no * 60"), label_exp=d["at"].format("1704067200 + doc_id * 3600 + 1000"),

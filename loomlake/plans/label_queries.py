@@ -54,7 +54,7 @@ def label_ingest_rejected(spark, sf_dir):
     return L.ingest(rows_of(spark, sf_dir))[1].groupBy("subscription_url", "seq").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("label_cursor", sql_views("external_label") + " select subscription_url, max(seq) as last_seq, arg_max(cts, seq) as last_event_at from external_label where cast(floor(seq / 10) as bigint) % 41 <> 0 group by subscription_url")
+@query("label_cursor", sql_views("external_label") + " select subscription_url, max(seq) as last_seq, arg_max(cts, seq) as last_event_at from external_label where seq < coalesce((select min(b.seq) from external_label b where b.subscription_url = external_label.subscription_url and cast(floor(b.seq / 10) as bigint) % 41 = 0), 1e18) group by subscription_url")
 def label_cursor(spark, sf_dir):
     return NTZ(L.cursors(rows_of(spark, sf_dir)), "last_event_at")
 
@@ -134,17 +134,19 @@ def author_labels_hydrated(spark, sf_dir):
     return found.select("uri", F.size("authorLabels").cast("long").alias("n"))
 
 
-# Frames of the label feed: every event is one; two urls get frames that are fatal. Nothing ever happens on the urls of nations (pending).
+# Frames of the label feed: every event is one; two urls get frames that are fatal, after which nothing else counts there. Nothing ever happens on the urls of nations (pending).
 STATUS = """
-with e as (select 'wss://lab' || (user_id % 9) as url, user_id, event_id, event_type from events),
-s as (select url, coalesce(max(event_id) filter (event_type = 'view'), -1) as c, coalesce(max(event_id) filter (event_type = 'error'), -1) as x,
-    max(event_id) filter (event_type = 'error' and user_id = 2) as future, max(event_id) filter (event_type = 'signup' and user_id = 3) as outdated from e group by url),
-f as (select *, coalesce(future, outdated) as fatal_at, case when future is not null then 'FutureCursor' when outdated is not null then 'OutdatedCursor' end as code from s)
-select url as subscription_url, case when code is not null then 'fatal' when x > c then 'error' when c >= 0 then 'connected' else 'pending' end as status, code as error_code,
-    case when code = 'FutureCursor' then 'FATAL_CURSOR FutureCursor: e' || fatal_at || '. Reset subscription cursor and replay labels.'
+with e as (select 'wss://lab' || (user_id % 9) as url, user_id, event_id, event_type, ts from events),
+cut as (select url, min(event_id) as cut, max(event_id) as last, min(case event_type when 'error' then 'FutureCursor' else 'OutdatedCursor' end) as code
+    from e where (event_type = 'error' and user_id = 2) or (event_type = 'signup' and user_id = 3) group by url),
+live as (select e.* from e left join cut using (url) where cut is null or event_id < cut),
+f as (select url, max(event_id) filter (event_type in ('view', 'click')) as good, max(event_id) filter (event_type = 'error') as bad,
+    arg_max(ts, event_id) filter (event_type = 'view') as last_connected_at, arg_max(ts, event_id) filter (event_type = 'click') as last_event_at from live group by url)
+select url as subscription_url, case when code is not null then 'fatal' when bad > coalesce(good, -1) then 'error' when good is not null then 'connected' else 'pending' end as status, code as error_code,
+    case when code = 'FutureCursor' then 'FATAL_CURSOR FutureCursor: e' || last || '. Reset subscription cursor and replay labels.'
         when code is not null then 'FATAL_CURSOR OutdatedCursor: Cursor is outside retained history. Reset subscription cursor and replay labels.'
-        when x > c then 'labeler stream error: Busy: e' || x end as message
-from (select distinct 'wss://lab' || (user_id % 9) as url from events union all select 'wss://idle' || n_nationkey from nation) u left join f using (url)"""
+        when bad > coalesce(good, -1) then 'labeler stream error: Busy: e' || bad end as message, last_connected_at, last_event_at
+from (select distinct 'wss://lab' || (user_id % 9) as url from events union all select 'wss://idle' || n_nationkey from nation) u left join f using (url) left join cut using (url)"""
 
 
 @query("subscription_status_every_event", STATUS)
@@ -158,7 +160,7 @@ def subscription_status(spark, sf_dir):
         "subscription_url", op.alias("op"), name.alias("name"), F.when(kind == "error", F.concat(F.lit("e"), "event_id")).alias("message"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq")
     )
     idle = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("wss://idle"), F.col("n_nationkey").cast("string")).alias("subscription_url"))
-    return L.diagnostics(L.subscription_states(L.frame_events(frames)), events.select("subscription_url").unionByName(idle))
+    return NTZ(L.diagnostics(L.subscription_states(L.frame_events(frames)), events.select("subscription_url").unionByName(idle)), "last_connected_at", "last_event_at")
 
 
 MOD = sql_views("mod_label") + """,

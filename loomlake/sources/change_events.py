@@ -19,8 +19,8 @@ COLUMNS = [c.split()[0] for c in CHANGE_EVENT.split(", ")]
 
 
 def json_lines(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Files of one JSON document a line, as `value`."""
-    return (spark.readStream if stream else spark.read).text(path)
+    """Files of one JSON document a line, as `value`, with the time their file arrived as `arrived`."""
+    return (spark.readStream if stream else spark.read).text(path).select("value", F.col("_metadata.file_modification_time").alias("arrived"))
 
 
 def missing(c: Column) -> Column:
@@ -30,9 +30,10 @@ def missing(c: Column) -> Column:
 def envelopes(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, quarantine) of the envelope feed: record events and identity events.
 
-    A create or update without a body is valid; applying it changes nothing.
+    An event's time is its row's `arrived`, so a batch that is read again gives the same rows; without that column it is the time of reading. A create or update without a body is valid; applying it changes nothing.
     """
-    e = raw.select("value", parsed_once("value", ENVELOPE).alias("e"), F.get_json_object("value", "$.record.record").alias("body"))
+    arrived = F.col("arrived") if "arrived" in raw.columns else F.current_timestamp()
+    e = raw.select("value", arrived.alias("arrived"), parsed_once("value", ENVELOPE).alias("e"), F.get_json_object("value", "$.record.record").alias("body"))
     r, i = F.col("e.record"), F.col("e.identity")
     reason = (
         F.when(F.col("e").isNull() | missing(F.col("e.type")), "missing type")
@@ -59,7 +60,7 @@ def envelopes(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         i["status"].alias("status"),
         r["live"].alias("live"),
         r["rev"].alias("rev"),
-        F.current_timestamp().alias("ts"),
+        F.col("arrived").alias("ts"),
     )
     return good, checked.filter("reason is not null").select("value", "reason")
 

@@ -1,7 +1,12 @@
-"""Change events as a stream: state, activity and the change feed, a batch at a time."""
+"""Raw feeds as a stream, and what follows from the outcomes of change events: change feed, activity, live counts.
+
+`outcomes` are rows of `keyed.record_changes`, or of `applied` for a batch.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,12 +14,9 @@ from pyspark.sql.window import Window
 
 from ..functions.json_values import variant_of
 from ..functions.uris import record_uri
-from ..operators import labels as L
-from ..operators.records import current_actors, current_records, is_purge
+from ..operators.records import is_purge
 from ..operators.typed import fields_of
-from ..schemas import ACTORS, EXTERNAL_LABELS, RECORDS
 from ..sources.lexicons import Catalogue
-from .snapshots import Snapshots
 
 
 def applied(events: DataFrame, snapshot: DataFrame) -> DataFrame:
@@ -68,52 +70,20 @@ def activity_of(outcomes: DataFrame, status: str = "completed", log_skipped: boo
     )
 
 
-def apply_events(events: DataFrame, path: str, checkpoint: str, commit_feed: bool = False, buckets: int = 64, **trigger: object) -> StreamingQuery:
-    """Keep records, actors, activity and the feed under `path` up to date with a stream of change events.
-
-    commit_feed: the commit feed's rules (status, skipped events logged and published, handles kept).
-    A batch reads and writes the buckets of its authors only; `buckets` stays the same for one path. A batch that is run
-    again writes the same version again.
-    """
-    spark = events.sparkSession
-
-    def run(batch: DataFrame, number: int) -> None:
-        state = Snapshots(spark, path, buckets)
-        batch = batch.persist()
-        last, own = state.version(below=number), state.touched(batch, "did")
-        records, actors = state.read("records", RECORDS, last, own), state.read("actors", ACTORS, last, own)
-        outcomes = applied(batch, records).persist()
-        state.append("activity", activity_of(outcomes, "success" if commit_feed else "completed", commit_feed), number)
-        state.append("feed", feed(outcomes, publish_skipped=commit_feed), number)
-        new_records, new_actors = current_records(batch, records), current_actors(batch, actors, only_missing=commit_feed)
-        state.publish({"records": (new_records, "did", own), "actors": (new_actors, "did", own)}, number, last)
-        outcomes.unpersist()
-        batch.unpersist()
-
-    return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
-
-
-def apply_labels(rows: DataFrame, path: str, checkpoint: str, buckets: int = 64, **trigger: object) -> StreamingQuery:
-    """Keep the newest label of each key, and subscriptions' cursors, up to date with a stream of label rows.
+def ingest_feed(raw: DataFrame, read: Callable[[DataFrame], tuple[DataFrame, DataFrame]], path: str, checkpoint: str, **trigger: object) -> StreamingQuery:
+    """Keep `path`/events and `path`/quarantine up to date with a stream of raw feed rows (value, arrived).
 
-    The active ones at a time are those of `labels.active`; replays of an event change nothing. A batch reads and writes
-    the buckets of its subjects only.
+    read: `change_events.envelopes` or `commits`. Both tables come from one reading of a batch, and times from the source, so a batch that is run again writes the same rows in place
+    of its own.
     """
-    spark = rows.sparkSession
 
     def run(batch: DataFrame, number: int) -> None:
-        state = Snapshots(spark, path, buckets)
         batch = batch.persist()
-        last, own, urls = state.version(below=number), state.touched(batch, "uri"), state.touched(batch, "subscription_url")
-        old, cursors = state.read("newest", EXTERNAL_LABELS, last, own), state.read("cursors", "subscription_url string, last_seq long, last_event_at timestamp", last, urls)
-        good, rejected = L.ingest(batch)
-        newest = L.newest(old.unionByName(good.select(old.columns)))
-        moved = cursors.unionByName(L.cursors(batch)).groupBy("subscription_url").agg(F.max("last_seq").alias("last_seq"), F.max_by("last_event_at", "last_seq").alias("last_event_at"))
-        state.append("rejected", rejected, number)
-        state.publish({"newest": (newest, "uri", own), "cursors": (moved, "subscription_url", urls)}, number, last)
+        for name, rows in zip(("events", "quarantine"), read(batch), strict=True):
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
         batch.unpersist()
 
-    return rows.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
+    return raw.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
 
 
 def counters(events: DataFrame) -> DataFrame:
