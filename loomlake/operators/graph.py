@@ -52,6 +52,19 @@ def follows(records: DataFrame) -> DataFrame:
     return records.filter(F.col("collection") == FOLLOW).select("did", text_at("json", "subject").alias("subject")).filter("subject is not null").distinct()
 
 
+def placed_edges(edges: DataFrame, folder: str) -> DataFrame:
+    """issuer, subject, part and `nth`: an edge's place among its issuer's, by subject.
+
+    Edges are cut into ranges by issuer and subject, so an issuer with a third of all edges lies in a third of the ranges. Each range numbers its
+    own edges, and starts where the ranges before it end: of an issuer only one row for each range is brought together.
+    """
+    ranged = stored(edges.repartitionByRange("issuer", "subject").withColumn("part", F.spark_partition_id()), f"{folder}/ranged")
+    earlier = Window.partitionBy("issuer").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("issuer", "part").agg(F.count(F.lit(1)).alias("n")).select("issuer", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("issuer", "part").orderBy("subject"))
+    return ranged.withColumn("nth", own).join(starts, ["issuer", "part"]).withColumn("nth", F.col("nth") + F.col("before")).drop("before")
+
+
 def closure(edges: DataFrame, roots: DataFrame, max_degree: int = MOST_DEGREE, most: int = MOST_ACCOUNTS, via: int = MOST_VIA) -> DataFrame:
     """root, did, degree, via, truncated: accounts within `max_degree` steps of each root.
 
@@ -68,11 +81,9 @@ def closure(edges: DataFrame, roots: DataFrame, max_degree: int = MOST_DEGREE, m
     if not 1 <= max_degree <= MOST_DEGREE:
         raise ValueError(f"degree must be 1 to {MOST_DEGREE}")
     folder = shared_dir(edges.sparkSession)
-    by_issuer = Window.partitionBy("issuer")
     edges = stored(edges.select("issuer", "subject").distinct(), f"{folder}/edges")
     degrees = edges.groupBy("issuer").agg(F.count(F.lit(1)).alias("out"))
-    placed = edges.withColumn("nth", F.row_number().over(by_issuer.orderBy("subject"))).filter(F.col("nth") <= most * EDGES_PER_ACCOUNT)
-    placed = stored(placed, f"{folder}/placed")
+    placed = stored(placed_edges(edges, folder).drop("part").filter(F.col("nth") <= most * EDGES_PER_ACCOUNT), f"{folder}/placed")
     empty = F.expr("cast(array() as array<string>)")
     start = roots.select(F.col("did").alias("root")).distinct()
     seen = start.select("root", F.col("root").alias("did"), F.lit(0).alias("degree"), empty.alias("via"))

@@ -35,10 +35,10 @@ def accepted_labels(new: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def accepted_definitions(new: DataFrame, known: DataFrame, order: str = "id") -> DataFrame:
-    """New definitions with a value not known yet and valid settings; of equal values the first by `order` wins."""
+    """New definitions with a value not known yet and valid settings; of equal values the first by `order` wins (without that column, the smallest row)."""
     fixed = new.withColumn("default_visibility", F.coalesce("default_visibility", F.lit("warn")))
     good = fixed.filter(F.col("severity").isin(*SEVERITIES) & F.col("default_visibility").isin(*VISIBILITIES))
-    first = good.groupBy("val").agg(F.min(F.struct(order, *[c for c in good.columns if c not in ("val", order)])).alias("__first")).select("val", "__first.*").select(good.columns)
+    first = good.groupBy("val").agg(F.min(F.struct(*sorted((c for c in good.columns if c != "val"), key=lambda c: c != order))).alias("__first")).select("val", "__first.*").select(good.columns)
     return first.join(known.select("val"), "val", "left_anti")
 
 
