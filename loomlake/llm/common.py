@@ -109,17 +109,19 @@ def bit_filtered(rows: DataFrame, keys: DataFrame, column: str, bits: int = 25,
     it, more rows pass, and none that is wanted is lost. With `flag` all rows come back, and that column says whether they passed.
     """
     place = F.xxhash64(column).bitwiseAND(F.lit((1 << bits) - 1)) + 1
+    bucket, bits_, name = "__bucket", "__bits", flag or "__may"
+    while {bucket, bits_} & {c.lower() for c in rows.columns}:
+        bucket, bits_ = bucket + "_", bits_ + "_"
     maps = (
         keys.select(place.alias("__bit"))
-        .groupBy(F.bitmap_bucket_number("__bit").alias("__bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("__bit")).alias("__bits"))
+        .groupBy(F.bitmap_bucket_number("__bit").alias(bucket))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("__bit")).alias(bits_))
     )
     bit = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring("__bits", F.expr("cast(0 as int)") + (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bits_), F.expr("cast(0 as int)") + (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     found = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
-    name = flag or "__may"
-    out = rows.withColumn("__bucket", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "__bucket", "left").withColumn(name, found).drop("__bucket", "__bits")
-    return out if flag else out.filter(name).drop(name)
+    out = rows.withColumn(bucket, F.bitmap_bucket_number(place)).join(F.broadcast(maps), bucket, "left").withColumn(name, found).drop(bucket, bits_)
+    return out if flag else out.filter(F.col(name)).drop(name)
 
 
 #: Rows and bytes of an Arrow batch at most: texts may be long, and a batch is held several times on its way.

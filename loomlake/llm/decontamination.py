@@ -5,11 +5,14 @@ of `window` consecutive words of a benchmark text is a pattern; a text of fewer
 pattern. An automaton over the patterns reads each normalised document once; hits are mapped
 back to word positions and, in `spans`, to code points of the original text.
 
-The benchmark is cut into blocks of about `block_words` words, and only one block's patterns are in
-an automaton at a time, so what goes through the driver and to the executors stays bounded (longer texts than `longest`
+Documents are read once and nothing is shuffled. A worker builds the automaton once, for all its tasks. Over `at_once` words of benchmark it would be too
+large for that: then a batch's words are first looked up by 64-bit keys of their windows (eight bytes for each of the benchmark), and
+the automaton holds the patterns whose keys the batch has, which it confirms word by word.
+
+What is sent to the workers is bounded by `block_words` words of benchmark (longer texts than `longest`
 words are cut into overlapping parts of that length, which have the same
-windows). With one block (the usual case) documents are read once and nothing is shuffled. With more,
-the blocks' hits are written one block after the other, and documents that have some are put together by id and digest.
+windows). Only beyond that the benchmark is cut into blocks of so many words: the blocks' hits are then written one block after the other, and documents that
+have some are put together by id and digest.
 
 Defined cases: a very long text is scanned whole; null and wordless texts have no words, hits or items; wordless items never occur;
 repeated items each count with their own id, rows that repeat an item id and text once; items
@@ -19,8 +22,10 @@ other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,14 +55,10 @@ def windows_of(words: list[bytes], window: int) -> set[str]:
     return {spelled(words[i : i + window]) for i in range(max(1, len(words) - window + 1))}
 
 
-def automaton_of(items: list[tuple[str, str]], window: int):
-    """Automaton whose values are (words, indexes of items); items: (id, text)."""
+def automaton_of(owners: dict[str, set[int]]):
+    """Automaton over spelled windows, whose values are (words, indexes of items)."""
     import ahocorasick
 
-    owners: dict[str, set[int]] = {}
-    for k, (_, text) in enumerate(items):
-        for w in windows_of(words_of(text), window):
-            owners.setdefault(w, set()).add(k)
     found = ahocorasick.Automaton()
     for w, ks in owners.items():
         found.add_word(w, (w.count(" ") - 1, tuple(ks)))
@@ -66,6 +67,79 @@ def automaton_of(items: list[tuple[str, str]], window: int):
     return found
 
 
+#: Odd multiplier that parts the places of a window.
+PLACE = 0x9E3779B97F4A7C15
+
+
+def keys_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit key for each run of n words."""
+    size = len(hashes) - n + 1
+    out = np.zeros(max(size, 0), np.uint64)
+    if size > 0:
+        for j in range(n):
+            out += hashes[j : j + size] * np.uint64(pow(PLACE, j + 1, 1 << 64))
+    return out
+
+
+class Patterns:
+    """Some items' windows as a worker keeps them; built when first asked for."""
+
+    def __init__(self, items: list[tuple[str, str]], window: int, at_once: int):
+        self.items, self.window, self.at_once = items, window, at_once
+        self.built = False
+
+    def build(self) -> None:
+        words = [words_of(text) for _, text in self.items]
+        self.small = sum(map(len, words)) <= self.at_once
+        if self.small:
+            owners: dict[str, set[int]] = {}
+            for k, w in enumerate(words):
+                for spelling in windows_of(w, self.window):
+                    owners.setdefault(spelling, set()).add(k)
+            self.automaton = automaton_of(owners)
+        else:
+            self.words = words
+            self.hashes = {w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "big") | 1 for w in {w for ws in words for w in ws}}
+            held: dict[int, list] = {}
+            for k, w in enumerate(words):
+                if w:
+                    n = min(self.window, len(w))
+                    keys = keys_of(self.hashed(w), n)
+                    held.setdefault(n, []).append((keys, np.full(len(keys), k), np.arange(len(keys))))
+            self.keys = {}
+            for n, parts in held.items():
+                keys, item, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.argsort(keys)
+                self.keys[n] = keys[order], item[order].astype(np.int32), start[order].astype(np.int32)
+        self.built = True
+
+    def hashed(self, words: list[bytes]) -> np.ndarray:
+        """64 bits of each word; 0 for words that no item has."""
+        get = self.hashes.get
+        return np.array([get(w, 0) for w in words], np.uint64)
+
+    def automata(self, texts: list[list[bytes]]) -> list:
+        """For each of a batch's texts the automaton to read it with, None if no window can occur."""
+        if not self.built:
+            self.build()
+        if self.small:
+            return [self.automaton if len(self.automaton) and words else None for words in texts]
+        owners: dict[str, set[int]] = {}
+        may = [False] * len(texts)
+        for t, words in enumerate(texts):
+            hashes = self.hashed(words)
+            for n, (keys, item, start) in self.keys.items():
+                mine = np.unique(keys_of(hashes, n))
+                at = np.searchsorted(keys, mine)
+                hit = mine[keys[np.minimum(at, len(keys) - 1)] == mine]
+                for low, high in zip(np.searchsorted(keys, hit), np.searchsorted(keys, hit, "right"), strict=True):
+                    may[t] = True
+                    for k, i in zip(item[low:high].tolist(), start[low:high].tolist(), strict=True):
+                        owners.setdefault(spelled(self.words[k][i : i + n]), set()).add(k)
+        automaton = automaton_of(owners)
+        return [automaton if m else None for m in may]
+
+
 def scan(automaton, words: list[bytes]):
     """Word ranges [start, end) of hits, merged, and the indexes of the items that occur."""
     found = list(automaton.iter(spelled(words)))
@@ -86,19 +160,21 @@ def scan(automaton, words: list[bytes]):
     return ranges, items
 
 
-def scanned(docs: DataFrame, sent, window: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_words, hits (word ranges), spans (code points), items (ids) against some items. sent: their broadcast."""
+def scanned(docs: DataFrame, sent, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n_words, hits (word ranges), spans (code points), items (ids) against some items. sent: the broadcast of their Patterns."""
 
     def make():
         import pyarrow as pa
 
-        found, ids, word = automaton_of(sent.value, window), [i for i, _ in sent.value], re.compile(WORD)
+        patterns, word = sent.value, re.compile(WORD)
+        ids = [i for i, _ in patterns.items]
 
         def step(batch):
             n_words, hits, spans, names = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                ranges, ks = scan(found, words) if len(found) and words else ([], ())
+            texts = batch.column("text").to_pylist()
+            every = [words_of(text) for text in texts]
+            for text, words, found in zip(texts, every, patterns.automata(every), strict=True):
+                ranges, ks = scan(found, words) if found else ([], ())
                 n_words.append(len(words))
                 hits.append([{"start": a, "end": b} for a, b in ranges])
                 names.append(sorted({ids[k] for k in ks}))
@@ -139,14 +215,14 @@ def blocks_of(benchmark: DataFrame, window: int, block_words: int, longest: int,
     return parts.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))), n
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_words: int = 60_000, longest: int = 1_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", at_once: int = 60_000, block_words: int = 2_000_000, longest: int = 1_000) -> DataFrame:
     """doc_id, n_words, hits, spans, items for every document."""
     spark = docs.sparkSession
     parts, n = blocks_of(benchmark, window, block_words, longest, item_col, item_text)
     folder = shared_dir(spark)
     for k in range(n):
-        sent = spark.sparkContext.broadcast([tuple(r) for r in parts.filter(F.col("block") == k).select("item", "text").collect()])
-        found = scanned(docs, sent, window, id_col, text_col)
+        sent = spark.sparkContext.broadcast(Patterns([tuple(r) for r in parts.filter(F.col("block") == k).select("item", "text").collect()], window, at_once))
+        found = scanned(docs, sent, id_col, text_col)
         if n == 1:
             return found.drop("digest")
         # All rows of the first block, and of the others those with hits.
@@ -154,9 +230,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
         (found if k == 0 else found.filter(F.size("hits") > 0)).write.parquet(f"{folder}/block={k}")
         sent.destroy()
     every = spark.read.schema(found.schema).parquet(*[f"{folder}/block={k}" for k in range(n)])
+    # Rows that repeat an id and a text have the same hits: one of them is kept for each block and counted.
+    every = every.groupBy("doc_id", "digest", "first", "n_words", "hits", "spans", "items").agg(F.count(F.lit(1)).alias("n"))
     # A document's hits from each block are put together; n_rows: the rows that repeat it.
     merged = every.groupBy("doc_id", "digest").agg(
-        F.count_if("first").cast("int").alias("n_rows"),
+        F.sum(F.when(F.col("first"), F.col("n")).otherwise(0)).cast("int").alias("n_rows"),
         F.max("n_words").alias("n_words"),
         F.flatten(F.collect_list("hits")).alias("hits"),
         F.flatten(F.collect_list("spans")).alias("spans"),

@@ -11,7 +11,7 @@ The suffix sums go by ranges of `span` lengths: sums of whole ranges first (a wi
 rows as the longest document has ranges), then sums inside each range, so no task sees the whole
 histogram.
 
-Defined cases: null text counts as empty; empty texts have length 0; a very long text is encoded whole; repeated rows count each, and
+Defined cases: null text counts as empty; empty texts have length 0; a very long text is encoded whole, runs of white space of more than RUN characters apart from the rest, as the pieces they are; repeated rows count each, and
 documents of equal length share a row; an empty table gives no rows; other columns are ignored, whatever their names. Special tokens'
 strings in a text are ordinary text.
 """
@@ -30,6 +30,34 @@ portable(__name__)
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: White space as the pieces mean it; fixed values of Unicode. The piece pattern goes down a level for each character of a run, so long runs must not reach it.
+BLANKS, RUN = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000", 1_000
+
+
+def counter(ranks_file: str, pieces: str = PIECES):
+    """The function that gives a text's number of tokens."""
+    import base64
+    import re
+
+    import tiktoken
+
+    with open(ranks_file, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    encoding = tiktoken.Encoding("lengths", pat_str=pieces, mergeable_ranks=ranks, special_tokens={})
+    long_run = re.compile(f"[{BLANKS}]{{{RUN},}}")
+
+    def count(text: str) -> int:
+        n, at = 0, 0
+        for run in long_run.finditer(text):
+            # A run is one piece, but for its last character if something follows: that goes with what follows.
+            stop = run.end() - (run.end() < len(text))
+            n += len(encoding.encode_ordinary(text[at : run.start()])) + len(encoding._encode_single_piece(text[run.start() : stop]))
+            at = stop
+        return n + len(encoding.encode_ordinary(text[at:]))
+
+    return count
+
+
 def lengths(docs: DataFrame, ranks_file: str, text_col: str = "text", pieces: str = PIECES) -> DataFrame:
     """The encoded length of each document: one column, n_tokens.
 
@@ -37,17 +65,12 @@ def lengths(docs: DataFrame, ranks_file: str, text_col: str = "text", pieces: st
     """
 
     def make():
-        import base64
-
         import pyarrow as pa
-        import tiktoken
 
-        with open(ranks_file, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        encode = tiktoken.Encoding("lengths", pat_str=pieces, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        count = counter(ranks_file, pieces)
 
         def step(batch):
-            yield pa.RecordBatch.from_arrays([pa.array([len(encode(x or "")) for x in batch.column(0).to_pylist()], pa.int64())], names=["n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([count(x or "") for x in batch.column(0).to_pylist()], pa.int64())], names=["n_tokens"])
 
         return step
 

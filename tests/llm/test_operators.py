@@ -70,13 +70,14 @@ def test_secrets(spark):
     assert secrets.digest(secrets.find_secrets(empty(spark))).count() == 0
 
 
-@pytest.mark.parametrize("block_words", [60_000, 400])
-def test_decontamination(spark, block_words):
+@pytest.mark.parametrize("at_once,block_words", [(60_000, 2_000_000), (100, 2_000_000), (100, 400)])
+def test_decontamination(spark, at_once, block_words):
+    """One automaton for all patterns, one for those whose keys a batch has, and the same block by block."""
     rows, docs = awkward(spark)
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(900, "One, TWO"), (901, None), (902, "..."), (None, "the"), (900, "One, TWO"), (903, "no id here")]
     items.append((904, " ".join(f"w{i % 997}x{i % 13}" for i in range(500, 3000))))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.digest(decontamination.decontaminate(docs, bench, block_words=block_words, longest=50)).collect()
+    got = decontamination.digest(decontamination.decontaminate(docs, bench, at_once=at_once, block_words=block_words, longest=50)).collect()
     word = re.compile(decontamination.WORD)
     windows = defaultdict(set)
     for i, t in items:
@@ -98,6 +99,42 @@ def test_decontamination(spark, block_words):
     assert sum(r[5] for r in want) > 3
 
 
+def test_decontamination_of_a_million_words(spark):
+    """Documents are read once: nothing is written but the list of items."""
+    import random
+
+    rnd = random.Random(9)
+    word = lambda: f"w{rnd.randrange(5000)}"
+    items = [(k, " ".join(word() for _ in range(rnd.choice([3, 9, 10, 300])))) for k in range(11_000)]
+    assert sum(len(t.split()) for _, t in items) > 800_000
+    docs = []
+    for k in range(60):
+        words = [word() for _ in range(200)]
+        if k % 3 == 0:
+            taken = items[rnd.randrange(len(items))][1].split()
+            at = rnd.randrange(max(1, len(taken) - 30))
+            words[50:50] = taken[at : at + 30]
+        docs.append((k, " ".join(words)))
+    windows = defaultdict(set)
+    for i, t in items:
+        w = t.split()
+        for k in range(max(1, len(w) - 9)):
+            windows[tuple(w[k : k + 10])].add(str(i))
+    sizes = {len(w) for w in windows}
+    want = []
+    for i, t in docs:
+        w, hit, found = t.split(), set(), set()
+        for n in sizes:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit.update(range(k, k + n))
+                    found |= windows[tuple(w[k : k + n])]
+        want.append((i, len(hit), tuple(sorted(found))))
+    got = decontamination.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], sum(h["end"] - h["start"] for h in r["hits"]), tuple(r["items"])) for r in got) == want
+    assert sum(x[1] > 0 for x in want) >= 15
+
+
 def test_decontamination_spans_and_empty(spark):
     docs = spark.createDataFrame([(1, "É before; ONE -- two é")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "one two")], "item_id long, text string")
@@ -152,6 +189,32 @@ def test_token_counts(spark):
     assert token_counts.suffix_table(token_counts.lengths(empty(spark), path)).count() == 0
 
 
+def test_long_white_space(spark):
+    """Runs that the piece pattern can't take in one go, alone, on both ends of words and between them, of blanks and mixed line ends."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    runs = [" " * 2_000_000, " \n" * 1_000_000, "\r\n\t" * 400_000 + "\u3000" * 1500, "\x1c" * 5000]
+    texts = [t for r in runs for t in (r, "word" + r, r + "word", "a" + r + "'s 5" + r + "-")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r[0] for r in token_counts.lengths(docs, path).collect())
+    count = token_counts.counter(path)
+    assert got == sorted(map(count, texts))
+    # Short runs take the same way with a small RUN as the whole text does without any.
+    short = [t.replace(r, r[:k]) for r in runs for k in (2, 3, 40, 41) for t in (r, "word" + r, r + "word", "a" + r + "'s 5" + r + "-")]
+    apart = short_counter(path, 2)
+    for text in short:
+        assert apart(text) == encoded_length(path, text) == count(text)
+    # White space only, a byte a token unless the vocabulary merges it: what whole pieces give.
+    assert count(" " * 2_000_000) == 2_000_000
+
+
+def short_counter(path, run):
+    old, token_counts.RUN = token_counts.RUN, run
+    try:
+        return token_counts.counter(path)
+    finally:
+        token_counts.RUN = old
+
+
 @pytest.mark.parametrize("entries,common", [(5_000, 4), (600, 1_000)])
 def test_katz(spark, entries, common):
     rows, docs = awkward(spark)

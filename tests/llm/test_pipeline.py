@@ -49,6 +49,16 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() == out.count()
 
 
+def test_many_rows_to_drop(spark, monkeypatch):
+    """Past the limit for a broadcast, rows go through the bit filter and come out the same."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "'x' as __bucket", "1 as mark", "doc_id as may")
+    want = {name: [tuple(r) for r in stage(spark, docs, SF).orderBy("doc_id").collect()] for name, stage in corpus_pipeline.STAGES[1:4]}
+    monkeypatch.setattr(corpus_pipeline, "FEW", 0)
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        assert [tuple(r) for r in stage(spark, docs, SF).orderBy("doc_id").collect()] == want[name], name
+        assert len(want[name]) < docs.count()
+
+
 def test_empty_and_odd_rows(spark):
     full = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(1, None, None, None, None), (None, "", "en", "x", 0), (2, "some words", "en", "x", 3), (2, "some words", "en", "x", 3)], full.schema)
