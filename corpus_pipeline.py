@@ -8,8 +8,8 @@ pack           what is left is encoded and cut into sequences
 
 The first four return the columns of their input, whatever their names: a stage sees id and text, and its own
 columns get names that the input doesn't have. Rows to drop are written to the shared folder
-first and, while they are few, broadcast, so texts need no shuffle; beyond that both sides are
-joined by id and a digest of the text, so a row is judged by its own text even where ids repeat or are missing.
+first and, while they are few, broadcast; beyond that a bit filter of bounded size lets pass the texts of most
+rows that stay, and only the others are joined. Rows are matched by id and a digest of the text, so a row is judged by its own text even where ids repeat or are missing.
 Rows without an id come after all others; of rows that repeat an id and a text, or a text without
 an id, one stays. Null texts count as empty; an empty table passes through all stages.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlake.llm import decontamination, exact_dedup, near_dedup, packing, toxicity
-from loomlake.llm.common import shared_dir, stored, text_of
+from loomlake.llm.common import bit_filtered, shared_dir, stored, text_of
 from loomlake.llm.queries import table, tokenizer_file
 
 #: Rows to drop are broadcast up to this number (about 100 bytes each).
@@ -39,12 +39,18 @@ def chosen(docs: DataFrame, named: DataFrame, on: dict[str, str], how: str) -> D
     """`docs` less the rows that `named` names (left_anti), or those (left_semi); nulls are equal. on: columns of docs to those of named."""
     names = {c: free(docs, f"named_{k}") for k, c in enumerate(on.values())}
     other = named.select(*[F.col(c).alias(name) for c, name in names.items()])
-    if named.count() <= FEW:
-        other = F.broadcast(other)
     condition = F.lit(True)
     for mine, theirs in on.items():
         condition &= F.col(f"`{mine}`").eqNullSafe(F.col(names[theirs]))
-    return docs.join(other, condition, how)
+    if named.count() <= FEW:
+        return docs.join(F.broadcast(other), condition, how)
+    mark, may = free(docs, "mark"), free(docs, "may")
+    marked = docs.withColumn(mark, F.xxhash64(*[F.col(f"`{c}`") for c in on]))
+    marked = bit_filtered(marked, other.select(F.xxhash64(*[names[c] for c in on.values()]).alias(mark)), mark, flag=may)
+    found = marked.filter(F.col(may)).join(other, condition, how)
+    if how == "left_anti":
+        found = found.unionByName(marked.filter(~F.col(may)))
+    return found.drop(mark, may)
 
 
 def keyed(docs: DataFrame, key: str) -> DataFrame:
