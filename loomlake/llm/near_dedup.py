@@ -14,9 +14,8 @@ linked when 100 * intersection >= 75 * union. Steps:
    node's pivots the `tries` that share most of its keys are. Odd sketches drop pairs whose estimate lies more than 4.5 standard errors below the threshold; the others
    (in the first round the best of each node) are confirmed on the full sets, and linked groups are merged. Rounds go on until
    one finds no link (at most `rounds`), so a large group of near copies is one group before step 5.
-5. What is left: pairs that share a key but lie in different groups. Their sketches are compared block by block of a key's members; the pairs that
-   may reach the threshold are put together once, whatever keys they share, and dealt over tiles, in which their full sets are compared. Then
-   groups are merged. After that no candidate pair is untested except inside one group, where it could change nothing.
+5. What is left: pairs that share a key but lie in different groups. They are compared block by block of a key's members, by sketches; members with a
+   likely partner are compared by their full sets, and groups are merged. After that no candidate pair is untested except inside one group, where it could change nothing.
 
 Groups are merged by pointer jumping, after the first round along minimum labels of neighbours. Nothing is collected on the driver but
 counts. Tables between steps lie in the shared folder.
@@ -230,52 +229,26 @@ class Links:
         both = first.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_set")), "b")
         return both.filter(linked_sets(self.threshold)).select("a", "b")
 
-    def tiled(self, pairs: DataFrame, folder: str, side: int = 256) -> DataFrame:
-        """The same for pairs that may be dense: they are dealt over tiles of about `side` nodes each way, and a node's set goes once to each tile it has pairs in."""
-        n = pairs.select(F.explode(F.array("a", "b")).alias("node")).agg(F.approx_count_distinct("node")).first()[0]
-        if not n:
-            return pairs.limit(0)
-        tiles = -(-n // side)
-        of = lambda c: F.pmod(F.xxhash64(c, F.lit(7)), F.lit(tiles))
-        dealt = stored(pairs.select("a", "b", (of("a") * tiles + of("b")).alias("tile")), folder, "tiles")
-        sets = dealt.select(F.col("tile").alias("in_tile"), F.explode(F.array("a", "b")).alias("node")).distinct().join(self.sets, "node").select("in_tile", "node", "shingles")
-        return dealt.groupBy("tile").cogroup(sets.groupBy("in_tile")).applyInArrow(reaching(self.threshold), "a long, b long")
 
-
-def apart_pairs(placed: DataFrame, links: Links, folder: str, block: int = 512) -> DataFrame:
-    """a, b: pairs of different groups under one key whose sketches may reach the threshold, each once. placed: node, key, comp.
+def apart_links(placed: DataFrame, links: Links, folder: str, block: int = 512) -> DataFrame:
+    """a, b: linked pairs of different groups under one key. placed: node, key, comp.
 
     Members outside a key's largest group meet all others. A key's members are dealt over blocks of about `block`, and each pair of
-    blocks is a key of its own for the join, so no task has a large key whole; only sizes and sketches take part.
+    blocks is a key of its own for the joins, so no task has a large key whole. Sketches alone say first which members have
+    a likely partner in a pair of blocks, a row for each such member; only these get their full sets, and only links come out of the last join.
     """
     largest = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"))
     keys = largest.filter("comps > 1").select("key", "main", "n", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     open_ = stored(spread_join(placed, stored(keys, folder, "open-keys"), "key", "n", ["node"]), folder, "open")
     own, every = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    one = open_.filter("comp <> main").select("key", F.col("node").alias("a"), F.col("comp").alias("a_comp"), own.alias("a_block"), every.alias("b_block")).join(links.side("a"), "a")
-    other = open_.select("key", F.col("node").alias("b"), F.col("comp").alias("b_comp"), (F.col("comp") == F.col("main")).alias("in_main"), own.alias("b_block"), every.alias("a_block")).join(links.side("b"), "b")
+    one = open_.filter("comp <> main").select(F.col("key").alias("a_key"), F.col("node").alias("a"), F.col("comp").alias("a_comp"), own.alias("a_own"), every.alias("a_other")).join(links.side("a"), "a")
+    other = open_.select(F.col("key").alias("b_key"), F.col("node").alias("b"), F.col("comp").alias("b_comp"), (F.col("comp") == F.col("main")).alias("in_main"), own.alias("b_own"), every.alias("b_other")).join(links.side("b"), "b")
     near = (F.col("in_main") | (F.col("a") < F.col("b"))) & sized("a_n", "b_n", links.threshold) & (bits_apart("a_s", "b_s") <= links.most)
-    same = (one["key"] == other["key"]) & (one["a_block"] == other["a_block"]) & (one["b_block"] == other["b_block"])
-    return one.join(other, same & (F.col("a_comp") != F.col("b_comp")) & near).select("a", "b").distinct()
-
-
-def reaching(threshold: int):
-    """Pairs of a tile whose full sets reach the threshold."""
-
-    def run(key, pairs, sets):
-        import numpy as np
-        import pyarrow as pa
-
-        held = {n: x.values.to_numpy(zero_copy_only=False).view(np.uint64) for n, x in zip(sets.column("node").to_pylist(), sets.column("shingles").combine_chunks(), strict=True)}
-        found = []
-        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
-            x, y = held[a], held[b]
-            both = len(x) + len(y)
-            if (100 + threshold) * (both - len(np.union1d(x, y))) >= threshold * both:
-                found.append((a, b))
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-    return run
+    same = (F.col("a_key") == F.col("b_key")) & (F.col("a_own") == F.col("b_other")) & (F.col("a_other") == F.col("b_own"))
+    likely = same & (F.col("a_comp") != F.col("b_comp")) & near
+    ones, others = stored(one.join(other, likely, "left_semi"), folder, "open-a"), stored(other.join(one, likely, "left_semi"), folder, "open-b")
+    sets = lambda c: links.sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
+    return ones.join(sets("a"), "a").join(others.join(sets("b"), "b"), likely & linked_sets(links.threshold)).select("a", "b").distinct()
 
 
 def merged(groups: DataFrame, links: DataFrame, folder: str, name: str) -> DataFrame:
@@ -360,7 +333,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # In the first round a node points to one that comes before it in the round's order, so links are trees.
         groups = (merged if k else rooted)(groups, found, folder, f"round-{k}")
 
-    found = stored(links.tiled(stored(apart_pairs(members.join(groups, "node"), links, folder), folder, "apart"), folder), folder, "rest")
+    found = stored(apart_links(members.join(groups, "node"), links, folder), folder, "rest")
     if not found.isEmpty():
         groups = merged(groups, found, folder, "rest-groups")
 

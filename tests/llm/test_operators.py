@@ -434,7 +434,7 @@ def test_nodes_with_one_half_of_a_digest(spark):
 
 
 def test_members_near_the_threshold_without_a_link(spark, tmp_path):
-    """A key whose members all lie just below the threshold but for a few pairs: blocks and tiles find those pairs and no other."""
+    """A key whose members all lie just below the threshold but for a few pairs: blocks find those pairs and no other."""
     import random
 
     rnd = random.Random(2)
@@ -450,11 +450,9 @@ def test_members_near_the_threshold_without_a_link(spark, tmp_path):
         spark.createDataFrame(nodes, "node long, n_shingles long, sketch array<long>"), spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<long>"), 75, near_dedup.most_bits(384, 0.75, 4.5)
     )
     placed = spark.createDataFrame([(k, key, k) for k in range(len(sets)) for key in (1, 2)], "node long, key long, comp long")
-    pairs = common.stored(near_dedup.apart_pairs(placed, links, str(tmp_path), block=64), str(tmp_path), "pairs")
-    got = {tuple(sorted((r["a"], r["b"]))) for r in links.tiled(pairs, str(tmp_path), side=32).collect()}
+    got = {tuple(sorted((r["a"], r["b"]))) for r in near_dedup.apart_links(placed, links, str(tmp_path), block=64).collect()}
     want = {(k, j) for j in range(len(sets)) for k in range(j) if 175 * len(set(sets[k]) & set(sets[j])) >= 75 * (len(sets[k]) + len(sets[j]))}
     assert got == want and len(want) == 5
-    # The pairs that tiles have to decide are many more than those that are linked, and each of them is there once.
-    assert pairs.count() > 10_000 and pairs.distinct().count() == pairs.count()
-    tiles = spark.read.parquet(f"{tmp_path}/tiles").groupBy("tile").count().collect()
-    assert max(t["count"] for t in tiles) < pairs.count() / 20
+    # Members have a row for each pair of blocks at most, and the key lies in many.
+    dealt = spark.read.parquet(f"{tmp_path}/open-a").groupBy("a_key", "a_own", "a_other").count().collect()
+    assert len(dealt) > 60 and max(r["count"] for r in dealt) < len(sets) / 3
