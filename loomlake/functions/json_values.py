@@ -37,6 +37,11 @@ def text_at(json: Column | str, *names: str) -> Column:
     return F.get_json_object(_col(json), path_of(*names))
 
 
+def text_in(payload: Column | str, *names: str) -> Column:
+    """The same from a parsed document (VARIANT); numbers as VARIANT writes them."""
+    return F.try_variant_get(_col(payload), path_of(*names), "string")
+
+
 def variant_of(json: Column | str) -> Column:
     return F.try_parse_json(_col(json))
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.json_values import path_of, text_at, variant_of
+from ..functions.json_values import path_of, text_at, text_in, variant_of
 from ..functions.uris import valid_nsid
 from ..sources.lexicons import merged_fields as merged_union_fields  # noqa: F401
 from . import labels as L
@@ -67,10 +67,10 @@ def field_value(kind: str, text: Column, instants: bool = False) -> Column:
     return F.try_to_timestamp(text) if kind == "datetime" and instants else text
 
 
-def condition(field: str, kind: str, op: str, wanted: object, json: str = "json", instants: bool = False, parsed: Column | None = None) -> Column:
+def condition(field: str, kind: str, op: str, wanted: object, json: str = "json", instants: bool = False, parsed: Column | None = None, payload: str | None = None) -> Column:
     """`field op wanted` for a top-level field, a path of up to three levels (a.b.c), or a column of its own.
 
-    parsed: the fields' texts as a struct, where the JSON has been parsed already.
+    parsed: the fields' texts as a struct, where the JSON has been parsed already; payload: a VARIANT column that holds the document.
     """
     names = field.split(".")
     if len(names) > MOST_DEPTH:
@@ -80,7 +80,10 @@ def condition(field: str, kind: str, op: str, wanted: object, json: str = "json"
         raise ValueError(f"{field}: no operator {op} for {kind}")
     if field in DIRECT:
         return compare(F.col(field), op, wanted)
-    value = text_at(json, *names) if parsed is None else reduce(lambda c, n: c[n], names, parsed)
+    if payload is not None:
+        value = text_in(payload, *names)
+    else:
+        value = text_at(json, *names) if parsed is None else reduce(lambda c, n: c[n], names, parsed)
     if op == "isNull":
         return compare(value, op, wanted)
     if kind == "datetime" and instants:
@@ -88,9 +91,9 @@ def condition(field: str, kind: str, op: str, wanted: object, json: str = "json"
     return compare(field_value(kind, value, instants), op, wanted)
 
 
-def any_element(field: str, tests: dict[str, dict[str, object]], json: str = "json") -> Column:
+def any_element(field: str, tests: dict[str, dict[str, object]], json: str = "json", payload: str | None = None) -> Column:
     """Whether one element of an array passes all tests; the empty path '' is the element itself."""
-    items = F.try_variant_get(variant_of(json), path_of(*field.split(".")), "array<variant>")
+    items = F.try_variant_get(variant_of(json) if payload is None else F.col(payload), path_of(*field.split(".")), "array<variant>")
 
     def passes(x: Column) -> Column:
         parts = []
@@ -137,10 +140,11 @@ def texts_of(paths: list[str]) -> T.StructType | None:
     return struct(tree)
 
 
-def column_of(where: dict, fields: dict[str, str], instants: bool = False) -> Column:
+def column_of(where: dict, fields: dict[str, str], instants: bool = False, payload: str | None = None) -> Column:
     """All conditions of `where` on the record itself, joined by and. At most 20 count (authors and labels don't).
 
     With two fields or more the JSON is parsed once for all of them: the conditions are a test on the one element of an array.
+    With `payload`, a VARIANT column, nothing is parsed.
     """
     parts, texts, n = [], [], 0
     for field, ops in where.items():
@@ -150,12 +154,12 @@ def column_of(where: dict, fields: dict[str, str], instants: bool = False) -> Co
             parts.append(author_condition(ops))
             continue
         if "any" in ops:
-            parts.append(any_element(field, ops["any"]))
+            parts.append(any_element(field, ops["any"], payload=payload))
             n += sum(len(o) for o in ops["any"].values())
             continue
         for op, wanted in ops.items():
             test = (field, fields.get(field, "string" if field in DIRECT or "." in field else "presence"), op, wanted)
-            parts.append(condition(*test, instants=instants))  # also checks the test
+            parts.append(condition(*test, instants=instants, payload=payload))  # also checks the test
             if field not in DIRECT:
                 parts.pop()
                 texts.append(test)
@@ -163,9 +167,9 @@ def column_of(where: dict, fields: dict[str, str], instants: bool = False) -> Co
     if n > MOST_CONDITIONS:
         raise ValueError(f"more than {MOST_CONDITIONS} conditions")
     paths = list(dict.fromkeys(t[0] for t in texts))
-    schema = texts_of(paths) if len(paths) > 1 else None
+    schema = texts_of(paths) if len(paths) > 1 and payload is None else None
     if schema is None:
-        parts += [condition(*t, instants=instants) for t in texts]
+        parts += [condition(*t, instants=instants, payload=payload) for t in texts]
     else:
         tests = lambda s: reduce(Column.__and__, [condition(*t, instants=instants, parsed=s) for t in texts])
         parts.append(F.exists(F.array(F.from_json("json", schema)), tests))
@@ -188,10 +192,10 @@ def by_labels(records: DataFrame, labels: DataFrame, where: dict, as_of: Column)
     return records
 
 
-def where(records: DataFrame, tests: dict, fields: dict[str, str], labels: DataFrame | None = None, as_of: Column | None = None, collection: str | None = None, instants: bool = False) -> DataFrame:
-    """`records` that pass all of `tests`."""
+def where(records: DataFrame, tests: dict, fields: dict[str, str], labels: DataFrame | None = None, as_of: Column | None = None, collection: str | None = None, instants: bool = False, payload: str | None = None) -> DataFrame:
+    """`records` that pass all of `tests`. payload: a VARIANT column that holds the document, as `record_store` keeps it."""
     own = {f: o for f, o in tests.items() if (collection, f) not in EXTENSIONS}
-    found = records.filter(column_of(own, fields, instants))
+    found = records.filter(column_of(own, fields, instants, payload))
     for field, ops in tests.items():
         if (collection, field) in EXTENSIONS:
             for op, wanted in ops.items():

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cursors import cursor, decode, timeline_cursor
-from ..functions.json_values import text_at
+from ..functions.json_values import text_at, text_in
 from ..functions.times import iso_millis
 
 SIZE, MOST, TIMELINE_SIZE = 20, 1000, 50
@@ -39,21 +39,23 @@ def by_author(records: DataFrame, did: str) -> DataFrame:
 NUMBERS = {False: "string", True: "double", "number": "double", "integer": "decimal(38,15)"}
 
 
-def sort_value(field: str, numeric: bool | str = False) -> Column:
-    """A column, or a JSON field: as text, or as a number with `numeric` (True or "number": double, "integer": exact)."""
+def sort_value(field: str, numeric: bool | str = False, payload: str | None = None) -> Column:
+    """A column, or a JSON field (of `payload`, if a VARIANT column holds the document): as text, or as a number with `numeric` (True or "number": double, "integer": exact)."""
     if field in DIRECT:
         return F.col(field)
-    return text_at("json", *field.split(".")).try_cast(NUMBERS[numeric])
+    return cursor_value(field, payload).try_cast(NUMBERS[numeric])
 
 
-def cursor_value(field: str) -> Column:
+def cursor_value(field: str, payload: str | None = None) -> Column:
     """What a cursor holds of the sort field: its text."""
-    return F.col(field) if field in DIRECT else text_at("json", *field.split("."))
+    if field in DIRECT:
+        return F.col(field)
+    return text_at("json", *field.split(".")) if payload is None else text_in(payload, *field.split("."))
 
 
-def ordered(records: DataFrame, field: str = "indexed_at", direction: str = "DESC", numeric: bool | str = False) -> DataFrame:
+def ordered(records: DataFrame, field: str = "indexed_at", direction: str = "DESC", numeric: bool | str = False, payload: str | None = None) -> DataFrame:
     """By a field, then URI, both in one direction; nulls are smallest."""
-    key = sort_value(field, numeric)
+    key = sort_value(field, numeric, payload)
     if direction not in ("ASC", "DESC"):
         raise ValueError("direction must be ASC or DESC")
     if direction == "ASC":
@@ -93,11 +95,11 @@ class Page:
         return {"hasNextPage": self.given if self.back else more, "hasPreviousPage": more if self.back else self.given}
 
 
-def page(records: DataFrame, first: int | None = None, after: str | None = None, last: int | None = None, before: str | None = None, field: str = "indexed_at", direction: str = "DESC", numeric: bool | str = False, with_total: bool = False, key_type: str | None = None) -> Page:
+def page(records: DataFrame, first: int | None = None, after: str | None = None, last: int | None = None, before: str | None = None, field: str = "indexed_at", direction: str = "DESC", numeric: bool | str = False, with_total: bool = False, key_type: str | None = None, payload: str | None = None) -> Page:
     """One page of filtered records. `total` ignores the cursor."""
     if direction not in ("ASC", "DESC"):
         raise ValueError("direction must be ASC or DESC")
-    key = sort_value(field, numeric)
+    key = sort_value(field, numeric, payload)
     back = last is not None
     given = before if back else after
     n = page_size(last if back else first)
@@ -107,10 +109,10 @@ def page(records: DataFrame, first: int | None = None, after: str | None = None,
         kind = key_type or ("timestamp" if field in ("indexed_at", "record_created_at") else NUMBERS[numeric])
         rows = rows.filter(beyond(key, F.lit(value).cast(kind), uri, direction, back))
     flip = {"ASC": "DESC", "DESC": "ASC"}[direction] if back else direction
-    taken = ordered(rows, field, flip, numeric).limit(n + 1)
-    shown = ordered(ordered(taken, field, flip, numeric).limit(n), field, direction, numeric) if back else taken.limit(n)
+    taken = ordered(rows, field, flip, numeric, payload).limit(n + 1)
+    shown = ordered(ordered(taken, field, flip, numeric, payload).limit(n), field, direction, numeric, payload) if back else taken.limit(n)
     total = records.agg(F.count(F.lit(1)).alias("total")) if with_total else None
-    add = lambda df: df.withColumn("cursor", cursor(cursor_value(field), F.col("uri")))
+    add = lambda df: df.withColumn("cursor", cursor(cursor_value(field, payload), F.col("uri")))
     return Page(add(shown), add(taken), n, total, bool(given), back)
 
 

@@ -35,10 +35,15 @@ def collection_stats(records: DataFrame, collections: list[str] | None = None) -
     return count_by(found, "collection").orderBy(F.col("count").desc(), "collection")
 
 
+def record_day(json: Column | str, indexed_at: Column | str) -> Column:
+    """A record's day: that of createdAt, else of eventDate, else when it was indexed."""
+    return F.coalesce(day_of(text_at(json, "createdAt")), day_of(text_at(json, "eventDate")), F.to_date(indexed_at))
+
+
 def collection_time_series(records: DataFrame, collection: str | None = None) -> DataFrame:
     """date, count, cumulative, total_records, unique_users; a day is that of createdAt, else eventDate, else indexed_at."""
     found = records.filter(F.col("collection") == collection) if collection else records
-    day = F.coalesce(day_of(text_at("json", "createdAt")), day_of(text_at("json", "eventDate")), F.to_date("indexed_at"))
+    day = record_day("json", "indexed_at")
     days = found.groupBy(day.alias("date")).agg(F.count(F.lit(1)).alias("count"))
     totals = found.agg(F.count(F.lit(1)).alias("total_records"), F.count_distinct("did").alias("unique_users"))
     running = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)  # a row for each day

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from ..functions.times import normalised_created_at
 from ..functions.uris import record_uri
 from ..operators.records import is_purge
+from ..operators.stats import record_day
 
 # Executors then need no copy of the package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -25,19 +26,19 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-CHANGES = "seq long, action string, did string, collection string, rkey string, uri string, cid string, body string, ts timestamp, outcome string, record_created_at timestamp"
+CHANGES = "seq long, action string, did string, collection string, rkey string, uri string, cid string, body string, ts timestamp, outcome string, record_created_at timestamp, old_day date, new_day date"
 ACTOR_CHANGES = "did string, handle string, indexed_at timestamp, gone boolean, version long"
-TIMES = {"ts", "record_created_at", "indexed_at", "at"}
+TIMES, DAYS = {"ts", "record_created_at", "indexed_at", "at"}, {"old_day", "new_day"}
 LABEL_CHANGES = "src string, uri string, val string, cid string, id long, change string, at timestamp"
 
 
 def inner(schema: str) -> str:
     """A schema with its times as microseconds, as the state gives them out."""
-    return ", ".join(f"{c} long" if c in TIMES else f"{c} {kind}" for c, kind in (f.split() for f in schema.split(", ")))
+    return ", ".join(f"{c} long" if c in TIMES else f"{c} int" if c in DAYS else f"{c} {kind}" for c, kind in (f.split() for f in schema.split(", ")))
 
 
 def timed(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({c: F.timestamp_micros(c) for c in rows.columns if c in TIMES})
+    return rows.withColumns({c: F.timestamp_micros(c) if c in TIMES else F.date_from_unix_date(c) for c in rows.columns if c in TIMES | DAYS})
 
 
 @contextmanager
@@ -61,15 +62,15 @@ class RecordState(StatefulProcessor):
     """Records of one part of an author: the last event of each URI with what is stored, deleted ones as a mark, and the author's last purge."""
 
     def init(self, handle) -> None:
-        self.records = handle.getMapState("records", "uri string", "seq long, alive boolean, cid string, created long, collection string, rkey string")
+        self.records = handle.getMapState("records", "uri string", "seq long, alive boolean, cid string, created long, collection string, rkey string, day int")
         self.purge = handle.getValueState("purge", "seq long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         did, touched = key[0], {}
         purged = self.purge.get()[0] if self.purge.exists() else -1
 
-        def row(e, outcome, created=None):
-            return Row(seq=e.seq, action=e.action, did=did, collection=e.collection, rkey=e.rkey, uri=e.uri, cid=e.cid, body=e.body, ts=e.ts, outcome=outcome, record_created_at=created)
+        def row(e, outcome, created=None, left=None, came=None):
+            return Row(seq=e.seq, action=e.action, did=did, collection=e.collection, rkey=e.rkey, uri=e.uri, cid=e.cid, body=e.body, ts=e.ts, outcome=outcome, record_created_at=created, old_day=left, new_day=came)
 
         def store():
             for uri, value in touched.items():
@@ -87,7 +88,7 @@ class RecordState(StatefulProcessor):
                     if old[0] < purged:
                         self.records.removeKey((uri,))
                         if old[1]:
-                            yield Row(seq=purged, action="purge", did=did, collection=old[4], rkey=old[5], uri=uri, cid=None, body=None, ts=e.ts, outcome="purged", record_created_at=None)
+                            yield Row(seq=purged, action="purge", did=did, collection=old[4], rkey=old[5], uri=uri, cid=None, body=None, ts=e.ts, outcome="purged", record_created_at=None, old_day=old[6], new_day=None)
                 continue
             if e.uri not in touched:
                 touched[e.uri] = tuple(self.records.getValue((e.uri,))) if self.records.containsKey((e.uri,)) else None
@@ -97,8 +98,8 @@ class RecordState(StatefulProcessor):
                     del touched[e.uri]
                 yield row(e, "late")
             elif e.action == "delete":
-                touched[e.uri] = (e.seq, False, None, None, e.collection, e.rkey)
-                yield row(e, "deleted")
+                touched[e.uri] = (e.seq, False, None, None, e.collection, e.rkey, None)
+                yield row(e, "deleted", left=old[6] if old else None)
             elif e.action not in ("create", "update") or e.body is None:
                 if old is None:
                     del touched[e.uri]
@@ -108,8 +109,11 @@ class RecordState(StatefulProcessor):
                 created = old[3] if alive and old[3] is not None else e.created
                 cid = e.cid or ""
                 same = alive and cid != "" and old[2] == cid
-                touched[e.uri] = (e.seq, True, cid, created, e.collection, e.rkey)
-                yield row(e, "skipped" if same else "updated" if alive else "created", created)
+                touched[e.uri] = (e.seq, True, cid, created, e.collection, e.rkey, old[6] if same else e.day)
+                if same:
+                    yield row(e, "skipped", created)
+                else:
+                    yield row(e, "updated" if alive else "created", created, old[6] if alive else None, e.day)
         store()
 
     def close(self) -> None:
@@ -119,14 +123,14 @@ class RecordState(StatefulProcessor):
 def record_changes(events: DataFrame, parts: int = 16) -> DataFrame:
     """CHANGES of a stream of change events, one row for each record event and for each record that a purge removes.
 
-    An author's records are dealt over `parts` keys by URI, and a purge goes to all of them, so an author with a third of all records
+    old_day and new_day: the days that the record left and came to (`stats.record_day`), where that changed anything. An author's records are dealt over `parts` keys by URI, and a purge goes to all of them, so an author with a third of all records
     isn't one key. A key's events of one batch are sorted in memory; how many there are is bounded by the source's limit for a batch
     (maxFilesPerTrigger). outcome: created, updated, skipped (equal content), deleted, ignored (no body), purged, late.
     """
     uri = F.when(F.col("kind") == "record", record_uri("did", "collection", "rkey"))
     own = F.array(F.pmod(F.xxhash64(uri), F.lit(parts)).cast("int"))
     rows = events.filter((F.col("kind") == "record") | is_purge()).select(
-        "seq", "action", "did", "collection", "rkey", uri.alias("uri"), "cid", "body", F.unix_micros("ts").alias("ts"), F.unix_micros(normalised_created_at("body")).alias("created"),
+        "seq", "action", "did", "collection", "rkey", uri.alias("uri"), "cid", "body", F.unix_micros("ts").alias("ts"), F.unix_micros(normalised_created_at("body")).alias("created"), F.unix_date(record_day("body", "ts")).alias("day"),
         F.explode(F.when(F.col("kind") == "record", own).otherwise(F.sequence(F.lit(0), F.lit(parts - 1)))).alias("part"),
     )
     return timed(rows.groupBy("did", "part").transformWithState(RecordState(), inner(CHANGES), "Append", "None"))
