@@ -210,8 +210,8 @@ def told_apart(nodes: DataFrame, plain: DataFrame) -> tuple[DataFrame, DataFrame
 class Links:
     """Candidate tests and confirmation over the stored tables of one run."""
 
-    def __init__(self, nodes: DataFrame, sets: DataFrame, threshold: int, most: int):
-        self.nodes, self.sets, self.threshold, self.most = nodes, sets, threshold, most
+    def __init__(self, nodes: DataFrame, sets: DataFrame, keys: DataFrame, threshold: int, most: int):
+        self.nodes, self.sets, self.keys, self.threshold, self.most = nodes, sets, keys, threshold, most
 
     def side(self, name: str) -> DataFrame:
         """The nodes' sizes and sketches under names for one side of a pair."""
@@ -235,7 +235,8 @@ def apart_links(placed: DataFrame, links: Links, folder: str, block: int = 512)
 
     Members outside a key's largest group meet all others. A key's members are dealt over blocks of about `block`, and each pair of
     blocks is a key of its own for the joins, so no task has a large key whole. Sketches alone say first which members have
-    a likely partner in a pair of blocks, a row for each such member; only these get their full sets, and only links come out of the last join.
+    a likely partner in a pair of blocks, a row for each such member; only these get their full sets, which are compared under the smallest
+    key that both members have, so once for each pair, and only links come out of the last join.
     """
     largest = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("n"))
     keys = largest.filter("comps > 1").select("key", "main", "n", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
@@ -246,9 +247,11 @@ def apart_links(placed: DataFrame, links: Links, folder: str, block: int = 512)
     near = (F.col("in_main") | (F.col("a") < F.col("b"))) & sized("a_n", "b_n", links.threshold) & (bits_apart("a_s", "b_s") <= links.most)
     same = (F.col("a_key") == F.col("b_key")) & (F.col("a_own") == F.col("b_other")) & (F.col("a_other") == F.col("b_own"))
     likely = same & (F.col("a_comp") != F.col("b_comp")) & near
-    ones, others = stored(one.join(other, likely, "left_semi"), folder, "open-a"), stored(other.join(one, likely, "left_semi"), folder, "open-b")
-    sets = lambda c: links.sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
-    return ones.join(sets("a"), "a").join(others.join(sets("b"), "b"), likely & linked_sets(links.threshold)).select("a", "b").distinct()
+    ones = stored(one.join(other, likely, "left_semi"), folder, "open-a")
+    others = stored(other.join(ones, likely, "left_semi"), folder, "open-b")
+    full = lambda df, c: df.join(links.keys.select(F.col("node").alias(c), F.col("keys").alias(f"{c}_keys")), c).join(links.sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")), c)
+    first = F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("a_key")
+    return full(ones, "a").join(full(others, "b"), likely & first & linked_sets(links.threshold)).select("a", "b").distinct()
 
 
 def merged(groups: DataFrame, links: DataFrame, folder: str, name: str) -> DataFrame:
@@ -309,7 +312,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = stored(members.join(shared, "key"), folder, "members")
     groups = stored(members.select("node").distinct().withColumn("comp", F.col("node")), folder, "groups")
     sets = stored(sets_of(docs, nodes.join(groups, "node", "left_semi").select("doc", "node"), width, id_col, text_col).dropDuplicates(["node"]), folder, "sets")
-    links = Links(nodes.join(groups, "node", "left_semi").select("node", "n_shingles", "sketch"), sets, threshold, most_bits(bands * rows, threshold / 100, errors))
+    links = Links(nodes.join(groups, "node", "left_semi").select("node", "n_shingles", "sketch"), sets, nodes.select("node", "keys"), threshold, most_bits(bands * rows, threshold / 100, errors))
 
     for k in range(rounds):
         placed = members.join(groups, "node")

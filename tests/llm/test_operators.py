@@ -447,7 +447,7 @@ def test_members_near_the_threshold_without_a_link(spark, tmp_path):
 
     nodes = [(k, len(s), signer(np.array(s, np.uint64))[1].tolist()) for k, s in enumerate(sets)]
     links = near_dedup.Links(
-        spark.createDataFrame(nodes, "node long, n_shingles long, sketch array<long>"), spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<long>"), 75, near_dedup.most_bits(384, 0.75, 4.5)
+        spark.createDataFrame(nodes, "node long, n_shingles long, sketch array<long>"), spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<long>"), spark.createDataFrame([(k, [1, 2]) for k in range(len(sets))], "node long, keys array<long>"), 75, near_dedup.most_bits(384, 0.75, 4.5)
     )
     placed = spark.createDataFrame([(k, key, k) for k in range(len(sets)) for key in (1, 2)], "node long, key long, comp long")
     got = {tuple(sorted((r["a"], r["b"]))) for r in near_dedup.apart_links(placed, links, str(tmp_path), block=64).collect()}
