@@ -431,28 +431,3 @@ def test_nodes_with_one_half_of_a_digest(spark):
     a, b = near_dedup.told_apart(nodes, plain)
     names = {r["node"]: r["name"] for r in a.collect()}
     assert len(names) == 3 and {r["doc_id"]: names.get(r["node"]) for r in b.collect()} == {100: "a", 101: "b", 102: "c", 103: None}
-
-
-def test_members_near_the_threshold_without_a_link(spark, tmp_path):
-    """A key whose members all lie just below the threshold but for a few pairs: blocks find those pairs and no other."""
-    import random
-
-    rnd = random.Random(2)
-    base = rnd.sample(range(10**6), 500)
-    sets = [sorted(base + rnd.sample(range(10**6, 10**8), 90)) for _ in range(400)]
-    for k in range(5):  # one more link each
-        sets.append(sorted(sets[k][: len(sets[k]) - 30] + rnd.sample(range(10**8, 10**9), 30)))
-    signer = near_dedup.Signer(64, 6)
-    import numpy as np
-
-    nodes = [(k, len(s), signer(np.array(s, np.uint64))[1].tolist()) for k, s in enumerate(sets)]
-    links = near_dedup.Links(
-        spark.createDataFrame(nodes, "node long, n_shingles long, sketch array<long>"), spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<long>"), spark.createDataFrame([(k, [1, 2]) for k in range(len(sets))], "node long, keys array<long>"), 75, near_dedup.most_bits(384, 0.75, 4.5)
-    )
-    placed = spark.createDataFrame([(k, key, k) for k in range(len(sets)) for key in (1, 2)], "node long, key long, comp long")
-    got = {tuple(sorted((r["a"], r["b"]))) for r in near_dedup.apart_links(placed, links, str(tmp_path), block=64).collect()}
-    want = {(k, j) for j in range(len(sets)) for k in range(j) if 175 * len(set(sets[k]) & set(sets[j])) >= 75 * (len(sets[k]) + len(sets[j]))}
-    assert got == want and len(want) == 5
-    # Members have a row for each pair of blocks at most, and the key lies in many.
-    dealt = spark.read.parquet(f"{tmp_path}/open-a").groupBy("a_key", "a_own", "a_other").count().collect()
-    assert len(dealt) > 60 and max(r["count"] for r in dealt) < len(sets) / 3
