@@ -465,12 +465,22 @@ def frequent(counted: DataFrame, most: int, steps: int = 64) -> list:
     return [] if cut is None else sorted(map(tuple, counted.filter(F.col("bin") >= cut).select("w", "c").collect()), key=lambda r: (-r[1], r[0]))
 
 
-def score(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", text_col: str = "text", hot: int = 60_000, entries: int = 1_200_000, common: int = 48) -> DataFrame:
+def training_rows(docs: DataFrame, held: Column | None, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, held_out, text (null: empty); by default rows whose id's crc32 modulo 7 is 2 are kept from training."""
+    return docs.select(F.col(id_col).alias("doc_id"), (crc_mod(id_col, 7) == 2 if held is None else held).alias("held_out"), text_of(text_col).alias("text"))
+
+
+def score(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", text_col: str = "text", hot: int = 60_000, entries: int = 1_200_000, common: int = 48, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of `docs`.
 
     held: which rows to keep from training (default: crc32 of the id modulo 7 is 2).
     entries: tokens of a part, which a task holds at a time.
+    order: words of the longest grams; other orders than 2 are evaluated by `backoff`, which hot, entries and common don't concern.
     """
+    if order != 2:
+        from . import backoff
+
+        return backoff.score(docs, order, held, id_col, text_col)
     if FIRST_HOT + hot > 65_535:
         raise ValueError("codes of hot words have 16 bits")
     import numpy as np
@@ -478,7 +488,7 @@ def score(docs: DataFrame, held: Column | None = None, id_col: str = "doc_id", t
 
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    rows = docs.select(F.col(id_col).alias("doc_id"), (crc_mod(id_col, 7) == 2 if held is None else held).alias("held_out"), text_of(text_col).alias("text"))
+    rows = training_rows(docs, held, id_col, text_col)
 
     counted = stored(word_counts(rows), folder, "counts")
     tokens = F.col("w") != START
