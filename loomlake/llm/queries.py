@@ -47,7 +47,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score(table(spark, sf_dir, "documents"))
+    return katz.score(table(spark, sf_dir, "documents"), order=3)
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
