@@ -100,10 +100,18 @@ base as (select doc_id, no, kind, cast(start as bigint) as start, cast(start + l
 classes(no, w, most) as (values {classes}),
 windows as (
     select doc_id, no, kind, start, w, most, found, unnest(range(0, length(found) - w + 1)) as k
-    from (select distinct * from placed) join classes using (no) where not regexp_matches(found, '{allow}')),
+    from (select distinct * from placed) join classes using (no)),
+allowed as (
+    select doc_id, no, start, list_sum(list_transform(between[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1 : i - 1], lambda x: length(x))), 0) as a, length(hits[i]) as len
+    from (
+        select doc_id, no, start, hits, regexp_split_to_array(found, '{allow}') as between, unnest(range(1, len(hits) + 1)) as i
+        from (select distinct doc_id, no, start, found, regexp_extract_all(found, '{allow}') as hits from placed where no >= 3))),
+free as (
+    select * from windows as x where not exists (
+        select 1 from allowed as y where y.doc_id = x.doc_id and y.no = x.no and y.start = x.start and k < a + len + w and k + w > a - w)),
 counted as (
     select doc_id, no, kind, start, w, most, k, c, count(*) as n
-    from (select *, unnest(string_split(substr(found, k + 1, w), '')) as c from windows) group by all),
+    from (select *, unnest(string_split(substr(found, k + 1, w), '')) as c from free) group by all),
 hot as (
     select doc_id, no, kind, start, w, k from counted group by all having sum(cast(round(n * log2(n) * {secrets.UNIT}) as bigint)) <= min(most)),
 islands as (

@@ -4,9 +4,9 @@ Base findings come from three patterns (assigned values, access keys, hexadecima
 method adds spans of high entropy: each candidate string, a long run of one character class, is
 read once by a sliding window; a character that enters or leaves changes two counts and the
 window's sum of c*log2(c), which is its Shannon entropy but for constants. Windows whose entropy
-reaches the class's threshold are merged into spans. Candidates that match the allow-list (texts
-that only look random) are suppressed. Sums use integers (2**-20 bits), so no rounding differs
-between engines.
+reaches the class's threshold are merged into spans. The allow-list (texts that only look random)
+suppresses windows less than a window's length away from a match, so a sample key goes as a whole and the rest of
+a long run is still scanned. Sums use integers (2**-20 bits), so no rounding differs between engines.
 
 All work happens inside the row: no shuffle, no Python on the executors. Positions are code points.
 
@@ -34,7 +34,7 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]{14,}", 0, 18),
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
-#: Candidates with one of these are no secrets: counting-up samples, documentation keys, fillers.
+#: What stands around one of these is no secret: counting-up samples, documentation keys, fillers.
 ALLOW = r"(?i)0123456789|abcdefgh|example|sample|placeholder|changeme|xxxxxxxx"
 UNIT = 1 << 20
 
@@ -162,20 +162,46 @@ def hot_windows(codes: Column, kind: CharClass) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.size(codes)), zero, step, lambda s: s["done"])
 
 
+def outside(found: Column, allow: str, reach: int) -> Column:
+    """array<struct<start, found>>: the parts of a text that are at least `reach` characters away from each match of `allow`."""
+
+    def parts(f: Column) -> Column:
+        hits, n = f["hits"], F.size(f["hits"])
+        return bound(
+            starts_of(f["pieces"], hits),
+            lambda at: F.transform(
+                f["pieces"],
+                lambda piece, j: bound(
+                    F.struct(F.when(j > 0, reach).otherwise(0).alias("left"), F.when(j < n, reach).otherwise(0).alias("right"), F.greatest(j, F.lit(1)).alias("hit")),
+                    lambda cut: F.struct(
+                        (F.when(j > 0, F.element_at(at, cut["hit"]) + F.length(F.element_at(hits, cut["hit"]))).otherwise(0) + cut["left"]).cast("int").alias("start"),
+                        F.substring(piece, cut["left"] + 1, F.greatest(F.length(piece) - cut["left"] - cut["right"], F.lit(0))).alias("found"),
+                    ),
+                ),
+            ),
+        )
+
+    split = F.struct(F.split(found, allow, -1).alias("pieces"), F.regexp_extract_all(found, F.lit(allow), F.lit(0)).alias("hits"))
+    return F.when(F.regexp_like(found, F.lit(allow)), bound(split, parts)).otherwise(F.array(F.struct(F.lit(0).alias("start"), found.alias("found"))))
+
+
 def entropy_spans(text: Column, kind: CharClass, no: int, allow: str) -> Column:
-    candidates = F.filter(matches_of(text, kind.pattern), lambda m: ~F.regexp_like(m["found"], F.lit(allow)))
     place = F.create_map(*[x for k, c in enumerate(kind.alphabet) for x in (F.lit(c), F.lit(k + 1))])
+
+    def of_part(start: Column, part: Column) -> Column:
+        return bound(
+            F.transform(F.split(part["found"], ""), lambda c: F.element_at(place, c)),
+            lambda codes: F.transform(
+                hot_windows(codes, kind),
+                lambda r: F.struct((start + r["start"]).cast("int").alias("start"), F.lit(no).alias("no"), F.lit(kind.name).alias("kind"), (start + r["end"]).cast("int").alias("end")),
+            ),
+        )
+
     spans = F.flatten(
         F.transform(
-            candidates,
-            lambda m: bound(
-                F.transform(F.split(m["found"], ""), lambda c: F.element_at(place, c)),
-                lambda codes: F.transform(
-                    hot_windows(codes, kind),
-                    lambda r: F.struct(
-                        (m["start"] + r["start"]).cast("int").alias("start"), F.lit(no).alias("no"), F.lit(kind.name).alias("kind"), (m["start"] + r["end"]).cast("int").alias("end")
-                    ),
-                ),
+            matches_of(text, kind.pattern),
+            lambda m: F.flatten(
+                F.transform(F.filter(outside(m["found"], allow, kind.window), lambda x: F.length(x["found"]) >= kind.window), lambda x: of_part(m["start"] + x["start"], x))
             ),
         )
     )
