@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from loomlake.functions import uris
@@ -216,3 +217,30 @@ def test_first_arrival_wins(spark):
     rows = [("w", 1, 0, True, "late", 9), ("w", 1, 0, True, "first", 3)]
     table = spark.createDataFrame(rows, "subscription_url string, seq long, label_index int, valid boolean, val string, t int").withColumn("received_at", F.timestamp_seconds("t")).drop("t")
     assert [r["val"] for r in L.ingest(table)[0].collect()] == ["first"]
+
+
+def test_a_page_is_read_and_written_once_a_batch():
+    """Calls to the state go through a socket: their number must not grow with authors, records or events."""
+    calls, held = [], {}
+
+    class Value:
+        def get(self):
+            calls.append("get")
+            return held.get("v")
+
+        def update(self, value):
+            calls.append("update")
+            held["v"] = value
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return Value()
+
+    state = K.RecordState()
+    state.init(Handle())
+    event = lambda seq, uri, cid: Row(page=0, seq=seq, action="update", did=f"d{seq % 9}", collection="c", rkey=uri, uri=f"d{seq % 9}/{uri}" if uri else None, cid=cid, body="{}", ts=seq, created=None, day=1)
+    first = [*state.handleInputRows((0,), iter([event(k, str(k % 20), "p") for k in range(180)]), None)]
+    second = [*state.handleInputRows((0,), iter([event(180, None, None), *(event(k, str(k % 20), "p") for k in range(190, 200))]), None)]
+    assert calls == ["get", "update"] * 2
+    assert {r["outcome"] for r in first} == {"created"} and [r["outcome"] for r in second].count("purged") == 20
+    assert {(r["did"], r["seq"]) for r in second if r["outcome"] == "created"} == {("d0", 198)}
