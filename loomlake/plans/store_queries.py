@@ -76,8 +76,9 @@ def stored_page_sorted_numeric(spark, sf_dir):
 def stored_changes(spark, sf_dir):
     """Orders after a batch of changes: some are changed, some deleted, a new collection comes up."""
     path = f"{shared_dir(spark)}/records"
-    whole, number = spark_view(spark, sf_dir, "order_doc").select(COLUMNS), F.expr("cast(rkey as bigint)")
-    R.write(whole, path, per_bucket=2_000)
+    R.write(spark_view(spark, sf_dir, "order_doc").select(COLUMNS), path, per_bucket=2_000)
+    # The batch follows from what is stored, so that orders aren't put together again for each part of it.
+    whole, number = R.read(spark, path).select(COLUMNS), F.expr("cast(rkey as bigint)")
     changed = whole.filter((number % 5 == 1) & (number % 7 != 2)).withColumn("cid", F.lit("changed"))
     new = whole.filter(number % 100 == 0).withColumn("uri", F.concat("uri", F.lit("/new"))).withColumn("collection", F.lit("app.fixture.other"))
     R.apply(spark, path, changed.unionByName(new), whole.filter(number % 7 == 2).select("uri"))

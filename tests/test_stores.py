@@ -75,6 +75,26 @@ def test_changes_rewrite_touched_buckets_only(spark, tmp_path):
     assert {r["collection"] for r in R.layout(spark, path).collect()} == {"a.b.big", "a.b.small", "a.b.new"}
 
 
+def test_touched_buckets_keep_few_files(spark, tmp_path, monkeypatch):
+    """Rows come out of joins by URI: a bucket must not get a file from each of their tasks, and folders are bounded."""
+    whole = records(spark, [("a.b.big", k, "x", "{}") for k in range(400)])
+    path = str(tmp_path / "r")
+    monkeypatch.setattr(R, "MOST_BUCKETS", 8)
+    R.write(whole, path, per_bucket=10)
+    assert [r["buckets"] for r in R.layout(spark, path).collect()] == [8]
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")
+    for name, value in zip(names, ("-1", "-1", "false"), strict=True):
+        spark.conf.set(name, value)
+    try:
+        stored = R.read(spark, path)
+        R.apply(spark, path, stored.filter("rkey % 3 = 1").drop("payload", "bucket").withColumn("cid", F.lit("y")), stored.filter("rkey % 3 = 2"))
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert {r["rkey"]: r["cid"] for r in R.read(spark, path).collect()} == {str(k): "xy"[k % 3] for k in range(400) if k % 3 < 2}
+    assert {len(list(p.glob("part-*.parquet"))) for p in (tmp_path / "r" / "data").glob("*/bucket=*")} == {1}
+
+
 def test_index_finds_what_a_scan_finds(spark, tmp_path):
     texts = ['{"t":"Licensed under X"}', '{"t":"nothing"}', '{"t":"LICENSE"}', '{"t":"100% ünïcode ÀB"}', '{"t":"under  licensed"}', '{"t":"aaaaaa"}', "", None, '{"t":"lic ens ed"}', '{"t":"\U0001f600 smile \U0001f600\U0001f600"}']
     whole = records(spark, [("a.b.c" if k % 3 else "a.b.d", k, "x", t) for k, t in enumerate(texts)])
