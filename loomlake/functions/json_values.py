@@ -32,6 +32,11 @@ def parsed_once(json: Column | str, schema: str | T.DataType) -> Column:
     return F.explode(F.array(F.from_json(_col(json), schema)))
 
 
+def variant_once(json: Column | str) -> Column:
+    """A row's JSON as a VARIANT, as a generator of one row (null for invalid JSON)."""
+    return F.explode(F.array(variant_of(json)))
+
+
 def text_at(json: Column | str, *names: str) -> Column:
     """The value as text; null when missing, JSON null or the document is invalid."""
     return F.get_json_object(_col(json), path_of(*names))

@@ -162,8 +162,8 @@ def typed_single(spark, sf_dir):
 def union_resolve(spark, sf_dir):
     c = catalogue()
     members = c.union_members(c.record("app.fixture.order")["properties"]["scope"], "app.fixture.order")
-    value = T.union_value(F.try_variant_get(J.variant_of("json"), "$.scope", "variant"), members)
-    return spark_view(spark, sf_dir, "order_doc").select("uri", F.try_variant_get(value, "$.text", "string").alias("text"), value.isNotNull().alias("kept")).filter("kept").drop("kept")
+    value = T.union_value(F.try_variant_get("v", "$.scope", "variant"), members)
+    return spark_view(spark, sf_dir, "order_doc").select("uri", J.variant_once("json").alias("v")).select("uri", F.try_variant_get(value, "$.text", "string").alias("text"), value.isNotNull().alias("kept")).filter("kept").drop("kept")
 
 
 @query("cid_link", sql_views("order_doc") + """ select uri, case when json_type(json, '$.image') = 'VARCHAR' then json_extract_string(json, '$.image')

@@ -428,3 +428,11 @@ def test_conditions_parse_once_alike(spark):
             for z in tests["c.d"]:
                 assert uris({"a": dict([x]), "b": dict([y]), "c.d": dict([z]), "c.e": {"isNull": True}}) == one["a", x[0], str(x[1])] & one["b", y[0], str(y[1])] & one["c.d", z[0], str(z[1])] & one["c.e", "isNull", "True"]
     assert W.texts_of(["a", "a.b"]) is None and W.texts_of(["a", "A"]) is None and W.texts_of(["a.b", "a.c"]).simpleString() == "struct<a:struct<b:string,c:string>>"
+
+
+def test_union_resolve_parses_once(spark):
+    """A filter on what is parsed must not put the JSON together and parse it again for each of its parts."""
+    from loomlake.plans import graph_queries
+
+    plan = graph_queries.union_resolve(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
