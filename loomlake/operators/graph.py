@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.json_values import text_at, variant_of
+from ..functions.json_values import text_at, variant_of, variant_once
 from ..functions.uris import is_valid_did
 from ..shared import shared_dir, stored
 
@@ -17,7 +17,11 @@ MOST_ACCOUNTS, MOST_DEGREE, MOST_VIA, EDGES_PER_ACCOUNT = 3000, 3, 64, 64
 
 def subject_did(json: Column | str = "json") -> Column:
     """The DID an award names: its subject is a typed object with a valid one."""
-    v = variant_of(json)
+    return subject_in(variant_of(json))
+
+
+def subject_in(v: Column) -> Column:
+    """The same of a parsed award."""
     did = F.try_variant_get(v, "$.subject.did", "string")
     typed = F.try_variant_get(v, "$.subject['$type']", "string") == SUBJECT_TYPE
     return F.when(typed & is_valid_did(did), did)
@@ -33,7 +37,8 @@ def issuer_allowed(definition: Column, issuer: Column) -> Column:
 def endorsements(records: DataFrame) -> DataFrame:
     """Distinct (issuer, subject) of awards of endorsement badges that the issuer may give and the subject didn't reject."""
     of = lambda c: records.filter(F.col("collection") == c)
-    awards = of(AWARD).select(F.col("uri").alias("award"), F.col("did").alias("issuer"), text_at("json", "badge", "uri").alias("badge"), subject_did().alias("subject"))
+    awards = of(AWARD).select(F.col("uri").alias("award"), F.col("did").alias("issuer"), text_at("json", "badge", "uri").alias("badge"), variant_once("json").alias("v"))
+    awards = awards.withColumn("subject", subject_in(F.col("v"))).drop("v")
     badges = of(DEFINITION).filter(text_at("json", "badgeType") == "endorsement").select(F.col("uri").alias("badge"), F.col("json").alias("definition"))
     rejected = of(RESPONSE).filter(text_at("json", "response") == "rejected").select(F.col("did").alias("subject"), text_at("json", "badgeAward", "uri").alias("award"))
     given = awards.filter("subject is not null and subject <> issuer").join(badges, "badge").filter(issuer_allowed(F.col("definition"), F.col("issuer")))

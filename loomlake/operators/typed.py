@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.json_values import blob_of, link_text, parsed_once, path_of, text_at, variant_of
+from ..functions.json_values import blob_of, link_text, parsed_once, path_of, text_at, variant_once
 from ..functions.times import iso_millis
 from ..sources.lexicons import DEPTH, Catalogue
 
@@ -96,7 +96,7 @@ def generic_view(records: DataFrame) -> DataFrame:
 
 
 def generic(records: DataFrame, *more: Column) -> DataFrame:
-    v = records.select("uri", "cid", "did", "collection", "rkey", variant_of("json").alias("value"), *more)
+    v = records.select("uri", "cid", "did", "collection", "rkey", variant_once("json").alias("value"), *more)
     return v.filter("value is not null")
 
 

@@ -436,3 +436,11 @@ def test_union_resolve_parses_once(spark):
 
     plan = graph_queries.union_resolve(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == 1
+
+
+def test_generic_views_parse_once(spark):
+    from loomlake.operators import typed
+    from loomlake.plans.fixtures import spark_view
+
+    view = typed.generic_view(spark_view(spark, "/root/testdata/sf0.001", "order_doc"))
+    assert view._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
