@@ -14,7 +14,9 @@ linked when 100 * intersection >= 75 * union. Steps:
    node's pivots the `tries` that share most of its keys are. Odd sketches drop pairs whose estimate lies more than 4.5 standard errors below the threshold; the others
    (in the first round the best of each node) are confirmed on the full sets, and linked groups are merged. Rounds go on until
    one finds no link (at most `rounds`), so a large group of near copies is one group before step 5.
-5. What is left: pairs that share a key but lie in different groups. All of them are compared inside
+   Only the full sets of a round's pairs move, and keys whose members lie in one group take part no longer.
+5. What is left: pairs that share a key but lie in different groups. Members without a likely partner under
+   their key, by sketches, go first, so that most full sets move nowhere. The others are all compared inside
    the join, by sketches and then by full sets, and groups are merged. After that no
    candidate pair is untested except inside one group, where it could change nothing.
 
@@ -35,7 +37,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, portable, shared_dir, spread_join, stored, text_of
+from .common import bit_filtered, map_batches, portable, shared_dir, spread_join, stored, text_of
 
 portable(__name__)
 
@@ -214,19 +216,24 @@ class Links:
     def __init__(self, nodes: DataFrame, sets: DataFrame, threshold: int, most: int):
         self.nodes, self.sets, self.threshold, self.most = nodes, sets, threshold, most
 
-    def side(self, name: str, full: bool = False) -> DataFrame:
-        """The nodes' sizes and sketches (and sets) under names for one side of a pair."""
-        nodes = self.nodes.join(self.sets, "node") if full else self.nodes
-        return nodes.select(F.col("node").alias(name), F.col("n_shingles").alias(f"{name}_n"), *[F.col("sketch")[k].alias(f"{name}_s{k}") for k in range(WORDS64)], *([F.col("shingles").alias(f"{name}_set")] if full else []))
+    def side(self, name: str) -> DataFrame:
+        """The nodes' sizes and sketches under names for one side of a pair."""
+        return self.nodes.select(F.col("node").alias(name), F.col("n_shingles").alias(f"{name}_n"), *[F.col("sketch")[k].alias(f"{name}_s{k}") for k in range(WORDS64)])
 
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Pairs a, b (and other columns) whose sketches may reach the threshold, with their distance."""
         both = pairs.join(self.side("a"), "a").join(self.side("b"), "b")
         return both.filter(sized("a_n", "b_n", self.threshold)).withColumn("apart", bits_apart("a_s", "b_s")).filter(F.col("apart") <= self.most).select(*pairs.columns, "apart")
 
+    def sets_for(self, wanted: DataFrame, few: int = 200_000) -> DataFrame:
+        """The sets of the nodes that the stored table `wanted` names, perhaps with some of others, told before any of them moves."""
+        if wanted.count() <= few:  # 8 bytes each
+            return self.sets.join(F.broadcast(wanted.distinct()), "node", "left_semi")
+        return bit_filtered(self.sets, wanted, "node")
+
     def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs a, b whose full sets reach the threshold."""
-        sets = self.sets
+        """Those of the stored pairs a, b whose full sets reach the threshold."""
+        sets = self.sets_for(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
         first = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set")), "a")
         both = first.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_set")), "b")
         return both.filter(linked_sets(self.threshold)).select("a", "b")
@@ -286,14 +293,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     nodes, plain = told_apart(nodes, plain)
     members = nodes.select("node", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    members = stored(members.join(shared, "key"), folder, "members")
+    # Most keys are of one node: a bit filter keeps them from moving again.
+    shared = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), folder, "shared")
+    members = stored(bit_filtered(members, shared, "key", bits=26).join(shared, "key"), folder, "members")
     groups = stored(members.select("node").distinct().withColumn("comp", F.col("node")), folder, "groups")
     sets = stored(sets_of(docs, nodes.join(groups, "node", "left_semi").select("doc", "node"), width, id_col, text_col).dropDuplicates(["node"]), folder, "sets")
-    links = Links(nodes.join(groups, "node", "left_semi").select("node", "n_shingles", "sketch"), sets, threshold, most_bits(bands * rows, threshold / 100, errors))
+    signed_nodes = stored(nodes.join(groups, "node", "left_semi").select("node", "n_shingles", "sketch"), folder, "sketches")
+    links = Links(signed_nodes, sets, threshold, most_bits(bands * rows, threshold / 100, errors))
 
     for k in range(rounds):
-        placed = members.join(groups, "node")
+        placed = stored(members.join(groups, "node"), folder, f"placed-{k}")
         turn = F.xxhash64("node", F.lit(k))
         pivots = (
             placed.groupBy("key")
@@ -301,6 +310,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .filter("low <> high")
             .select("key", "b", "b_comp")
         )
+        pivots = stored(pivots, folder, f"pivots-{k}")
+        members = placed.join(pivots, "key", "left_semi").select("key", "node")
         # A node has as many keys as bands; the pivots that it shares most of them with are the likeliest.
         met = placed.join(pivots, "key").filter("comp <> b_comp").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
         first = met.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "b"))), 1, tries).alias("b"))
@@ -308,7 +319,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         likely = links.likely(pairs)
         if k == 0:
             likely = likely.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
-        found = stored(links.confirmed(likely), folder, f"round-{k}")
+        found = stored(links.confirmed(stored(likely.select("a", "b"), folder, f"likely-{k}")), folder, f"round-{k}")
         if found.isEmpty():
             break
         # In the first round a node points to one that comes before it in the round's order, so links are trees.
@@ -318,11 +329,22 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = members.join(groups, "node")
     largest = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps"))
     open_ = stored(placed.join(largest.filter("comps > 1").select("key", "main"), "key"), folder, "open")
-    one = open_.filter("comp <> main").select("key", F.col("node").alias("a"), F.col("comp").alias("a_comp")).join(links.side("a", full=True), "a")
-    other = open_.select("key", F.col("node").alias("b"), F.col("comp").alias("b_comp"), (F.col("comp") == F.col("main")).alias("in_main")).join(links.side("b", full=True), "b")
+    one = open_.filter("comp <> main").select("key", F.col("node").alias("a"), F.col("comp").alias("a_comp"))
+    other = open_.select("key", F.col("node").alias("b"), F.col("comp").alias("b_comp"), (F.col("comp") == F.col("main")).alias("in_main"))
     near = (F.col("in_main") | (F.col("a") < F.col("b"))) & sized("a_n", "b_n", threshold) & (bits_apart("a_s", "b_s") <= links.most)
-    apart = (one["key"] == other["key"]) & (F.col("a_comp") != F.col("b_comp"))
-    found = stored(one.join(other, apart & near & linked_sets(threshold)).select("a", "b").distinct(), folder, "rest")
+
+    def met(one: DataFrame, other: DataFrame, how: str, confirm: Column | None = None) -> DataFrame:
+        # A merge join, as its hot keys are split over tasks.
+        apart = (one["key"] == other["key"]) & (F.col("a_comp") != F.col("b_comp")) & near
+        return one.join(other.hint("merge"), apart if confirm is None else apart & confirm, how)
+
+    sketched_one, sketched_other = one.join(links.side("a"), "a"), other.join(links.side("b"), "b")
+    one = stored(met(sketched_one, sketched_other, "left_semi"), folder, "rest-one")
+    other = stored(met(sketched_other, one, "left_semi"), folder, "rest-other")
+    sets = links.sets_for(stored(one.select(F.col("a").alias("node")).unionByName(other.select(F.col("b").alias("node"))).distinct(), folder, "rest-nodes"))
+    one = one.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set")), "a")
+    other = other.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_set")), "b")
+    found = stored(met(one, other, "inner", linked_sets(threshold)).select("a", "b").distinct(), folder, "rest")
     if not found.isEmpty():
         groups = merged(groups, found, folder, "rest-groups")
 

@@ -440,3 +440,16 @@ def test_nodes_with_one_half_of_a_digest(spark):
     a, b = near_dedup.told_apart(nodes, plain)
     names = {r["node"]: r["name"] for r in a.collect()}
     assert len(names) == 3 and {r["doc_id"]: names.get(r["node"]) for r in b.collect()} == {100: "a", 101: "b", 102: "c", 103: None}
+
+
+def test_near_dedup_moves_only_the_sets_of_pairs(spark, tmp_path):
+    from loomlake.llm.common import stored
+
+    sets = stored(spark.range(1, 2001).selectExpr("id as node", "sequence(id, id + 9) as shingles"), str(tmp_path), "sets")
+    links = near_dedup.Links(sets.selectExpr("node", "10l as n_shingles", "array(0l) as sketch"), sets, 75, 0)
+    wanted = stored(spark.createDataFrame([(1,), (2,), (2,), (7,)], "node long"), str(tmp_path), "wanted")
+    assert sorted(r["node"] for r in links.sets_for(wanted).collect()) == [1, 2, 7]
+    filtered = [r["node"] for r in links.sets_for(wanted, few=0).collect()]  # a bit filter may let others pass
+    assert {1, 2, 7} <= set(filtered) and len(filtered) < 100
+    pairs = stored(spark.createDataFrame([(1, 2), (1, 7), (20, 21)], "a long, b long"), str(tmp_path), "pairs")
+    assert sorted(tuple(r) for r in links.confirmed(pairs).collect()) == [(1, 2), (20, 21)]
