@@ -79,42 +79,62 @@ def closure(edges: DataFrame, roots: DataFrame, max_degree: int = MOST_DEGREE, m
     marked truncated and goes no further. `via` (from degree 2 on) names the predecessors of the ring before, the first 64
     in that order, sorted.
 
-    Edges are evaluated once and stored with their place among their issuer's edges, so a ring's order (by issuer, subject) follows
+    Edges are evaluated once and stored. A root whose ring can't have more edges than accounts are left, as no account has more than the widest
+    one, meets no limit: its edges are joined and gathered by root, and nothing is numbered or ranked that no later ring needs.
+    For the other roots edges are stored with their place among their issuer's edges, so a ring's order (by issuer, subject) follows
     from running sums over its issuers, of which a root has at most `most`: no ring's edges are sorted, and of an issuer
-    with very many edges only those that any ring could read take part.
+    with very many edges only those that any ring could read take part. The last ring isn't stored.
     """
     if not 1 <= max_degree <= MOST_DEGREE:
         raise ValueError(f"degree must be 1 to {MOST_DEGREE}")
     folder = shared_dir(edges.sparkSession)
     edges = stored(edges.select("issuer", "subject").distinct(), f"{folder}/edges")
     degrees = edges.groupBy("issuer").agg(F.count(F.lit(1)).alias("out"))
-    placed = stored(placed_edges(edges, folder).drop("part").filter(F.col("nth") <= most * EDGES_PER_ACCOUNT), f"{folder}/placed")
+    widest = degrees.agg(F.max("out")).first()[0] or 0
+    placed, stops = None, None
     empty = F.expr("cast(array() as array<string>)")
+    root = Window.partitionBy("root")
     start = roots.select(F.col("did").alias("root")).distinct()
     seen = start.select("root", F.col("root").alias("did"), F.lit(0).alias("degree"), empty.alias("via"))
-    frontier = start.select("root", F.col("root").alias("issuer"), F.lit(1).alias("pos"))
-    stops = start.select("root").limit(0)
+    frontier = start.select("root", F.col("root").alias("issuer"), F.lit(1).alias("pos"), F.lit(most).cast("long").alias("left"), F.lit(1).cast("long").alias("ring"))
     for degree in range(1, max_degree + 1):
-        left = seen.groupBy("root").agg((F.lit(most) + 1 - F.count(F.lit(1))).alias("left"))
-        before = Window.partitionBy("root").orderBy("issuer")
-        issuers = frontier.join(left, "root").join(degrees, "issuer", "left").fillna(0, ["out"])
-        issuers = issuers.withColumn("upto", F.sum("out").over(before)).withColumn("after", F.col("upto") - F.col("out")).withColumn("limit", F.col("left") * EDGES_PER_ACCOUNT)
-        issuers = stored(issuers, f"{folder}/issuers-{degree}")
-        stopped = issuers.filter("left <= 0 or upto > limit").select("root")
-        readable = (placed["issuer"] == issuers["issuer"]) & (F.col("nth") <= F.col("limit") - F.col("after"))
-        steps = issuers.filter("left > 0 and after < limit").join(placed, readable).select("root", issuers["issuer"], "pos", "left", "subject").filter("subject <> '' and subject <> root")
-        fresh = steps.join(seen.select("root", F.col("did").alias("subject")), ["root", "subject"], "left_anti").groupBy("root", "subject").agg(
-            F.min("left").alias("left"), F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", "issuer"))).alias("via")
-        )
-        ranked = fresh.withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy("pos", "subject")))
-        ranked = ranked.withColumn("via", F.array_sort(F.slice(F.col("via.issuer"), 1, via)))
-        ranked = stored(ranked, f"{folder}/ranked-{degree}")
-        stops = stops.unionByName(stopped).unionByName(ranked.filter("rank > left").select("root")).distinct()
-        taken = ranked.filter("rank <= left")
-        seen = seen.unionByName(taken.select("root", F.col("subject").alias("did"), F.lit(degree).alias("degree"), (F.col("via") if degree > 1 else empty).alias("via")))
-        frontier = taken.select("root", F.col("subject").alias("issuer"), F.col("rank").alias("pos")).join(stops, "root", "left_anti")
-    marked = stops.withColumn("truncated", F.lit(True))
-    return seen.filter("degree > 0").join(marked, "root", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
+        roomy = (F.col("left") > 0) & (F.col("ring") * widest <= F.col("left"))
+        steps = frontier.filter(roomy).join(edges, "issuer").select("root", "issuer", "pos", "left", "subject")
+        narrow = frontier.filter(~roomy).drop("ring")
+        limits = not narrow.isEmpty()
+        if limits:
+            if placed is None:
+                placed = stored(placed_edges(edges, folder).drop("part").filter(F.col("nth") <= most * EDGES_PER_ACCOUNT), f"{folder}/placed")
+            issuers = narrow.join(degrees, "issuer", "left").fillna(0, ["out"])
+            issuers = issuers.withColumn("upto", F.sum("out").over(root.orderBy("issuer"))).withColumn("after", F.col("upto") - F.col("out")).withColumn("limit", F.col("left") * EDGES_PER_ACCOUNT)
+            issuers = stored(issuers, f"{folder}/issuers-{degree}")
+            readable = (placed["issuer"] == issuers["issuer"]) & (F.col("nth") <= F.col("limit") - F.col("after"))
+            steps = steps.unionByName(issuers.filter("left > 0 and after < limit").join(placed, readable).select("root", issuers["issuer"], "pos", "left", "subject"))
+            stopped = issuers.filter("left <= 0 or upto > limit").select("root")
+        # What is known already is gathered with the steps, by root alone, so that a ring's rows move once.
+        known = seen.select("root", F.lit(None).cast("string").alias("issuer"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("long").alias("left"), F.col("did").alias("subject"))
+        gathered = steps.filter("subject <> '' and subject <> root").unionByName(known).repartition("root").groupBy("root", "subject")
+        values = [F.min("left").alias("left"), F.min("pos").alias("pos"), F.max(F.col("issuer").isNull()).alias("known")]
+        if degree > 1:
+            values.append(F.collect_list(F.when(F.col("issuer").isNotNull(), F.struct("pos", "issuer"))).alias("via"))
+        fresh = gathered.agg(*values).filter("not known").drop("known")
+        fresh = fresh.withColumn("via", F.array_sort(F.slice(F.array_sort("via")["issuer"], 1, via)) if degree > 1 else empty)
+        if degree < max_degree or limits:
+            fresh = fresh.withColumn("rank", F.row_number().over(root.orderBy("pos", "subject"))).withColumn("ring", F.count(F.lit(1)).over(root))
+            fresh = stored(fresh, f"{folder}/ranked-{degree}")
+        taken = fresh
+        if limits:
+            stopped = stopped.unionByName(fresh.filter("rank > left").select("root"))
+            stops = (stopped if stops is None else stops.unionByName(stopped)).distinct()
+            taken = fresh.filter("rank <= left")
+        seen = seen.unionByName(taken.select("root", F.col("subject").alias("did"), F.lit(degree).alias("degree"), "via"))
+        if degree < max_degree:
+            frontier = taken.select("root", F.col("subject").alias("issuer"), F.col("rank").alias("pos"), (F.col("left") - F.col("ring")).alias("left"), "ring")
+            frontier = frontier if stops is None else frontier.join(stops, "root", "left_anti")
+    found = seen.filter("degree > 0")
+    if stops is None:
+        return found.withColumn("truncated", F.lit(False))
+    return found.join(stops.withColumn("truncated", F.lit(True)), "root", "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
 
 
 def closure_page(found: DataFrame, root: str, degree: int | None = None, first: int = 20, after: tuple[int, str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -130,6 +150,7 @@ def closure_page(found: DataFrame, root: str, degree: int | None = None, first:
 
 def with_profiles(found: DataFrame, profiles: DataFrame) -> DataFrame:
     """Closure rows with the profile of the account and of each `via` account (null where there is none)."""
+    found = stored(found, f"{shared_dir(found.sparkSession)}/found")  # read twice
     own = profiles.select("did", F.col("profile"))
     others = found.select("root", "did", F.explode("via").alias("v")).join(own.select(F.col("did").alias("v"), "profile"), "v", "left")
     lists = others.groupBy("root", "did").agg(F.array_sort(F.collect_list(F.struct(F.col("v").alias("did"), "profile"))).alias("via_profiles"))

@@ -444,3 +444,20 @@ def test_generic_views_parse_once(spark):
 
     view = typed.generic_view(spark_view(spark, "/root/testdata/sf0.001", "order_doc"))
     assert view._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
+@pytest.mark.parametrize("most,via", [(3000, 64), (3000, 2), (60, 64), (25, 3)])
+def test_closure_with_and_without_limits_equals_walk(spark, tmp_path, monkeypatch, most, via):
+    """Roots that can meet no limit and roots beside them that do; edges get places only where a limit may bite, a ring only a rank that is used."""
+    rnd = random.Random(11)
+    edges = sorted({(f"n{rnd.randrange(40):02d}", f"n{rnd.randrange(40):02d}") for _ in range(110)} | {("n39", f"leaf{k:02d}") for k in range(20)} | {("n00", "")})
+    names = []
+    monkeypatch.setattr(G, "stored", lambda df, path, f=G.stored: names.append(path.rsplit("/", 1)[1]) or f(df, path))
+    roots = [f"n{k:02d}" for k in range(40)] + ["nobody"]
+    found = G.closure(spark.createDataFrame(edges, "issuer string, subject string"), spark.createDataFrame([(r,) for r in roots], "did string"), most=most, via=via).collect()
+    for root in roots:
+        rows, truncated = walk(edges, root, 3, most, via)
+        own = [r for r in found if r["root"] == root]
+        assert sorted((r["did"], r["degree"], tuple(r["via"])) for r in own) == rows
+        assert {r["truncated"] for r in own} <= {truncated}
+    assert ("placed" in names) == (most < 3000) and (most < 3000 or "ranked-3" not in names)
