@@ -21,19 +21,22 @@ SLOTS, RAREST, LEAST = 64, 3, 3
 
 def trigrams(text: Column) -> Column:
     """The distinct runs of three characters of a text in lower case."""
-    letters = F.split(F.lower(text), "")
-    pairs = F.zip_with(letters, F.slice(letters, 2, 1 << 30), lambda a, b: F.concat(a, b))
-    made = F.zip_with(pairs, F.slice(letters, 3, 1 << 30), lambda a, b: F.concat(a, b))
-    return F.array_distinct(F.array_compact(made))  # what reaches past the end is null
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("(?s)(?=(...))"), F.lit(1)))
 
 
 def slot_of(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(SLOTS)).cast("int")
 
 
+def dealt(records: DataFrame) -> DataFrame:
+    """Records dealt over tasks by uri, as a text makes hundreds of postings and a file may be read by one task."""
+    spark = records.sparkSession
+    return records.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "uri")
+
+
 def write(records: DataFrame, path: str) -> None:
     """Postings and how many each trigram has. A trigram that nearly all records have is split over files of its slot."""
-    postings = records.select("uri", "collection", F.explode(trigrams(F.col("json"))).alias("gram")).withColumn("slot", slot_of(F.col("gram")))
+    postings = dealt(records.select("uri", "collection", "json")).select("uri", "collection", F.explode(trigrams(F.col("json"))).alias("gram")).withColumn("slot", slot_of(F.col("gram")))
     postings.hint("rebalance", "collection", "slot").sortWithinPartitions("collection", "slot", "gram").write.mode("overwrite").partitionBy("collection", "slot").parquet(f"{path}/postings")
     found = records.sparkSession.read.schema(POSTINGS).parquet(f"{path}/postings")
     found.groupBy("collection", "gram").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").partitionBy("collection").parquet(f"{path}/counts")

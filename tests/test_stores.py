@@ -139,3 +139,11 @@ def test_rollups_are_signed_and_sketches_unite(spark, tmp_path):
     assert [(str(r["date"]), r["cumulative"]) for r in U.time_series(spark, f"{folder}/out").orderBy("date").collect()] == [(str(day(0)), 999), (str(day(1)), 1999), (str(day(5)), 2000)]
     authors = {r["collection"]: r["authors"] for r in U.by_collection(spark, f"{folder}/out").collect()}
     assert abs(authors["c"] - 700) <= 3 * U.ERROR * 700 and authors["e"] == 1
+
+
+def test_index_deals_texts_over_tasks(spark, tmp_path):
+    """One file, which one task reads: its texts are cut by many. Line ends are part of trigrams."""
+    whole = records(spark, [("a.b.c", k, "x", f"line\n{k}") for k in range(50)]).coalesce(1)
+    assert whole.rdd.getNumPartitions() == 1 and X.dealt(whole).rdd.getNumPartitions() > 1
+    X.write(whole, str(tmp_path / "i"))
+    assert {r["rkey"] for r in X.search(whole, str(tmp_path / "i"), "E\n7", "a.b.c").collect()} == {"7"}
