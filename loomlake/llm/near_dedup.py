@@ -14,14 +14,15 @@ linked when 100 * intersection >= 75 * union. Steps:
    node's pivots the `tries` that share most of its keys are. Odd sketches drop pairs whose estimate lies more than 4.5 standard errors below the threshold; the others
    (in the first round the best of each node) are confirmed on the full sets, and linked groups are merged. Rounds go on until
    one finds no link (at most `rounds`), so a large group of near copies is one group before step 5.
-   Only the full sets of a round's pairs move, and keys whose members lie in one group take part no longer.
+   Only the full sets of a round's pairs move, a pair that has failed isn't tested again in a later round, and keys whose members lie in one group take part no longer.
 5. What is left: pairs that share a key but lie in different groups. Members without a likely partner under
-   their key, by sketches, go first, so that most full sets move nowhere. The others are all compared inside
-   the join, by sketches and then by full sets, and groups are merged. After that no
+   their key, by sketches, go first, so that most sets move nowhere. The others are all compared inside
+   the join, by sketches and then by shortened hashes, which lose no link and let next to nothing else pass; those pairs are
+   confirmed on the full sets, and groups are merged. After that no
    candidate pair is untested except inside one group, where it could change nothing.
 
 Groups are merged by pointer jumping, after the first round along minimum labels of neighbours. Nothing is collected on the driver but
-counts. Tables between steps lie in the shared folder.
+counts. Tables between steps lie in the shared folder, small ones in few files, and a step's shuffle files go when it ends.
 
 Defined cases: a very long text has all its shingles in its set; of equal ids the group shows one; null, empty and blank texts have no shingles and are linked with nothing; a text of
 fewer than five words has one shingle; rows that repeat an id each get a row; a group's id is its
@@ -37,13 +38,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filtered, map_batches, portable, shared_dir, spread_join, stored, text_of
+from .common import bit_filtered, map_batches, portable, shared_dir, shuffles_released, spread_join, stored, text_of
 
 portable(__name__)
 
 BITS = 1024
 WORDS64 = BITS // 64
 SLICE = 200  # documents worked on at a time
+SHORT = 4096  # sets up to this size are told apart by 16 bits of each hash, larger ones by 32
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -201,6 +203,23 @@ def linked_sets(threshold: int) -> Column:
     return (100 + threshold) * shared >= threshold * (F.size("a_set") + F.size("b_set"))
 
 
+def shortened(sets: DataFrame, threshold: int) -> DataFrame:
+    """node, short and wide: the distinct leading 16 and 32 bits of a set's hashes, null where no pair that may be linked compares them."""
+    size = F.size("shingles")
+    cut = lambda bits, kind: F.array_distinct(F.transform("shingles", lambda x: F.shiftright(x, 64 - bits).cast(kind)))
+    return sets.select("node", F.when(size <= SHORT, cut(16, "short")).alias("short"), F.when(100 * size > threshold * SHORT, cut(32, "int")).alias("wide"))
+
+
+def maybe_linked(threshold: int) -> Column:
+    """Whether sets of a_n and b_n hashes can be linked as their shortened hashes stand: the intersection is at most theirs and what one of the two lost."""
+
+    def most(kind: str) -> Column:
+        a, b = f"a_{kind}", f"b_{kind}"
+        return F.array_size(F.array_intersect(a, b)) + F.least(F.col("a_n") - F.array_size(a), F.col("b_n") - F.array_size(b))
+
+    return (100 + threshold) * F.coalesce(most("short"), most("wide")) >= threshold * (F.col("a_n") + F.col("b_n"))
+
+
 def told_apart(nodes: DataFrame, plain: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables by `node` alone: nodes that share it but not `check` (next to never) get a new one."""
     shared = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node", F.lit(True).alias("shared"))
@@ -240,7 +259,8 @@ class Links:
 
 
 def merged(groups: DataFrame, links: DataFrame, folder: str, name: str) -> DataFrame:
-    """`groups` (node, comp) after merging along `links` (a, b): each comp becomes its smallest one."""
+    """`groups` (node, comp) after merging along the stored `links` (a, b): each comp becomes its smallest one."""
+    most = 2 * links.count()
     of = groups.select(F.col("node"), F.col("comp"))
     edges = (
         links.join(of.select(F.col("node").alias("a"), F.col("comp").alias("u")), "a")
@@ -248,40 +268,44 @@ def merged(groups: DataFrame, links: DataFrame, folder: str, name: str) -> DataF
         .filter("u <> v")
         .select("u", "v")
     )
-    edges = stored(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), folder, f"{name}-edges")
-    labels = stored(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("label")), folder, f"{name}-labels-0")
+    edges = stored(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), folder, f"{name}-edges", most)
+    labels = stored(edges.groupBy("u").agg(F.least("u", F.min("v")).alias("label")), folder, f"{name}-labels-0", most)
     step = 0
     while True:
         step += 1
         near = edges.join(labels.select(F.col("u").alias("v"), F.col("label").alias("other")), "v").groupBy("u").agg(F.min("other").alias("other"))
         least = labels.join(near, "u").select("u", F.col("label").alias("old"), F.least("label", "other").alias("mid"))
         jump = labels.select(F.col("u").alias("mid"), F.col("label").alias("far"))
-        new = stored(least.join(jump, "mid", "left").select("u", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")), folder, f"{name}-labels-{step}")
+        new = stored(least.join(jump, "mid", "left").select("u", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")), folder, f"{name}-labels-{step}", most)
         if new.filter("label <> old").isEmpty():
             break
         labels = new.drop("old")
     return stored(
-        groups.join(new.select(F.col("u").alias("comp"), "label"), "comp", "left").select("node", F.coalesce("label", "comp").alias("comp")), folder, f"{name}-groups"
+        groups.join(new.select(F.col("u").alias("comp"), "label"), "comp", "left").select("node", F.coalesce("label", "comp").alias("comp")), folder, f"{name}-groups", groups.count()
     )
 
 
 def rooted(groups: DataFrame, links: DataFrame, folder: str, name: str) -> DataFrame:
-    """`groups` after merging along `links` in which each a points to one b and no path comes back: roots by pointer jumping."""
-    parents, step = links, 0
+    """`groups` after merging along the stored `links` in which each a points to one b and no path comes back: roots by pointer jumping."""
+    parents, step, most = links, 0, links.count()
     while True:
         step += 1
         above = parents.select(F.col("a").alias("b"), F.col("b").alias("top"))
-        new = stored(parents.join(above, "b", "left").select("a", F.coalesce("top", "b").alias("b"), F.col("top").isNotNull().alias("moved")), folder, f"{name}-roots-{step}")
+        new = stored(parents.join(above, "b", "left").select("a", F.coalesce("top", "b").alias("b"), F.col("top").isNotNull().alias("moved")), folder, f"{name}-roots-{step}", most)
         if new.filter("moved").isEmpty():
             break
         parents = new.drop("moved")
-    return stored(groups.join(new.select(F.col("a").alias("node"), "b"), "node", "left").select("node", F.coalesce("b", "comp").alias("comp")), folder, f"{name}-groups")
+    return stored(groups.join(new.select(F.col("a").alias("node"), "b"), "node", "left").select("node", F.coalesce("b", "comp").alias("comp")), folder, f"{name}-groups", groups.count())
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75, width: int = 5, bands: int = 64, rows: int = 6, rounds: int = 16, tries: int = 3, errors: float = 4.5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of `docs`. threshold: in hundredths."""
-    spark = docs.sparkSession
-    folder = shared_dir(spark)
+    with shuffles_released(docs.sparkSession):
+        return grouped(docs, id_col, text_col, threshold, width, bands, rows, rounds, tries, errors)
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, threshold: int, width: int, bands: int, rows: int, rounds: int, tries: int, errors: float) -> DataFrame:
+    folder = shared_dir(docs.sparkSession)
     signed = stored(signatures(docs, bands, rows, width, id_col, text_col), folder, "signatures")
     plain = signed.select("doc_id", "doc", "n_shingles", "node", "check")
     nodes = stored(
@@ -301,8 +325,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed_nodes = stored(nodes.join(groups, "node", "left_semi").select("node", "n_shingles", "sketch"), folder, "sketches")
     links = Links(signed_nodes, sets, threshold, most_bits(bands * rows, threshold / 100, errors))
 
+    n_members, n_nodes, tried = members.count(), groups.count(), None
     for k in range(rounds):
-        placed = stored(members.join(groups, "node"), folder, f"placed-{k}")
+        placed = stored(members.join(groups, "node"), folder, f"placed-{k}", n_members)
         turn = F.xxhash64("node", F.lit(k))
         pivots = (
             placed.groupBy("key")
@@ -310,18 +335,26 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .filter("low <> high")
             .select("key", "b", "b_comp")
         )
-        pivots = stored(pivots, folder, f"pivots-{k}")
+        pivots = stored(pivots, folder, f"pivots-{k}", n_members // 2)
         members = placed.join(pivots, "key", "left_semi").select("key", "node")
         # A node has as many keys as bands; the pivots that it shares most of them with are the likeliest.
         met = placed.join(pivots, "key").filter("comp <> b_comp").groupBy(F.col("node").alias("a"), "b").agg(F.count(F.lit(1)).alias("n"))
+        if tried is not None:  # what was linked lies in one group, and what failed would fail again
+            met = met.join(tried, ["a", "b"], "left_anti")
         first = met.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "b"))), 1, tries).alias("b"))
         pairs = first.select("a", F.explode("b.b").alias("b"))
-        likely = links.likely(pairs)
         if k == 0:
-            likely = likely.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
-        found = stored(links.confirmed(stored(likely.select("a", "b"), folder, f"likely-{k}")), folder, f"round-{k}")
+            likely = links.likely(pairs).groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+        else:
+            pairs = stored(pairs, folder, f"tried-{k}", tries * n_nodes, each=20_000)
+            likely = links.likely(pairs)
+        likely = stored(likely.select("a", "b"), folder, f"likely-{k}", tries * n_nodes, each=20_000)
+        found = stored(links.confirmed(likely), folder, f"round-{k}", likely.count(), each=1_000)
         if found.isEmpty():
             break
+        done = pairs if k else likely
+        done = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tried = done if tried is None else tried.unionByName(done)
         # In the first round a node points to one that comes before it in the round's order, so links are trees.
         groups = (merged if k else rooted)(groups, found, folder, f"round-{k}")
 
@@ -341,10 +374,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketched_one, sketched_other = one.join(links.side("a"), "a"), other.join(links.side("b"), "b")
     one = stored(met(sketched_one, sketched_other, "left_semi"), folder, "rest-one")
     other = stored(met(sketched_other, one, "left_semi"), folder, "rest-other")
-    sets = links.sets_for(stored(one.select(F.col("a").alias("node")).unionByName(other.select(F.col("b").alias("node"))).distinct(), folder, "rest-nodes"))
-    one = one.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("a_set")), "a")
-    other = other.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("b_set")), "b")
-    found = stored(met(one, other, "inner", linked_sets(threshold)).select("a", "b").distinct(), folder, "rest")
+    named = stored(one.select(F.col("a").alias("node")).unionByName(other.select(F.col("b").alias("node"))).distinct(), folder, "rest-nodes", n_nodes)
+    cut = stored(shortened(links.sets_for(named), threshold), folder, "rest-sets", named.count(), each=10_000)
+    one = one.join(cut.select(F.col("node").alias("a"), F.col("short").alias("a_short"), F.col("wide").alias("a_wide")), "a")
+    other = other.join(cut.select(F.col("node").alias("b"), F.col("short").alias("b_short"), F.col("wide").alias("b_wide")), "b")
+    likely = stored(met(one, other, "inner", maybe_linked(threshold)).select("a", "b").distinct(), folder, "rest-likely")
+    found = stored(links.confirmed(likely), folder, "rest", likely.count(), each=1_000)
     if not found.isEmpty():
         groups = merged(groups, found, folder, "rest-groups")
 

@@ -453,3 +453,49 @@ def test_near_dedup_moves_only_the_sets_of_pairs(spark, tmp_path):
     assert {1, 2, 7} <= set(filtered) and len(filtered) < 100
     pairs = stored(spark.createDataFrame([(1, 2), (1, 7), (20, 21)], "a long, b long"), str(tmp_path), "pairs")
     assert sorted(tuple(r) for r in links.confirmed(pairs).collect()) == [(1, 2), (20, 21)]
+
+
+def test_near_dedup_tests_a_pair_once_and_leaves_no_shuffle_files(spark, tmp_path, monkeypatch):
+    import time
+    from pathlib import Path
+
+    monkeypatch.setattr(near_dedup, "shared_dir", lambda spark: str(tmp_path / "near"))
+    text = lambda name, low, n=60: " ".join(f"{name}{j}" for j in range(low, low + n))
+    rows = [(2 * k + side, text(f"p{k}x", 10 * side)) for k in range(30) for side in (0, 1)]  # 46 of 66: just too far apart
+    rows += [(100 + k, text("chain", 4 * k)) for k in range(60)]
+    rows += [(200 + side, text("long", 80 * side, 6_000)) for side in (0, 1)] + [(300 + side, text("far", 950 * side, 6_000)) for side in (0, 1)]  # longer than shortened to 16 bits
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {x.toString() for x in (disk.getAllBlocks().apply(k) for k in range(disk.getAllBlocks().size())) if x.isShuffle()}
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    mode, before = spark.conf.get(key), shuffled()
+    found = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    end = time.time() + 20
+    while (left := shuffled() - before) and time.time() < end:  # they are removed in the background
+        time.sleep(0.5)
+    assert not left and spark.conf.get(key) == mode
+    assert sorted(map(tuple, found.collect())) == sorted(components(rows))
+    rounds = [{frozenset((r["a"], r["b"])) for r in spark.read.parquet(str(p)).collect()} for p in sorted(Path(tmp_path, "near").glob("likely-*"), key=lambda p: int(p.name.partition("-")[2]))]
+    assert len(rounds) > 1 and len(rounds[0]) >= 30
+    assert sum(map(len, rounds)) == len(set().union(*rounds))
+
+
+def test_shortened_sets_lose_no_link(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(near_dedup, "SHORT", 300)
+    made, rows = random.Random(5), []
+    for k in range(300):
+        n = made.choice([1, 2, 40, 220, 290, 300, 310, 390, 420, 900])
+        a = {made.getrandbits(64) - (1 << 63) for _ in range(n)}
+        apart = round(n * made.uniform(0.05, 0.25))
+        b = set(sorted(a)[apart:]) | {made.getrandbits(64) - (1 << 63) for _ in range(made.randrange(apart + 1))}
+        rows.append((k, sorted(a), sorted(b or a)))
+    rows.append((300, [k << 40 for k in range(100)], [k << 40 for k in range(90)]))  # 16 bits tell none of them apart
+    sets = spark.createDataFrame(rows, "node long, a_set array<long>, b_set array<long>")
+    a, b = (near_dedup.shortened(sets.select("node", F.col(f"{s}_set").alias("shingles")), 75).toDF("node", f"{s}_short", f"{s}_wide") for s in "ab")
+    both = sets.join(a, "node").join(b, "node").withColumns({f"{s}_n": F.size(f"{s}_set").cast("long") for s in "ab"})
+    got = both.select("node", near_dedup.linked_sets(75).alias("linked"), near_dedup.maybe_linked(75).alias("may"), near_dedup.sized("a_n", "b_n", 75).alias("sized")).collect()
+    # Sizes that rule a link out are told by themselves before sets are compared.
+    assert all(r["may"] for r in got if r["linked"]) and sum(r["linked"] for r in got) > 50
+    wrong = [r for r in got if r["sized"] and r["may"] and not r["linked"]]
+    assert len(wrong) < 10 and sum(not r["may"] for r in got if r["sized"]) > 20
