@@ -12,8 +12,9 @@ linked when 100 * intersection >= 75 * union. Steps:
 4. Rounds: each key takes one node as pivot, in an order that changes from round to round, and
    the others may be compared with it, so a key with n nodes costs n comparisons, not n * n. Of a
    node's pivots the `tries` that share most of its keys are. Odd sketches drop pairs whose estimate lies more than 4.5 standard errors below the threshold; the others
-   (in the first round the best of each node) are confirmed on the full sets, and linked groups are merged. Rounds go on until
-   one finds no link (at most `rounds`), so a large group of near copies is one group before step 5.
+   (in the first round the best of each node) are confirmed on the full sets, and linked groups are merged. Rounds go on while
+   they pay (at most `rounds`): one in which fewer than 1 in PAYS likely pairs are links is the last, so a large group of near copies is
+   one group before step 5, and nodes near a group but not in it aren't tested against ever more of its members.
    Only the full sets of a round's pairs move, a pair that has failed isn't tested again in a later round, and keys whose members lie in one group take part no longer.
 5. What is left: pairs that share a key but lie in different groups. Members without a likely partner under
    their key, by sketches, go first, so that most sets move nowhere. The others are all compared inside
@@ -45,6 +46,7 @@ portable(__name__)
 BITS = 1024
 WORDS64 = BITS // 64
 SLICE = 200  # documents worked on at a time
+PAYS = 50  # likely pairs of a round for each link that it must find, or step 5 takes the rest
 SHORT = 4096  # sets up to this size are told apart by 16 bits of each hash, larger ones by 32
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -349,14 +351,18 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, threshold: int, width:
             pairs = stored(pairs, folder, f"tried-{k}", tries * n_nodes, each=20_000)
             likely = links.likely(pairs)
         likely = stored(likely.select("a", "b"), folder, f"likely-{k}", tries * n_nodes, each=20_000)
-        found = stored(links.confirmed(likely), folder, f"round-{k}", likely.count(), each=1_000)
-        if found.isEmpty():
+        n_likely = likely.count()
+        found = stored(links.confirmed(likely), folder, f"round-{k}", n_likely, each=1_000)
+        n_found = found.count()
+        if not n_found:
             break
         done = pairs if k else likely
         done = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tried = done if tried is None else tried.unionByName(done)
         # In the first round a node points to one that comes before it in the round's order, so links are trees.
         groups = (merged if k else rooted)(groups, found, folder, f"round-{k}")
+        if PAYS * n_found < n_likely:
+            break
 
     # Pairs of different groups under one key: members outside a key's largest group, against all others.
     placed = members.join(groups, "node")

@@ -479,6 +479,16 @@ def test_near_dedup_tests_a_pair_once_and_leaves_no_shuffle_files(spark, tmp_pat
     assert sum(map(len, rounds)) == len(set().union(*rounds))
 
 
+def test_near_dedup_ends_rounds_that_find_next_to_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(near_dedup, "shared_dir", lambda spark: str(tmp_path / "near"))
+    shared = " ".join(f"w{j}" for j in range(104))
+    rows = [(k, shared + "".join(f" own{k}x{j}" for j in range(20))) for k in range(300)]  # 100 of 140: just too far apart
+    rows += [(500 + k, " ".join(f"chain{j}" for j in range(8 * k, 8 * k + 60))) for k in range(5)]  # only neighbours are linked
+    found = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, found.collect())) == sorted(components(rows))
+    assert [p.name for p in sorted((tmp_path / "near").glob("likely-*"))] == ["likely-0"]
+
+
 def test_shortened_sets_lose_no_link(spark, monkeypatch):
     from pyspark.sql import functions as F
 
