@@ -1,4 +1,4 @@
-"""Endorsement and follow edges, and bounded closures over them for many roots at once."""
+"""Endorsement and follow edges, and closures over them, whole or bounded, for many roots at once."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from ..shared import shared_dir, stored
 AWARD, DEFINITION, RESPONSE, FOLLOW = "app.certified.badge.award", "app.certified.badge.definition", "app.certified.badge.response", "app.certified.graph.follow"
 SUBJECT_TYPE = "app.certified.defs#did"
 MOST_ACCOUNTS, MOST_DEGREE, MOST_VIA, EDGES_PER_ACCOUNT = 3000, 3, 64, 64
+PIECE = 1 << 20  # rows that a task makes of one issuer's edges and the roots that meet them
 
 
 def subject_did(json: Column | str = "json") -> Column:
@@ -70,8 +71,58 @@ def placed_edges(edges: DataFrame, folder: str) -> DataFrame:
     return ranged.withColumn("nth", own).join(starts, ["issuer", "part"]).withColumn("nth", F.col("nth") + F.col("before")).drop("before")
 
 
+def ring_edges(frontier: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
+    """root, issuer, subject: the edges of the issuers that each root stands at; `frontier` has distinct (root, issuer).
+
+    Of an issuer come its edges times the roots at it. Where these are more than PIECE rows, the longer of the two sides is dealt over
+    pieces by a hash and the other one is repeated for each, so no task makes all of an issuer's rows.
+    """
+    out, met = edges.groupBy("issuer").agg(F.count(F.lit(1)).alias("out")), frontier.groupBy("issuer").agg(F.count(F.lit(1)).alias("met"))
+    wide = out.join(met, "issuer").filter(F.col("out") * F.col("met") > PIECE)
+    pieces = F.least(F.ceil(F.col("out") * F.col("met") / PIECE), F.greatest("out", "met")).cast("int")
+    wide = stored(wide.select("issuer", (F.col("out") >= F.col("met")).alias("by_edge"), pieces.alias("pieces")), folder)
+    if wide.isEmpty():
+        return frontier.join(edges, "issuer").select("root", "issuer", "subject")
+
+    def dealt(df: DataFrame, key: str, by_edge: bool) -> DataFrame:
+        own = F.array(F.pmod(F.xxhash64(key), F.col("pieces")).cast("int"))
+        each = F.when(F.col("pieces").isNull(), F.array(F.lit(0))).when(F.col("by_edge") == by_edge, own).otherwise(F.sequence(F.lit(0), F.col("pieces") - 1))
+        return df.join(wide, "issuer", "left").withColumn("piece", F.explode(each)).drop("by_edge", "pieces")
+
+    return dealt(frontier, "root", False).join(dealt(edges, "subject", True), ["issuer", "piece"]).select("root", "issuer", "subject")
+
+
+def whole_closure(edges: DataFrame, roots: DataFrame, max_degree: int = MOST_DEGREE) -> DataFrame:
+    """root, did, degree, via: every account within `max_degree` steps of each root; `via` (from degree 2 on) names all predecessors of the ring before, sorted.
+
+    The walk of `closure` without its limits: no account, edge or predecessor is left out, so nothing is numbered or ranked. A ring's rows are
+    gathered by root and account, so a root that reaches very many accounts is spread. Edges are evaluated once and stored; the last ring isn't stored.
+    """
+    if not 1 <= max_degree <= MOST_DEGREE:
+        raise ValueError(f"degree must be 1 to {MOST_DEGREE}")
+    folder = shared_dir(edges.sparkSession)
+    edges = stored(edges.select("issuer", "subject").filter("subject <> ''").distinct(), f"{folder}/edges")
+    frontier = roots.select(F.col("did").alias("root"), F.col("did").alias("issuer")).distinct()
+    found = None
+    for degree in range(1, max_degree + 1):
+        steps = ring_edges(frontier, edges, f"{folder}/wide-{degree}").filter("subject <> root")
+        if degree == 1:  # a root's own edges: each account comes once
+            ring = steps.select("root", F.col("subject").alias("did"), F.lit(degree).alias("degree"), F.expr("cast(array() as array<string>)").alias("via"))
+        else:
+            # What is known already is gathered with the steps, so that a ring's rows move once.
+            known = found.select("root", F.lit(None).cast("string").alias("issuer"), F.col("did").alias("subject"))
+            gathered = steps.unionByName(known).repartition("root", "subject").groupBy("root", "subject")
+            ring = gathered.agg(F.max(F.col("issuer").isNull()).alias("known"), F.array_sort(F.collect_list("issuer")).alias("via")).filter("not known")
+            ring = ring.select("root", F.col("subject").alias("did"), F.lit(degree).alias("degree"), "via")
+        if degree < max_degree:
+            ring = stored(ring, f"{folder}/ring-{degree}")
+            frontier = ring.select("root", F.col("did").alias("issuer"))
+        found = ring if found is None else found.unionByName(ring)
+    return found
+
+
 def closure(edges: DataFrame, roots: DataFrame, max_degree: int = MOST_DEGREE, most: int = MOST_ACCOUNTS, via: int = MOST_VIA) -> DataFrame:
-    """root, did, degree, via, truncated: accounts within `max_degree` steps of each root.
+    """root, did, degree, via, truncated: accounts within `max_degree` steps of each root, up to the limits of a request; `whole_closure` has none.
 
     A breadth-first walk of all roots at once, a join for each degree. Within a root, nodes of a degree
     come in the order of their first predecessor, then by name; at most `most` accounts are taken, and

@@ -58,7 +58,7 @@ select root, did, 1 as degree, '' as via from e1 union all select root, did, 2,
 @query("closure_every_root", EVERY_ROOT)
 @query("closure_all_roots", EVERY_ROOT)
 def closure_all_roots(spark, sf_dir):
-    return G.closure(edges(spark, sf_dir), roots(spark, sf_dir)).select("root", "did", "degree", F.array_join("via", ",").alias("via"))
+    return G.whole_closure(edges(spark, sf_dir), roots(spark, sf_dir)).select("root", "did", "degree", F.array_join("via", ",").alias("via"))
 
 
 FOLLOWS = sql_views("follow_record") + """,
