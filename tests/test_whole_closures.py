@@ -43,7 +43,7 @@ def wide_tables(folder):
     return db
 
 
-@pytest.mark.parametrize("name", ["closure_all_roots", "closure_every_root", "closure_follows"])
+@pytest.mark.parametrize("name", ["closure_all_roots", "closure_every_root", "closure_follows", "closure_profiles"])
 def test_every_account_and_predecessor(spark, tmp_path, name):
     pytest.importorskip("duckdb")
     db = wide_tables(tmp_path)
